@@ -168,15 +168,15 @@ def without_dropped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def oracle(table: str = "documents") -> str:
     return f"""
 WITH lines AS (
-  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS at
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos
   FROM {table} WHERE text IS NOT NULL),
 ranked AS (
-  SELECT doc_id, at, trim(line, ' ' || chr(9) || chr(13)) = '' OR
-    row_number() OVER (PARTITION BY trim(line, ' ' || chr(9) || chr(13)) ORDER BY doc_id NULLS FIRST, at) = 1 AS kept
+  SELECT doc_id, pos, trim(line, ' ' || chr(9) || chr(13)) = '' OR
+    row_number() OVER (PARTITION BY trim(line, ' ' || chr(9) || chr(13)) ORDER BY doc_id NULLS FIRST, pos) = 1 AS kept
   FROM lines),
 turns AS (
-  SELECT *, CASE WHEN kept = lag(kept) OVER (PARTITION BY doc_id ORDER BY at) THEN 0 ELSE 1 END AS turn FROM ranked),
-islands AS (SELECT *, sum(turn) OVER (PARTITION BY doc_id ORDER BY at) AS island FROM turns),
+  SELECT *, CASE WHEN kept = lag(kept) OVER (PARTITION BY doc_id ORDER BY pos) THEN 0 ELSE 1 END AS turn FROM ranked),
+islands AS (SELECT *, sum(turn) OVER (PARTITION BY doc_id ORDER BY pos) AS island FROM turns),
 runs AS (SELECT doc_id, island, bool_and(kept) AS kept, count(*) AS n FROM islands GROUP BY doc_id, island)
 SELECT d.doc_id, coalesce(CAST(sum(n) AS BIGINT), 0) AS n_lines, coalesce(CAST(sum(CASE WHEN kept THEN n END) AS BIGINT), 0) AS n_kept,
   coalesce(CASE WHEN bool_or(island = 1 AND NOT kept) THEN '0,' ELSE '' END || string_agg(CAST(n AS VARCHAR), ',' ORDER BY island), '') AS keep_bitmap
