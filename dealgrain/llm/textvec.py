@@ -43,6 +43,12 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def distinct(keys: np.ndarray) -> np.ndarray:
+    """The distinct keys in ascending order; sorting is several times faster than ``np.unique`` here."""
+    keys = np.sort(keys)
+    return keys[np.append(True, keys[1:] != keys[:-1])] if len(keys) else keys
+
+
 def windows(h: np.ndarray, k: int) -> np.ndarray:
     """A hash of each k consecutive values; len(h) - k + 1 of them."""
     if len(h) < k:
