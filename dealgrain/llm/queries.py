@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup, quality_classifier, quality_rules
+from . import line_dedup, quality_classifier, quality_rules, simhash_dedup
 from .shared import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_dedup.simhash_dedup(read_table(spark, sf_dir, "documents"))
+
+
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.quality_classifier(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
@@ -24,5 +28,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op4_quality_classifier, op6_line_dedup, op10_quality_rules)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_simhash_dedup, op4_quality_classifier, op6_line_dedup, op10_quality_rules)}
 ORACLES: dict[str, str] = {"op6_line_dedup": line_dedup.oracle(), "op10_quality_rules": quality_rules.oracle()}
