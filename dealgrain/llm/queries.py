@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup, quality_classifier, quality_rules, simhash_dedup
+from . import line_dedup, quality_classifier, quality_rules, sentencepiece_codec, simhash_dedup
 from .shared import read_table
 
+SENTENCEPIECE_MODEL = os.environ.get("DEALGRAIN_SENTENCEPIECE", "/opt/tokenizers/piece_bpe_32k.model")
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -20,6 +22,10 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.quality_classifier(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_codec.sentencepiece_encode(read_table(spark, sf_dir, "documents"), SENTENCEPIECE_MODEL)
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup(read_table(spark, sf_dir, "documents"))
 
@@ -28,5 +34,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_simhash_dedup, op4_quality_classifier, op6_line_dedup, op10_quality_rules)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_simhash_dedup, op4_quality_classifier, op5_sentencepiece, op6_line_dedup, op10_quality_rules)}
 ORACLES: dict[str, str] = {"op6_line_dedup": line_dedup.oracle(), "op10_quality_rules": quality_rules.oracle()}
