@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup, quality_classifier, quality_rules, sentencepiece_codec, simhash_dedup, source_mixing
+from . import hilbert_sharding, line_dedup, quality_classifier, quality_rules, sentencepiece_codec, simhash_dedup, source_mixing
 from .shared import read_table
 
 SENTENCEPIECE_MODEL = os.environ.get("DEALGRAIN_SENTENCEPIECE", "/opt/tokenizers/piece_bpe_32k.model")
@@ -34,9 +34,13 @@ def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mixing.source_mixing(read_table(spark, sf_dir, "documents"))
 
 
+def op8_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hilbert_sharding.hilbert_sharding(read_table(spark, sf_dir, "documents"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_simhash_dedup, op4_quality_classifier, op5_sentencepiece, op6_line_dedup, op7_source_mixing, op10_quality_rules)}
-ORACLES: dict[str, str] = {"op6_line_dedup": line_dedup.oracle(), "op7_source_mixing": source_mixing.oracle(), "op10_quality_rules": quality_rules.oracle()}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_simhash_dedup, op4_quality_classifier, op5_sentencepiece, op6_line_dedup, op7_source_mixing, op8_hilbert_sharding, op10_quality_rules)}
+ORACLES: dict[str, str] = {"op6_line_dedup": line_dedup.oracle(), "op7_source_mixing": source_mixing.oracle(), "op8_hilbert_sharding": hilbert_sharding.oracle(), "op10_quality_rules": quality_rules.oracle()}
