@@ -7,13 +7,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import hilbert_sharding, line_dedup, quality_classifier, quality_rules, sentencepiece_codec, simhash_dedup, source_mixing
+from . import hilbert_sharding, line_dedup, quality_classifier, quality_rules, sentencepiece_codec, simhash_dedup, source_mixing, topk_hamming
 from .shared import read_table
 
 SENTENCEPIECE_MODEL = os.environ.get("DEALGRAIN_SENTENCEPIECE", "/opt/tokenizers/piece_bpe_32k.model")
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_topk_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_hamming.topk_hamming(read_table(spark, sf_dir, "embeddings"))
+
+
 def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.simhash_dedup(read_table(spark, sf_dir, "documents"))
 
@@ -42,5 +46,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_simhash_dedup, op4_quality_classifier, op5_sentencepiece, op6_line_dedup, op7_source_mixing, op8_hilbert_sharding, op10_quality_rules)}
-ORACLES: dict[str, str] = {"op6_line_dedup": line_dedup.oracle(), "op7_source_mixing": source_mixing.oracle(), "op8_hilbert_sharding": hilbert_sharding.oracle(), "op10_quality_rules": quality_rules.oracle()}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_topk_hamming, op2_simhash_dedup, op4_quality_classifier, op5_sentencepiece, op6_line_dedup, op7_source_mixing, op8_hilbert_sharding, op10_quality_rules)}
+ORACLES: dict[str, str] = {"op1_topk_hamming": topk_hamming.oracle(), "op6_line_dedup": line_dedup.oracle(), "op7_source_mixing": source_mixing.oracle(), "op8_hilbert_sharding": hilbert_sharding.oracle(), "op10_quality_rules": quality_rules.oracle()}
