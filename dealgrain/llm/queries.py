@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import hilbert_sharding, line_dedup, quality_classifier, quality_rules, sentencepiece_codec, simhash_dedup, source_mixing, topk_hamming
+from . import hilbert_sharding, line_dedup, quality_classifier, quality_rules, sentencepiece_codec, simhash_dedup, source_mixing, topk_hamming, url_rules
 from .shared import read_table
 
 SENTENCEPIECE_MODEL = os.environ.get("DEALGRAIN_SENTENCEPIECE", "/opt/tokenizers/piece_bpe_32k.model")
@@ -22,6 +22,10 @@ def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.simhash_dedup(read_table(spark, sf_dir, "documents"))
 
 
+def op3_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_rules.url_filter(read_table(spark, sf_dir, "pages"), read_table(spark, sf_dir, "labels"))
+
+
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.quality_classifier(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
@@ -46,5 +50,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_topk_hamming, op2_simhash_dedup, op4_quality_classifier, op5_sentencepiece, op6_line_dedup, op7_source_mixing, op8_hilbert_sharding, op10_quality_rules)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_topk_hamming, op2_simhash_dedup, op3_url_rules, op4_quality_classifier, op5_sentencepiece, op6_line_dedup, op7_source_mixing, op8_hilbert_sharding, op10_quality_rules)}
 ORACLES: dict[str, str] = {"op1_topk_hamming": topk_hamming.oracle(), "op6_line_dedup": line_dedup.oracle(), "op7_source_mixing": source_mixing.oracle(), "op8_hilbert_sharding": hilbert_sharding.oracle(), "op10_quality_rules": quality_rules.oracle()}
