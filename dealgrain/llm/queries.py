@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import hilbert_sharding, line_dedup, quality_classifier, quality_rules, sentencepiece_codec, simhash_dedup, source_mixing, topk_hamming, url_rules
+from . import hilbert_sharding, line_dedup, quality_classifier, quality_rules, sentencepiece_codec, simhash_dedup, source_mixing, suffix_dedup, topk_hamming, url_rules
 from .shared import read_table
 
 SENTENCEPIECE_MODEL = os.environ.get("DEALGRAIN_SENTENCEPIECE", "/opt/tokenizers/piece_bpe_32k.model")
@@ -46,9 +46,13 @@ def op8_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert_sharding.hilbert_sharding(read_table(spark, sf_dir, "documents"))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.suffix_dedup(read_table(spark, sf_dir, "documents"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_topk_hamming, op2_simhash_dedup, op3_url_rules, op4_quality_classifier, op5_sentencepiece, op6_line_dedup, op7_source_mixing, op8_hilbert_sharding, op10_quality_rules)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_topk_hamming, op2_simhash_dedup, op3_url_rules, op4_quality_classifier, op5_sentencepiece, op6_line_dedup, op7_source_mixing, op8_hilbert_sharding, op9_suffix_dedup, op10_quality_rules)}
 ORACLES: dict[str, str] = {"op1_topk_hamming": topk_hamming.oracle(), "op6_line_dedup": line_dedup.oracle(), "op7_source_mixing": source_mixing.oracle(), "op8_hilbert_sharding": hilbert_sharding.oracle(), "op10_quality_rules": quality_rules.oracle()}

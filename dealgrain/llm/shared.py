@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,7 +45,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def find_here(spark: SparkSession) -> None:
+    """Lets Python workers on this machine import the package from where the driver has it; clusters ship it as usual."""
+    root = str(Path(__file__).resolve().parents[2])
+    held = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if root not in held.split(":"):
+        spark.sparkContext.environment["PYTHONPATH"] = f"{root}:{held}".rstrip(":")
+
+
 def read_table(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    find_here(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
