@@ -105,6 +105,8 @@ def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _rle(dropped: np.ndarray, n: int) -> str:
+    if not n:
+        return ""
     keep = np.ones(n, dtype=bool)
     keep[dropped] = False
     turns = np.flatnonzero(keep[1:] != keep[:-1]) + 1

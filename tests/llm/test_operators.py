@@ -1,0 +1,252 @@
+"""Operators against brute-force versions, held-out accuracy, round trips and SQL."""
+
+import itertools
+import re
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from compare import compare
+from dealgrain.llm import hilbert_sharding, line_dedup, quality_classifier, quality_rules, sentencepiece_codec, simhash_dedup, source_mixing, suffix_dedup, topk_hamming, url_rules
+from dealgrain.llm.queries import ORACLES, QUERIES, SENTENCEPIECE_MODEL
+from dealgrain.llm.textvec import Runs, pieces, windows
+from pyspark.sql import functions as F
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_sql(spark, sf, name):
+    assert compare(QUERIES[name](spark, sf), ORACLES[name], sf) == ""
+
+
+def texts(spark, sf):
+    t = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").toArrow()
+    return t["doc_id"].to_pylist(), t["text"]
+
+
+def test_words_are_those_of_a_pattern(spark, sf):
+    _, col = texts(spark, sf)
+    for row, data, offsets in pieces(col, 5000):
+        runs = Runs(data, offsets)
+        blob = data.tobytes()
+        for k in range(len(offsets) - 1):
+            want = [m.span() for m in re.finditer(rb"[0-9A-Za-z\x80-\xff]+", blob[offsets[k] : offsets[k + 1]])]
+            a, b = runs.first[k], runs.first[k + 1]
+            assert [(int(s - offsets[k]), int(e - offsets[k])) for s, e in zip(runs.start[a:b], runs.end[a:b])] == want
+    same = pa.array(["Été one ONE", "x ÉTÉ", "one"])
+    _, data, offsets = next(pieces(same))
+    h = Runs(data, offsets).hash
+    assert h[0] == h[4] and h[1] == h[2] == h[5] and len(set(h)) == 3
+
+
+def test_topk_is_brute_force():
+    rng = np.random.default_rng(3)
+    centers = rng.normal(size=(40, 64))
+    codes = topk_hamming.sign_codes(np.repeat(centers, 20, axis=0) + 0.4 * rng.normal(size=(800, 64)))
+    ids = rng.permutation(800)
+    dist, near, verified = topk_hamming.Index(codes, ids, 64).search(codes, ids, 10, 64)
+    d = np.bitwise_count(codes[:, None] ^ codes[None]).sum(2).astype(int)
+    d[np.arange(800), np.arange(800)] = 999
+    order = np.argsort(d * 1000 + ids, axis=1)[:, :10]
+    assert (ids[order] == near).all() and (np.take_along_axis(d, order, 1) == dist).all() and verified < 2 * 800 * 800
+
+
+def test_topk_in_blocks(spark, sf):
+    v = spark.read.parquet(f"{sf}/embeddings.parquet").limit(300)
+    one = sorted(map(tuple, topk_hamming.topk_hamming(v).collect()))
+    assert one == sorted(map(tuple, topk_hamming.topk_hamming(v, block=100).collect()))
+
+
+def test_simhash_finds_all_pairs(spark, sf):
+    ids, col = texts(spark, sf)
+    codes = np.concatenate([simhash_dedup.codes(d, o) for _, d, o in pieces(col)])
+    d = np.bitwise_count(codes[:, None] ^ codes[None]).sum(2)
+    q, o = simhash_dedup.within(simhash_dedup.planes(codes), codes)
+    real = o < len(codes)
+    assert set(zip(q[real].tolist(), o[real].tolist())) == set(zip(*(x.tolist() for x in np.nonzero(d <= simhash_dedup.RADIUS))))
+    root = np.arange(len(ids))
+    for a, b in zip(*np.nonzero(d <= simhash_dedup.RADIUS)):
+        root[root == max(root[a], root[b])] = min(root[a], root[b])
+    assert (simhash_dedup.forest(codes) == root).all()
+    group = {r.doc_id: r.group_id for r in simhash_dedup.simhash_dedup(spark.read.parquet(f"{sf}/documents.parquet")).collect()}
+    pairs = [(ids[a], ids[b]) for a, b in zip(*np.nonzero(d <= simhash_dedup.RADIUS)) if a < b]
+    assert pairs and np.mean([group[a] == group[b] for a, b in pairs]) >= 0.9
+    assert all(group[a] == a or root[ids.index(a)] != ids.index(a) for a in ids)
+
+
+def test_simhash_plan_keeps_recall():
+    for n in (1000, 10**6, 10**9, 10**11):
+        width, bands = simhash_dedup.plan(n)
+        assert n / 2**width <= simhash_dedup.BUCKET and 1 - (1 - (1 - simhash_dedup.TYPICAL / 128) ** width) ** bands > 0.95
+
+
+def test_classifier_on_held_out_labels(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    held = labels.where("doc_id % 3 = 0")
+    out = quality_classifier.quality_classifier(docs, labels.where("doc_id % 3 <> 0")).join(held, "doc_id").toPandas()
+    good = (out.quality == 1) & (out.toxic == 0)
+    assert out.keep[good].mean() > 0.95 and (~out.keep[out.quality == 0]).mean() > 0.7 and ((out.keep == good).mean()) > 0.9
+
+
+def test_score_is_a_dot_product():
+    w = np.random.default_rng(0).normal(size=(1 << quality_classifier.BITS) + 1).astype(np.float32) * 0.1
+    col = pa.array(["a b a b c", None, "", "x !! y !!"])
+    for text, p in zip(col.to_pylist(), quality_classifier.score(col, w)):
+        _, data, offsets = next(pieces(pa.array([text or ""])))
+        index, _ = quality_classifier.features(data, offsets)
+        assert len(set(index.tolist())) == len(index) and abs(p - 1 / (1 + np.exp(-(w[index].sum() + w[-1])))) < 1e-5
+
+
+def test_rules_are_found(spark):
+    pages = [(i, f"https://{'bad' if i % 4 == 0 else 'ok'}.site{i % 7}.com/{'en' if i % 2 else 'de'}/{i}") for i in range(200)]
+    labels = spark.createDataFrame([(i, 0 if i % 4 == 0 else 1, 0) for i in range(0, 200, 1) if i % 5], "doc_id bigint, quality int, toxic int")
+    frame = spark.createDataFrame(pages, "page_id bigint, url string")
+    rules = {tuple(r.tokens): (r.confidence, r.support) for r in url_rules.mine(url_rules.labelled(frame, labels)).collect()}
+    rows = [(set(t), b) for t, b in url_rules.labelled(frame, labels).collect()]
+    names, want = sorted(set().union(*(t for t, _ in rows))), {}
+    need = max(url_rules.LEAST, url_rules.SUPPORT * len(rows))
+    for k in (1, 2, 3):
+        for c in itertools.combinations(names, k):
+            hit = [b for t, b in rows if set(c) <= t]
+            if sum(hit) >= need and sum(hit) / len(hit) >= url_rules.CONFIDENCE and not any(set(s) < set(c) and want[s][0] >= sum(hit) / len(hit) for s in want):
+                want[c] = (sum(hit) / len(hit), sum(hit) / len(rows))
+    assert {k: v for k, v in rules.items() if len(k) <= 3} == want and ("host:bad",) in rules
+    out = url_rules.url_filter(frame, labels).collect()
+    assert all(r.keep == (r.page_id % 4 != 0) for r in out)
+
+
+def test_pieces_are_the_librarys(spark, sf):
+    import sentencepiece
+
+    data = open(SENTENCEPIECE_MODEL, "rb").read()
+    theirs = sentencepiece.SentencePieceProcessor(model_proto=data)
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    out = sentencepiece_codec.sentencepiece_encode(docs, SENTENCEPIECE_MODEL)
+    got = {r.doc_id: r for r in out.collect()}
+    for r in docs.collect():
+        assert got[r.doc_id].pieces == theirs.encode(r.text) and got[r.doc_id].round_trip and got[r.doc_id].n_pieces == len(got[r.doc_id].pieces)
+    back = {r.doc_id: r.text for r in sentencepiece_codec.sentencepiece_decode(out, SENTENCEPIECE_MODEL).collect()}
+    assert back == {r.doc_id: r.text for r in docs.collect()}
+    assert sentencepiece_codec.parity(data, sentencepiece_codec.PROBES) == []
+
+
+def test_unigram_model():
+    def field(n, kind, body):
+        return bytes([n << 3 | kind]) + (bytes([len(body)]) + body if kind == 2 else body)
+
+    import struct
+
+    scored = [("<unk>", 0, 2), ("▁a", -1, 1), ("b", -2, 1), ("▁ab", -2.5, 1), ("a", -3, 1), ("▁", -3.5, 1)] + [(f"<0x{i:02X}>", 0, 6) for i in range(256)]
+    data = b"".join(field(1, 2, field(1, 2, p.encode()) + field(2, 5, struct.pack("<f", s)) + field(3, 0, bytes([k]))) for p, s, k in scored)
+    data += field(2, 2, field(3, 0, b"\1") + bytes([35 << 3 & 127 | 128, 2]) + b"\1") + field(3, 2, field(1, 2, b"identity") + field(3, 0, b"\1") + field(4, 0, b"\1") + field(5, 0, b"\1"))
+    m = sentencepiece_codec.parse(data)
+    assert m.model_type == sentencepiece_codec.UNIGRAM and m.byte_fallback and m.squeeze and len(m.pieces) == len(scored)
+    assert sentencepiece_codec.parity(data, ["ab ba", "a  b", "é", "abab ab"]) == []
+
+
+def test_bitmaps_rebuild_texts(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    maps = {r.doc_id: r.keep_bitmap for r in line_dedup.line_dedup(docs).collect()}
+    seen, want = set(), {}
+    for r in sorted(docs.collect(), key=lambda r: r.doc_id):
+        kept = []
+        for x in r.text.split("\n"):
+            key = x.strip(" \t\r")
+            kept.append(not key or key not in seen)
+            seen.add(key)
+        assert line_dedup.bits(maps[r.doc_id]).tolist() == kept
+        left = [x for x, k in zip(r.text.split("\n"), kept) if k]
+        if left:
+            want[r.doc_id] = "\n".join(left)
+    assert {r.doc_id: r.text for r in line_dedup.without_dropped(docs).collect()} == want
+
+
+def test_mixing_meets_its_targets(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    out = source_mixing.source_mixing(docs).toPandas()
+    assert abs((out.probability * out.n_tokens).sum() / out.n_tokens.sum() - source_mixing.BUDGET) < 1e-3
+    assert out.probability.max() <= 1 and abs(out.sampled.mean() - out.probability.mean()) < 0.05
+    light = docs.select(*[c.alias(k) for k, c in source_mixing._keyed(docs, "text", "source", "lang").items()], source_mixing.tokens_of(docs.text).alias("tokens"))
+    one = {tuple(r)[:3]: r.p for r in source_mixing.probabilities(light).collect()}
+    wide = {tuple(r)[:3]: r.p for r in source_mixing.probabilities(light, small=0, rounds=4).collect()}
+    few = {tuple(r)[:3]: r.p for r in source_mixing.probabilities(light, rounds=4).collect()}
+    assert wide.keys() == few.keys() == one.keys() and all(abs(wide[k] - few[k]) < 1e-6 for k in wide)
+
+
+@pytest.mark.parametrize("n,bits", [(2, 4), (3, 3), (4, 2)])
+def test_curve_steps_to_neighbours(n, bits):
+    place, following = hilbert_sharding.curve(n)
+    at = {}
+    for cell in itertools.product(range(1 << bits), repeat=n):
+        state = h = 0
+        for i in range(bits - 1, -1, -1):
+            k = (state << n) + sum((x >> i & 1) << j for j, x in enumerate(cell))
+            h, state = h << n | place[k], following[k]
+        at[h] = cell
+    assert sorted(at) == list(range(1 << n * bits)) and all(sum(abs(a - b) for a, b in zip(at[i], at[i + 1])) == 1 for i in range(len(at) - 1))
+
+
+def test_shards_prune(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    out = hilbert_sharding.hilbert_sharding(docs, shard_chars=100_000)
+    boxes = out.groupBy("shard").agg(*[(F.max(c) - F.min(c)).alias(c) for c in ("level_source", "level_chars")]).agg(F.avg("level_source"), F.avg("level_chars"), F.count("*")).first()
+    assert boxes[2] > 20 and boxes[0] < 40 and boxes[1] < 40
+    kept = hilbert_sharding.clustered(docs, 6)
+    assert kept.rdd.getNumPartitions() <= 6 and sorted(map(repr, kept.select("doc_id").collect())) == sorted(map(repr, docs.select("doc_id").collect()))
+
+
+def test_suffixes_are_sorted():
+    rng = np.random.default_rng(0)
+    for _ in range(30):
+        m, c = rng.integers(1, 12), rng.integers(1, 12)
+        x = rng.integers(0, 3, (m, c)).astype(np.uint16)
+        suffix, prefix = suffix_dedup.collection_suffixes(x)
+        keys = [tuple(int(v) for v in x[s // c, s % c :]) for s in suffix]
+
+        def common(a, b):
+            return len(list(itertools.takewhile(lambda p: p[0] == p[1] != 0, zip(a, b))))
+
+        assert sorted(suffix.tolist()) == list(range(m * c)) and keys == sorted(keys)
+        assert all(prefix[i] == common(keys[i - 1], keys[i]) for i in range(1, len(keys)))
+
+
+def test_passages_are_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    out = {r.doc_id: [tuple(s) for s in r.spans] for r in suffix_dedup.suffix_dedup(docs).collect()}
+    t = docs.select("doc_id", "text").toArrow()
+    words = []
+    for _, data, offsets in pieces(t["text"]):
+        runs = Runs(data, offsets)
+        words += [windows(runs.hash[runs.first[k] : runs.first[k + 1]], suffix_dedup.WORDS) for k in range(len(offsets) - 1)]
+    held, want = {}, {}
+    for i, w in zip(t["doc_id"].to_pylist(), words):
+        for x in w.tolist():
+            held.setdefault(x, set()).add(i)
+    for i, w in zip(t["doc_id"].to_pylist(), words):
+        for j, x in enumerate(w.tolist()):
+            if len(held[x]) > 1:
+                spans = want.setdefault(i, [])
+                if spans and j <= spans[-1][1]:
+                    spans[-1] = (spans[-1][0], j + suffix_dedup.WORDS)
+                else:
+                    spans.append((j, j + suffix_dedup.WORDS))
+    assert out == want and len(want) > 100
+
+
+def test_pipeline_is_its_stages(spark, sf):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    ids = {r.doc_id for r in docs.collect()}
+    for _, stage in corpus_pipeline.STAGES:
+        docs = corpus_pipeline.written(stage(spark, docs, sf), "test")
+        left = {r.doc_id for r in docs.collect()}
+        assert left <= ids and len(left) == docs.count() and len(left) > 20
+        ids = left
+    assert sorted(map(repr, docs.collect())) == sorted(map(repr, corpus_pipeline.run(spark, sf).collect()))
+
+
+def test_rules_of_quality(spark):
+    rows = [(1, "word " * 60), (2, "THE!! AND!! OF!! IT!! IS!! TO!!"), (3, "The of and to in is " * 20)]
+    out = {r.doc_id: r.failed for r in quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert out == {1: "stop_words,repeated_words", 2: "symbols", 3: ""}
