@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from . import positions
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+MODULES = (positions,)
+QUERIES = {name: f for m in MODULES for name, f in m.Q.items()}
+ORACLES = {name: sql for m in MODULES for name, sql in m.S.items()}
 FLAGSHIP = "precedent_rollup"
