@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import positions, trails
+from . import positions, publication, trails
 
-MODULES = (positions, trails)
+MODULES = (positions, trails, publication)
 QUERIES = {name: f for m in MODULES for name, f in m.Q.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.S.items()}
 FLAGSHIP = "precedent_rollup"
