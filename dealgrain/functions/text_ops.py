@@ -85,7 +85,7 @@ def natural_key(c: Column, width: int = 12) -> Column:
 
 def snippet(c: Column, limit: int = 100) -> Column:
     """First line that isn't blank, cut at the last blank before the limit if there is one."""
-    line = F.coalesce(F.try_element_at(F.filter(F.transform(F.split(text_or_empty(c), "\n"), F.trim), lambda x: x != ""), F.lit(1)), F.lit(""))
+    line = F.coalesce(F.try_element_at(F.filter(F.transform(F.split(text_or_empty(c), "\n"), lambda x: F.trim(x)), lambda x: x != ""), F.lit(1)), F.lit(""))
     head = F.substring(line, 1, limit)
     back = F.locate(" ", F.reverse(head))
     cut = F.when(back > 0, F.substring(head, F.lit(1), limit - back)).otherwise(head)

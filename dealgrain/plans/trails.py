@@ -44,7 +44,7 @@ def versions_of(spark, sf_dir):
 
 def clauses_of(spark, sf_dir):
     """(document_id, version_ord, ord, alignment, text): a non-blank line is a clause, aligned by its number."""
-    v = versions_of(spark, sf_dir).select("document_id", "version_ord", F.posexplode(F.filter(F.transform(F.split("text", "\n"), F.trim), lambda x: x != "")).alias("pos", "text"))
+    v = versions_of(spark, sf_dir).select("document_id", "version_ord", F.posexplode(F.filter(F.transform(F.split("text", "\n"), lambda x: F.trim(x)), lambda x: x != "")).alias("pos", "text"))
     return checkpoint(v.select("document_id", "version_ord", (F.col("pos") + 1).alias("ord"), (F.col("pos") + 1).alias("alignment"), "text"))
 
 

@@ -1,0 +1 @@
+"""Sources: agreement folders, their files' text, and side tables."""
