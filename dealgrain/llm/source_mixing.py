@@ -31,6 +31,7 @@ ROUNDS = 20
 BUDGET = 0.7
 TEMPER = 0.7
 SMALL = 200_000
+BROADCAST = 20_000
 MARGINS = ("source", "lang", "topic")
 
 
@@ -149,14 +150,16 @@ def source_mixing(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def sampled(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", budget: float = BUDGET, **how) -> DataFrame:
     """The documents sampled, with all their columns.
 
-    The cells' probabilities go to the scan of the documents as a join, so texts aren't shuffled where Spark finds the
-    cells small enough to broadcast.
+    The cells' probabilities go to the scan of the documents: up to ``BROADCAST`` cells, counted first, are broadcast, so
+    texts aren't shuffled; more are joined as Spark sees fit.
     """
     need(docs, id_col, text_col, source_col, lang_col)
     keys = _keyed(docs, text_col, source_col, lang_col)
     chance = probabilities(docs.select(*[c.alias(k) for k, c in keys.items()], tokens_of(docs[text_col]).alias("tokens")), budget, **how)
     names = {k: fresh(docs, k) for k in (*MARGINS, "p")}
-    chance = chance.select(*[F.col(k).alias(v) for k, v in names.items()])
+    chance = cut(chance.select(*[F.col(k).alias(v) for k, v in names.items()]))
+    if chance.count() <= BROADCAST:
+        chance = F.broadcast(chance)  # counted: a few MB at most; beyond that the join shuffles
     both = docs.withColumns({names[k]: c for k, c in keys.items()}).join(chance, [names[m] for m in MARGINS], "left")
     return both.where(unit(F.coalesce(both[id_col], F.lit(0)).cast("bigint")) < F.coalesce(F.col(names["p"]), F.lit(budget))).select(*docs.columns)
 
