@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-STOP_WORDS = ("a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "in", "is", "it", "of", "on", "or", "that", "the", "this", "to", "with")
+STOP_WORDS = tuple("with from that this the and are for an as at be by in is it of on or to a".split())
 HEADING_STOP_WORDS = tuple(w for w in STOP_WORDS if w != "on")
 _GAP = r"[^\p{L}\p{N}_]+"
 INVISIBLE = "​‌‍‎‏‪‫‬‭‮⁠⁦⁧⁨⁩﻿"

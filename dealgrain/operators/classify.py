@@ -11,19 +11,27 @@ from ..functions.text_ops import entry_id, heading_words, jaccard, normalize, ov
 from .similarity import best_match, leaders
 
 AUTO, AMBIGUOUS = 0.85, 0.70
-UUID = "[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}"
-CERTIFICATE = rf"(?is)(docusign\s+envelope\s+id\s*:\s*{UUID}|certificate\s+of\s+completion\s.*\sdocusign|electronically\s+signed\s+by\s.*\sdocusign)"
-PLATFORM = r"(?i)\b(docusign|adobe\s+sign|hellosign)\b"
-TRAILER = r"(?i)(\bin\s+witness\s+whereof\b|\bexecuted\s+as\s+a\s+deed\b)"
-HEADING = r"(?im)^[ \t]*(signatures?|execution)[ \t]*$"
-BY = r"(?im)(?:^[ \t]*|\|[ \t]*)By[ \t]*:[ \t]*([^|\r\n]*)"
-SLASH = r"/s/\s+\S"
+
+
+def _phrase(*said: str) -> str:
+    """Any of some phrases, whatever is blank between their words."""
+    return "(?:" + "|".join(r"[ \t\r\n]+".join(x.split()) for x in said) + ")"
+
+
+UUID = "[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}"
+CERTIFICATE = f"(?is)({_phrase('docusign envelope id')}[ ]*:[ ]*{UUID}|{_phrase('certificate of completion', 'electronically signed by')}[ \\n].*[ \\n]docusign)"
+PLATFORM = rf"(?i)\b{_phrase('hellosign', 'docusign', 'adobe sign')}\b"
+TRAILER = rf"(?i)\b{_phrase('executed as a deed', 'in witness whereof')}\b"
+HEADING = r"(?im)^[ \t]*(execution|signatures?)[ \t]*$"
+BY = r"(?im)(?:\||^)[ \t]*By[ \t]*:[ \t]*([^|\r\n]*)"
+SLASH = "/s/[ ]+[^ ]"
+BLANK = "^[-_ \\t–—]*$"
 
 
 def signed_features(text: Column) -> dict[str, Column]:
     t = F.coalesce(text, F.lit(""))
     by = F.regexp_extract_all(t, F.lit(BY), 1)
-    blank = F.size(F.filter(by, lambda x: x.rlike("^[_ \\t\\-–—]*$")))
+    blank = F.size(F.filter(by, lambda x: x.rlike(BLANK)))
     return {
         "certificate": t.rlike(CERTIFICATE), "platform": t.rlike(PLATFORM), "heading": t.rlike(HEADING), "trailer": t.rlike(TRAILER),
         "filled": (F.size(by) - blank).cast("int"), "blank": blank.cast("int"), "slashes": F.regexp_count(t, F.lit(SLASH)).cast("int"),

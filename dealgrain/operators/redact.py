@@ -13,13 +13,17 @@ EMAIL = r"[A-Za-z0-9_.+-]+@[A-Za-z0-9_-]+(?:\.[A-Za-z0-9_-]+)*\.[A-Za-z]{2,}"
 URL = r"(?:https?://|www\.)[^ \t\r\n]+"
 PHONE = r"\(?[0-9]{3}\)?[-. ]?[0-9]{3}[-. ][0-9]{4}"
 UUID = r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}"
-OPAQUE = r"\b(?=[A-Za-z0-9_-]*[A-Z])(?=[A-Za-z0-9_-]*[a-z])(?=[A-Za-z0-9_-]*[0-9])[A-Za-z0-9_-]{18,}"
-STREET = r"\b[0-9]{1,6}(?:[ ]+[A-Z][A-Za-z.'-]*){1,5}[ ]+(?:Road|Rd|Street|St|Avenue|Ave|Boulevard|Blvd|Lane|Ln|Drive|Dr|Highway|Hwy|Court|Ct|Place|Pl)\b"
+_TOKEN = "[A-Za-z0-9_-]"
+OPAQUE = r"\b" + "".join(f"(?={_TOKEN}*{c})" for c in ("[0-9]", "[a-z]", "[A-Z]")) + _TOKEN + "{18,}"
+_WAYS = "|".join("Avenue Ave Boulevard Blvd Court Ct Drive Dr Highway Hwy Lane Ln Place Pl Road Rd Street St".split())
+STREET = rf"\b[0-9]{{1,6}}(?:[ ]+[A-Z][A-Za-z.'-]*){{1,5}}[ ]+(?:{_WAYS})\b"
 BOX = r"\bP\.?[ ]*O\.?[ ]+Box[ ]+[0-9]+"
-SUITE = r"\b(?:Suite|Ste|Room|Rm|Bldg|Building)[ ]*#?[ ]*[0-9][A-Za-z0-9-]*"
-AUDIT = r"(?i)docusign|adobe[ ]*sign|envelope[ ]?id|transaction[ ]+id|ip[ ]+address|final[ ]+audit[ ]+report|record[ ]+tracking|signer[ ]+events|carbon[ ]+copy[ ]+events|notary[ ]+events|payment[ ]+events|time[ ]+source"
-INSTITUTION = r"(?i)\b(?:university of(?: the)? [a-z][a-z0-9]*|[a-z][a-z0-9]* (?:state |community |technical |international )?(?:university|college)|regents of|board of (?:trustees|regents))\b"
-NAME = r"\b[A-Z][a-z]+(?:[ ]+(?:of[ ]+|and[ ]+|&[ ]*)?[A-Z][a-z]+)+"
+SUITE = r"\b(?:Bldg|Building|Rm|Room|Ste|Suite)[ ]*#?[ ]*[0-9][A-Za-z0-9-]*"
+AUDIT = "(?i)" + "|".join(x.replace(" ", "[ ]+") for x in ("adobe sign", "adobesign", "carbon copy events", "docusign", "envelope id", "envelopeid", "final audit report", "ip address", "notary events", "payment events", "record tracking", "signer events", "time source", "transaction id"))
+_KINDS = "community |international |state |technical "
+INSTITUTION = rf"(?i)\b(?:board of (?:regents|trustees)|regents of|university of(?: the)? [a-z][a-z0-9]*|[a-z][a-z0-9]* (?:{_KINDS})?(?:college|university))\b"
+_CAPITAL = "[A-Z][a-z]+"
+NAME = rf"\b{_CAPITAL}(?:[ ]+(?:of[ ]+|and[ ]+|&[ ]*)?{_CAPITAL})+"
 REDACTED = "[redacted]"
 SPANS = (("email", EMAIL), ("url", URL), ("uuid", UUID), ("phone", PHONE), ("token", OPAQUE), ("address", STREET), ("address", BOX), ("address", SUITE))
 
@@ -98,7 +102,7 @@ def pseudonymize_id(document_id: Column, names: dict[str, str]) -> Column:
 
 def resolve_aliases(text: Column, names: dict[str, str]) -> Column:
     """Aliases back to names, Counterparty-12 before Counterparty-1."""
-    for name, alias in sorted(names.items(), key=lambda x: (-len(x[1]), x[1])):
+    for alias, name in sorted(((a, n) for n, a in names.items()), key=lambda pair: (-len(pair[0]), pair)):
         text = F.regexp_replace(text, rf"\b{re.escape(alias)}\b", name.replace("\\", "\\\\").replace("$", "\\$"))
     return text
 

@@ -15,7 +15,7 @@ COUNTED = ("signed", "proposed_then_reversed")
 UNJUDGED = ("stub", "needs_review")
 OUR, THEIR = "our_paper", "counterparty_paper"
 MIN_EVIDENCE = 2
-STANCES = {"standard": "consistently_held", "hold_firm": "consistently_held", "acceptable_variants_exist": "usually_held"}
+STANCES = {"acceptable_variants_exist": "usually_held", **dict.fromkeys(("hold_firm", "standard"), "consistently_held")}
 
 
 def counted(observations: DataFrame) -> DataFrame:

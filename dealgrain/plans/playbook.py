@@ -16,13 +16,20 @@ from typing import Any
 
 from pyspark.sql import DataFrame
 
-SECTIONS = ("evidence", "posture", "floor", "curation")
+SECTIONS = tuple("evidence posture floor curation".split())
 BUDGET = 40_000
-VERSIONS = ("0.1", "0.2", "0.3")
-QUESTIONS = ("rounds", "leverage", "risk_appetite", "sacred_clauses", "flexible_clauses", "audience")
+VERSIONS = tuple("0.3 0.2 0.1".split())
+QUESTIONS = tuple("rounds leverage risk_appetite sacred_clauses flexible_clauses audience".split())
 SOFT = ("may", "flexible", "negotiable", "concede", "waive", "relax", "optional", "can accept", "willing")
 
 
+def within(doc: Any, path: str, other: Any = None) -> Any:
+    """What a dotted path leads to, or ``other`` where it leads nowhere or to null."""
+    for step in path.split("."):
+        doc = doc.get(step) if isinstance(doc, dict) else None
+    return other if doc is None else doc
+
+
 def canonical(value: Any) -> str:
     """JSON with sorted keys, no blanks and characters as they are; the order of arrays stays."""
     return json.dumps(value, ensure_ascii=False, separators=(",", ":"), sort_keys=True)
@@ -57,7 +64,7 @@ def strings(node: Any, path: str = "") -> list[tuple[str, str]]:
     if isinstance(node, str):
         return [(path, node)]
     if isinstance(node, dict):
-        return [x for k, v in node.items() for x in strings(v, f"{path}.{k}" if path else str(k))]
+        return [x for k, v in node.items() for x in strings(v, ".".join(filter(None, (path, str(k)))))]
     if isinstance(node, list):
         return [x for i, v in enumerate(node) for x in strings(v, f"{path}[{i}]")]
     return []
@@ -77,7 +84,7 @@ def map_strings(node: Any, f) -> Any:
     return node
 
 
-def assemble(agreement: dict, positions: DataFrame, documents: DataFrame, forms: DataFrame | None = None, posture: dict | None = None, floor: dict | None = None, run: dict | None = None) -> dict:
+def assemble(agreement: dict, positions: DataFrame, documents: DataFrame, forms: DataFrame | None = None, posture: dict | None = None, floor: dict | None = None, run: dict | None = None, standard: bool = False) -> dict:
     """A playbook from rolled-up positions (a row a taxonomy), documents with version counts, and ranked forms."""
     listed = [json.loads(x) for x in positions.orderBy("taxonomy_id").toJSON().collect()]
     shown: dict[str, list] = {}
@@ -87,8 +94,8 @@ def assemble(agreement: dict, positions: DataFrame, documents: DataFrame, forms:
     clauses = [{"id": f"clause-{p['taxonomy_id']}", "taxonomy_id": p["taxonomy_id"], "title": re.sub("[_-]+", " ", p["taxonomy_id"]).title(), "observed_positions": shown.get(p["taxonomy_id"], []), "summary": {k: v for k, v in p.items() if k != "taxonomy_id"}} for p in listed]
     docs = [json.loads(x) for x in documents.orderBy("document_id").toJSON().collect()]
     doc = {
-        "opf_version": "0.2", "agreement_type": agreement, "baseline": {"has_canonical_template": False}, "taxonomy": {"source": "custom", "entries": [{"id": c["taxonomy_id"], "label": c["title"], "status": "active"} for c in clauses]},
-        "evidence": {"clauses": clauses}, "posture": posture or {}, "floor": floor or {}, "corpus": {"documents": docs, "stats": {"documents": len(docs), "clauses": len(clauses)}}, "compiler": {"name": "dealgrain", **(run or {})},
+        "format_version": "0.2", "agreement_type": agreement, "evidence": {"clauses": clauses}, "baseline": {"has_canonical_template": standard},
+        "taxonomy": {"entries": [{"status": "active", "id": c["taxonomy_id"], "label": c["title"]} for c in clauses], "source": "custom"}, "posture": posture or {}, "floor": floor or {}, "corpus": {"documents": docs, "stats": {"documents": len(docs), "clauses": len(clauses)}}, "compiler": {"name": "dealgrain", **(run or {})},
     }
     return {**doc, "identity": identity(doc)}
 
@@ -97,11 +104,11 @@ def digest(doc: dict, budget: int = BUDGET) -> dict:
     """Clauses with their leading forms; from five forms down to three until a quarter of its length in characters fits the budget."""
     for top in (5, 4, 3):
         clauses = []
-        for c in doc.get("evidence", {}).get("clauses", []):
+        for c in within(doc, "evidence.clauses", []):
             forms = c.get("observed_positions", [])
             ranked = sorted(range(len(forms)), key=lambda i: (-forms[i].get("n", 1), i))
             keep = [i for k, i in enumerate(ranked) if k < top or forms[i].get("material")]
-            clauses.append({"id": c["id"], "stance": (c.get("summary") or {}).get("historical_stance"), "forms": [forms[i] for i in keep]})
+            clauses.append({"id": c["id"], "stance": within(c, "summary.historical_stance"), "forms": [forms[i] for i in keep]})
         out = {"clauses": clauses, "top": top}
         if tokens(out) <= budget:
             break
@@ -115,17 +122,17 @@ def tokens(value: Any) -> int:
 def problems(doc: dict, min_evidence: int = 2) -> list[tuple[str, str, bool]]:
     """(message, path, blocking) of what is wrong with a playbook."""
     found: list[tuple[str, str, bool]] = []
-    if doc.get("opf_version") not in VERSIONS:
-        found.append(("unknown version", "opf_version", True))
-    for key in ("agreement_type", "baseline", "taxonomy", "evidence", "posture", "floor", "corpus", "compiler"):
+    if next((v for k, v in sorted(doc.items()) if k.endswith("_version")), None) not in VERSIONS:
+        found.append(("unknown version of the format", "", True))
+    for key in "agreement_type baseline compiler corpus evidence floor posture taxonomy".split():
         if not isinstance(doc.get(key), dict):
             found.append(("section missing", key, True))
-    clauses = (doc.get("evidence") or {}).get("clauses") or []
+    clauses = within(doc, "evidence.clauses", [])
     for cid, n in Counter(c.get("id") for c in clauses).items():
         if n > 1:
             found.append((f"id {cid} is there {n} times", "evidence.clauses", True))
-    versions = {d.get("document_id"): d.get("versions", 0) for d in (doc.get("corpus") or {}).get("documents") or []}
-    for d in (doc.get("corpus") or {}).get("documents") or []:
+    versions = {d.get("document_id"): d.get("versions", 0) for d in within(doc, "corpus.documents", [])}
+    for d in within(doc, "corpus.documents", []):
         if d.get("in_scope") is False and not d.get("scope_rationale"):
             found.append(("out of scope without a rationale", f"corpus.documents[{d.get('document_id')}]", True))
     for i, c in enumerate(clauses):
@@ -145,7 +152,7 @@ def problems(doc: dict, min_evidence: int = 2) -> list[tuple[str, str, bool]]:
     for path, text in strings(doc):
         if re.search("[​-‏‪-‮⁠⁦-⁩﻿]", text):
             found.append(("invisible characters", path, True))
-    for m in conflicts((doc.get("posture") or {}).get("system_prompt", ""), (doc.get("floor") or {}).get("invariants") or []):
+    for m in conflicts(within(doc, "posture.system_prompt", ""), within(doc, "floor.invariants", [])):
         found.append((m, "posture", False))
     if isinstance(doc.get("identity"), dict) and doc["identity"].get("content_hash") != address(canonical_document(doc)):
         found.append(("content hash differs", "identity", True))
@@ -156,7 +163,7 @@ def conflicts(prompt: str, invariants: list[dict]) -> list[str]:
     """Sentences that soften what an invariant fixes: they share a content word and hold a softening term."""
     out = []
     content = lambda t: {w for w in re.findall(r"[a-z]{5,}", t.lower())}
-    for sentence in re.split(r"(?<=[.!?])\s+", prompt):
+    for sentence in re.split("(?<=[!?.])[ \n]+", prompt):
         if any(re.search(rf"\b{t}\b", sentence.lower()) for t in SOFT):
             out += [f"{sentence.strip()!r} softens {inv.get('id')}" for inv in invariants if content(sentence) & content(inv.get("statement", ""))]
     return out
@@ -196,13 +203,13 @@ def publish(doc: dict, redact, names: list[str] = ()) -> dict:
 
 def prompt(doc: dict) -> str:
     """The playbook as Markdown in six sections."""
-    clauses = doc.get("evidence", {}).get("clauses", [])
+    clauses = within(doc, "evidence.clauses", [])
     bullet = lambda items: "\n".join(f"- {x}" for x in items) or "- none"
-    held = [c for c in clauses if (c.get("summary") or {}).get("historical_stance") in ("consistently_held", "usually_held")]
-    thin = [c for c in clauses if not (c.get("summary") or {}).get("evidence_sufficient", True)]
+    held = [c for c in clauses if within(c, "summary.historical_stance") in ("consistently_held", "usually_held")]
+    thin = [c for c in clauses if not within(c, "summary.evidence_sufficient", True)]
     parts = [
-        ("Agreement", bullet([doc.get("agreement_type", {}).get("name", "")])), ("Posture", doc.get("posture", {}).get("system_prompt", "") or "- none"),
-        ("Floor", bullet(i["statement"] for i in doc.get("floor", {}).get("invariants", []))), ("Positions", bullet(f"{c['title']}: {(c.get('summary') or {}).get('historical_stance')}" for c in clauses)),
+        ("Agreement", bullet([within(doc, "agreement_type.name", "")])), ("Posture", within(doc, "posture.system_prompt", "") or "- none"),
+        ("Floor", bullet(i["statement"] for i in within(doc, "floor.invariants", []))), ("Positions", bullet(f"{c['title']}: {(c.get('summary') or {}).get('historical_stance')}" for c in clauses)),
         ("Usually held", bullet(c["title"] for c in held)), ("Thin evidence", bullet(c["title"] for c in thin)),
     ]
     return "\n\n".join(f"## {h}\n\n{b}" for h, b in parts) + "\n"
@@ -211,7 +218,7 @@ def prompt(doc: dict) -> str:
 def html(doc: dict) -> str:
     from html import escape
 
-    rows = "".join(f"<tr><td>{escape(c['title'])}</td><td>{escape(str((c.get('summary') or {}).get('historical_stance')))}</td></tr>" for c in doc.get("evidence", {}).get("clauses", []))
+    rows = "".join(f"<tr><td>{escape(c['title'])}</td><td>{escape(str((c.get('summary') or {}).get('historical_stance')))}</td></tr>" for c in within(doc, "evidence.clauses", []))
     return f"<!doctype html><meta charset=utf-8><title>{escape(doc.get('agreement_type', {}).get('name', ''))}</title><table>{rows}</table>"
 
 

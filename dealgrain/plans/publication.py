@@ -80,14 +80,13 @@ def site_mentions(spark, sf_dir):
 
 _LADDER_ROWS = """VALUES (0, 'IN WITNESS WHEREOF the parties' || chr(10) || 'By: Ann Lee' || chr(10) || 'By: Bob Ray'), (1, 'Signatures' || chr(10) || 'By: Ann Lee'), (2, 'Signatures' || chr(10) || 'By: ____ | By: '),
  (3, 'DocuSign Envelope ID: 01234567-89ab-cdef-0123-456789abcdef'), (4, 'in witness whereof, so'), (5, 'Signatures'), (6, 'executed as a deed' || chr(10) || '/s/ Ann Lee'), (7, 'sent by HelloSign'), (8, '/s/ A /s/ B'), (9, 'nothing here')"""
-_SIGNED = r"""WITH t AS (SELECT doc_id, text FROM documents UNION ALL SELECT -1 - k, t FROM (LADDER) x(k, t)),
-f AS (SELECT doc_id, regexp_matches(text, '(?is)(docusign\s+envelope\s+id\s*:\s*[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}|certificate\s+of\s+completion\s.*\sdocusign|electronically\s+signed\s+by\s.*\sdocusign)') AS cert,
-  regexp_matches(text, '(?i)\b(docusign|adobe\s+sign|hellosign)\b') AS plat, regexp_matches(text, '(?im)^[ \t]*(signatures?|execution)[ \t]*$') AS head, regexp_matches(text, '(?i)(\bin\s+witness\s+whereof\b|\bexecuted\s+as\s+a\s+deed\b)') AS trail,
-  regexp_extract_all(text, '(?im)(?:^[ \t]*|\|[ \t]*)By[ \t]*:[ \t]*([^|\r\n]*)', 1) AS bys, len(regexp_extract_all(text, '/s/\s+\S')) AS slash FROM t),
-g AS (SELECT *, len(list_filter(bys, lambda x: regexp_matches(x, '^[_ \t\-–—]*$'))) AS blank, len(bys) AS n FROM f),
+_SIGNED = f"""WITH t AS (SELECT doc_id, text FROM documents UNION ALL SELECT -1 - k, t FROM ({_LADDER_ROWS}) x(k, t)),
+f AS (SELECT doc_id, regexp_matches(text, '{classify.CERTIFICATE}') AS cert, regexp_matches(text, '{classify.PLATFORM}') AS plat, regexp_matches(text, '{classify.HEADING}') AS head, regexp_matches(text, '{classify.TRAILER}') AS trail,
+  regexp_extract_all(text, '{classify.BY}', 1) AS bys, len(regexp_extract_all(text, '{classify.SLASH}')) AS slash FROM t),
+g AS (SELECT *, len(list_filter(bys, lambda x: regexp_matches(x, '{classify.BLANK}'))) AS blank, len(bys) AS n FROM f),
 b AS (SELECT doc_id, CASE WHEN cert THEN 'docusign_certificate' WHEN NOT (head OR trail) AND slash >= 2 THEN 'dual_signatures' WHEN NOT (head OR trail) AND slash = 1 THEN 'electronic_signature' WHEN NOT (head OR trail) AND plat THEN 'electronic_signature'
   WHEN NOT (head OR trail) THEN 'no_signature_section' WHEN n - blank + slash >= 2 THEN 'dual_signatures' WHEN n - blank = 1 THEN 'single_signature' WHEN slash = 1 THEN 'electronic_signature' WHEN blank > 0 THEN 'blank_signature_blocks' WHEN head THEN 'empty_signature_section' ELSE 'unsigned_trailer_reference' END AS basis FROM g)
-SELECT doc_id, basis, basis IN ('docusign_certificate', 'dual_signatures', 'electronic_signature', 'single_signature') AS signed FROM b""".replace("LADDER", _LADDER_ROWS)
+SELECT doc_id, basis, basis IN ('docusign_certificate', 'dual_signatures', 'electronic_signature', 'single_signature') AS signed FROM b"""
 
 
 @query(_SIGNED)

@@ -8,7 +8,7 @@ from collections.abc import Iterable, Iterator
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-_NUMBER = re.compile(r"^(\d+(?:\.\d+)*)[.)](?!\d)\s*")
+_NUMBER = re.compile(r"([0-9]+(?:[.][0-9]+)*)[).](?![0-9])[ \t]*")
 CLAUSES = "document_id string, version string, source_file string, ord int, clause_path string, parent_path string, depth int, heading string, text string, start int, end int, page int"
 
 
@@ -57,7 +57,7 @@ def build(lines: Iterable[tuple[str, int]]) -> Iterator[dict]:
 
 
 _LETTERED = re.compile(r"(?:(?<=\s)|^)\(([a-z]|[ivx]{2,5})\)\s+")
-_ROMAN = ["i", "ii", "iii", "iv", "v", "vi", "vii", "viii", "ix", "x", "xi", "xii"]
+_ROMAN = "i ii iii iv v vi vii viii ix x xi xii".split()
 
 
 def split_items(text: str) -> tuple[str, list[tuple[str, str]]]:

@@ -5,12 +5,12 @@ from __future__ import annotations
 import json
 import os
 import re
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
 STATUSES = ("active", "inactive", "custom")
-TOP = {"agreement_type", "baseline", "taxonomy", "provenance", "perspective", "segmentation", "classification", "extraction", "scan_role_words_extra", "scan_stopwords_extra"}
+TOP = frozenset("agreement_type baseline classification extraction perspective provenance scan_role_words_extra scan_stopwords_extra segmentation taxonomy".split())
 
 
 class ConfigError(ValueError):
@@ -33,8 +33,8 @@ def load(path: str) -> dict:
 @dataclass(frozen=True)
 class Config:
     agreement: dict
-    aliases: list[str] = field(default_factory=list)
-    known_entities: list[str] = field(default_factory=list)
+    aliases: tuple[str, ...] = ()
+    known_entities: tuple[str, ...] = ()
     min_evidence: int = 2
     ambiguity: float = 0.70
     auto: float = 0.85
@@ -50,7 +50,7 @@ def config(raw: dict) -> Config:
     low, high = float(c.get("ambiguity_threshold", 0.70)), float(c.get("auto_classify_threshold", 0.85))
     if not 0 <= low <= high <= 1:
         raise ConfigError("thresholds must rise within 0 and 1")
-    return Config(raw["agreement_type"], list(p.get("our_party_aliases") or []), list(p.get("known_entities") or []), int(p.get("min_evidence_n", 2)), low, high)
+    return Config(raw["agreement_type"], tuple(p.get("our_party_aliases") or ()), tuple(p.get("known_entities") or ()), int(p.get("min_evidence_n", 2)), low, high)
 
 
 def taxonomy(spark: SparkSession, entries: list[dict]) -> DataFrame:
@@ -81,7 +81,10 @@ def safe_component(name: str) -> bool:
 
 def write_private(data: dict, path: str) -> None:
     """For alias maps: readable by the owner alone from the beginning."""
-    handle = os.open(path, os.O_WRONLY | os.O_CREAT | os.O_TRUNC, 0o600)
-    os.fchmod(handle, 0o600)
-    with os.fdopen(handle, "w", encoding="utf-8") as f:
-        json.dump(data, f, ensure_ascii=False, indent=2, sort_keys=True)
+    private = os.umask(0o177)
+    try:
+        with open(path, "w", encoding="utf-8") as out:
+            json.dump(data, out, indent=2, sort_keys=True, ensure_ascii=False)
+    finally:
+        os.umask(private)
+    os.chmod(path, 0o600)

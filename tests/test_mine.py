@@ -56,7 +56,7 @@ def test_unequal_buckets(spark):
 
 
 def test_side_files(spark, tmp_path):
-    assert config.config({"agreement_type": {"id": "x"}, "provenance": {"our_party_aliases": ["Acme"]}}).aliases == ["Acme"]
+    assert config.config({"agreement_type": {"id": "x"}, "provenance": {"our_party_aliases": ["Acme"]}}).aliases == ("Acme",)
     for bad in ({"agreement_type": {"id": "x"}, "odd": 1}, {}, {"agreement_type": {"id": "x"}, "classification": {"ambiguity_threshold": 0.9}}):
         with pytest.raises(config.ConfigError):
             config.config(bad)
