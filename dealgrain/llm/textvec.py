@@ -73,7 +73,7 @@ def raw(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
-def pieces(column: pa.Array | pa.ChunkedArray, most: int = 1 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def pieces(column: pa.Array | pa.ChunkedArray, most: int = 1 << 19) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, bytes, offsets) of runs of whole texts of about ``most`` bytes; a longer text is a run of its own."""
     data, offsets = raw(column)
     row, n = 0, len(offsets) - 1
