@@ -34,7 +34,7 @@ from .shared import cut, fresh, need
 from .textvec import Runs, distinct, mix, pieces
 
 BITS = 128
-RADIUS = 30
+RADIUS = 22
 FEW = 8
 BANDS, WIDTH, BUCKET = 16, 10, 16384
 TYPICAL, RECALL = 20, 0.97
