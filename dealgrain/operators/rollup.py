@@ -26,10 +26,17 @@ def _judged() -> Column:
     return ~F.coalesce(F.col("basis"), F.lit("")).isin(*UNJUDGED)
 
 
+def _text_counts(observations: DataFrame) -> DataFrame:
+    """(taxonomy_id, full_text, precedent_count): texts are counted before they are summed by key, so a frequent text is combined where it is read."""
+    texts = observations.groupBy("taxonomy_id", "full_text").agg(F.count("*").alias("n"))
+    same = Window.partitionBy("taxonomy_id", dedup_key(F.col("full_text")))
+    return texts.select("taxonomy_id", "full_text", F.sum("n").over(same).cast("bigint").alias("precedent_count"))
+
+
 def precedents(observations: DataFrame) -> DataFrame:
     """precedent_count: observations of the same taxonomy with the same text but for case and blanks."""
-    key = Window.partitionBy("taxonomy_id", dedup_key(F.col("full_text")))
-    return observations.withColumn("precedent_count", F.count("*").over(key))
+    c = _text_counts(observations).select(F.col("taxonomy_id").alias("__t"), F.col("full_text").alias("__x"), "precedent_count")
+    return observations.join(c, F.col("taxonomy_id").eqNullSafe(F.col("__t")) & F.col("full_text").eqNullSafe(F.col("__x"))).drop("__t", "__x")
 
 
 def rollup(observations: DataFrame, standards: DataFrame | None = None, min_evidence: int = MIN_EVIDENCE) -> DataFrame:
@@ -83,10 +90,14 @@ def fallbacks(observations: DataFrame) -> DataFrame:
 
 def acceptable(observations: DataFrame) -> DataFrame:
     """Signed neutral variants, one for each text of a taxonomy, those on own paper first."""
-    kept = precedents(counted(observations)).where((F.col("outcome") == "signed") & (F.col("direction") == "neutral") & (F.col("deviation") != "none") & _judged())
+    every = counted(observations)
+    kept = every.where((F.col("outcome") == "signed") & (F.col("direction") == "neutral") & (F.col("deviation") != "none") & _judged())
     ours_first = F.when(F.col("provenance") == OUR, 0).otherwise(1)
-    first = kept.withColumn("turn", F.row_number().over(Window.partitionBy("taxonomy_id", "full_text").orderBy(ours_first, "ord"))).where("turn = 1").drop("turn")
-    return first.withColumn("rank", F.row_number().over(Window.partitionBy("taxonomy_id").orderBy(ours_first, "ord")))
+    others = [c for c in observations.columns if c not in ("taxonomy_id", "full_text")]
+    first = kept.groupBy("taxonomy_id", "full_text").agg(F.min_by(F.struct(*others), F.struct(ours_first, "ord")).alias("x")).select("taxonomy_id", "full_text", "x.*")
+    c = _text_counts(every).select(F.col("taxonomy_id").alias("__t"), F.col("full_text").alias("__x"), "precedent_count")
+    told = first.join(c, (F.col("taxonomy_id") == F.col("__t")) & F.col("full_text").eqNullSafe(F.col("__x"))).drop("__t", "__x")
+    return told.withColumn("rank", F.row_number().over(Window.partitionBy("taxonomy_id").orderBy(ours_first, "ord")))
 
 
 def library(observations: DataFrame) -> DataFrame:
