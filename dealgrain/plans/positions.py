@@ -22,15 +22,15 @@ def query(sql: str | None = None):
 
 
 _FACTS = """agg AS (
-  SELECT taxonomy_id, count(*) AS n_observations, count_if(provenance = 'our_paper') AS n_our_paper, count_if(provenance = 'counterparty_paper') AS n_counterparty_paper,
-    count_if(outcome = 'signed' AND direction = 'neutral' AND deviation <> 'none' AND basis NOT IN ('stub', 'needs_review')) AS n_acceptable,
-    count_if(provenance = 'our_paper' AND outcome = 'signed' AND direction = 'worse') AS n_fallbacks,
-    count_if(outcome = 'proposed_then_reversed') AS n_rejected,
-    count_if(provenance = 'our_paper' AND outcome = 'proposed_then_reversed') AS n_our_rejected,
-    count_if(provenance = 'our_paper' AND outcome = 'signed' AND direction = 'neutral' AND deviation <> 'none' AND basis NOT IN ('stub', 'needs_review')) AS n_our_variants,
-    count_if(basis = 'stub') AS n_stub,
-    count_if(provenance = 'our_paper' AND (outcome = 'proposed_then_reversed' OR direction <> 'worse')) AS held_ours,
-    count_if(outcome = 'proposed_then_reversed' OR direction <> 'worse') AS held_all
+  SELECT taxonomy_id, count(*) AS n_observations, count(CASE WHEN provenance = 'our_paper' THEN 1 END) AS n_our_paper, count(CASE WHEN provenance = 'counterparty_paper' THEN 1 END) AS n_counterparty_paper,
+    count(CASE WHEN outcome = 'signed' AND direction = 'neutral' AND deviation <> 'none' AND basis NOT IN ('stub', 'needs_review') THEN 1 END) AS n_acceptable,
+    count(CASE WHEN provenance = 'our_paper' AND outcome = 'signed' AND direction = 'worse' THEN 1 END) AS n_fallbacks,
+    count(CASE WHEN outcome = 'proposed_then_reversed' THEN 1 END) AS n_rejected,
+    count(CASE WHEN provenance = 'our_paper' AND outcome = 'proposed_then_reversed' THEN 1 END) AS n_our_rejected,
+    count(CASE WHEN provenance = 'our_paper' AND outcome = 'signed' AND direction = 'neutral' AND deviation <> 'none' AND basis NOT IN ('stub', 'needs_review') THEN 1 END) AS n_our_variants,
+    count(CASE WHEN basis = 'stub' THEN 1 END) AS n_stub,
+    count(CASE WHEN provenance = 'our_paper' AND (outcome = 'proposed_then_reversed' OR direction <> 'worse') THEN 1 END) AS held_ours,
+    count(CASE WHEN outcome = 'proposed_then_reversed' OR direction <> 'worse' THEN 1 END) AS held_all
   FROM counted GROUP BY taxonomy_id),
 placed AS (SELECT *, CASE WHEN n_our_paper = 0 OR n_stub > 0 OR n_our_paper < 2 OR n_fallbacks > 0 THEN 'negotiable' WHEN n_our_variants > 0 THEN 'acceptable_variants_exist' WHEN n_our_rejected > 0 THEN 'hold_firm' ELSE 'standard' END AS position FROM agg),
 stanced AS (SELECT *, CASE WHEN n_stub > 0 OR n_our_paper < 2 THEN 'no_signal' WHEN position = 'negotiable' THEN CASE WHEN n_our_rejected > 0 THEN 'mixed' ELSE 'usually_conceded' END
@@ -76,7 +76,7 @@ def acceptable_variants(spark, sf_dir):
     return rollup.acceptable(observations(spark, sf_dir)).select("taxonomy_id", "full_text", "provenance", "document_id", "precedent_count", "rank")
 
 
-@query(f"""WITH {SQL_OBSERVATIONS} SELECT taxonomy_id, count(*) AS n_forms, count_if(provenance = 'counterparty_paper') AS n_counterparty_paper, array_to_string(list_sort(list(DISTINCT full_text)), '|') AS forms
+@query(f"""WITH {SQL_OBSERVATIONS} SELECT taxonomy_id, count(*) AS n_forms, count(CASE WHEN provenance = 'counterparty_paper' THEN 1 END) AS n_counterparty_paper, array_to_string(list_sort(list(DISTINCT full_text)), '|') AS forms
 FROM observations WHERE taxonomy_id IS NOT NULL AND outcome = 'signed' GROUP BY taxonomy_id""")
 def clause_library(spark, sf_dir):
     return rollup.library(observations(spark, sf_dir)).withColumn("forms", F.array_join("forms", "|"))
@@ -125,7 +125,7 @@ def degenerate_share(spark, sf_dir):
     return coverage.degenerate_shares(table(spark, sf_dir, "events"), "user_id", "event_type")
 
 
-@query("SELECT count(*) AS total, count_if(quality = 1) AS in_scope, count_if(quality = 0) AS out_of_scope, count_if(l.doc_id IS NULL) AS undecided, count_if(d.doc_id IS NULL) AS without_trail FROM documents d FULL JOIN labels l ON l.doc_id = d.doc_id")
+@query("SELECT count(*) AS total, count(CASE WHEN quality = 1 THEN 1 END) AS in_scope, count(CASE WHEN quality = 0 THEN 1 END) AS out_of_scope, count(CASE WHEN l.doc_id IS NULL THEN 1 END) AS undecided, count(CASE WHEN d.doc_id IS NULL THEN 1 END) AS without_trail FROM documents d FULL JOIN labels l ON l.doc_id = d.doc_id")
 def corpus_coverage(spark, sf_dir):
     scope = table(spark, sf_dir, "labels").select("doc_id", (F.col("quality") == 1).alias("in_scope"))
     return coverage.corpus(scope, table(spark, sf_dir, "documents"), "doc_id")

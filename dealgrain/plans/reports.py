@@ -48,7 +48,7 @@ def apply_feedback(index: DataFrame, feedback: DataFrame) -> DataFrame:
     return both.select("item", "route", "value", "clause_id", F.when(~known, "unknown route").when(F.col("clause_id").isNull(), "unknown item").alias("error"))
 
 
-@query(f"""WITH {SQL_OBSERVATIONS} SELECT field, count_if(v = '') AS blank, count_if(v = 'needs_review') AS needs_review, count_if(v NOT IN ('', 'needs_review')) AS filled
+@query(f"""WITH {SQL_OBSERVATIONS} SELECT field, count(CASE WHEN v = '' THEN 1 END) AS blank, count(CASE WHEN v = 'needs_review' THEN 1 END) AS needs_review, count(CASE WHEN v NOT IN ('', 'needs_review') THEN 1 END) AS filled
 FROM (SELECT 'taxonomy_id' AS field, coalesce(taxonomy_id, '') AS v FROM observations UNION ALL SELECT 'deviation', deviation FROM observations UNION ALL SELECT 'basis', basis FROM observations) GROUP BY field""")
 def honesty_audit(spark, sf_dir):
     return coverage.honesty(observations(spark, sf_dir), "taxonomy_id", "deviation", "basis")
@@ -61,8 +61,8 @@ def judgment_economics(spark, sf_dir):
     return coverage.judgment_economics(docs.join(labels, "doc_id", "left_anti"), docs.join(labels, "doc_id"))
 
 
-@query(f"""WITH {SQL_OBSERVATIONS}, t AS (SELECT document_id, bool_or(outcome = 'signed') AS signed, count_if(outcome = 'proposed_then_reversed') AS reversals, count(*) > 1 AS ordered FROM observations GROUP BY 1)
-SELECT count(*) AS trails, count_if(ordered) AS ordered, count_if(signed) AS signed, count_if(reversals > 0) AS with_reversals FROM t""")
+@query(f"""WITH {SQL_OBSERVATIONS}, t AS (SELECT document_id, bool_or(outcome = 'signed') AS signed, count(CASE WHEN outcome = 'proposed_then_reversed' THEN 1 END) AS reversals, count(*) > 1 AS ordered FROM observations GROUP BY 1)
+SELECT count(*) AS trails, count(CASE WHEN ordered THEN 1 END) AS ordered, count(CASE WHEN signed THEN 1 END) AS signed, count(CASE WHEN reversals > 0 THEN 1 END) AS with_reversals FROM t""")
 def backbone_health(spark, sf_dir):
     t = observations(spark, sf_dir).groupBy("document_id").agg(F.bool_or(F.col("outcome") == "signed").alias("signed"), F.count_if(F.col("outcome") == "proposed_then_reversed").alias("reversals"), (F.count("*") > 1).alias("ordered"))
     return coverage.backbone(t)
