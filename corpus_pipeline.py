@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir), works on all rows its predecessor kept and returns their columns unchanged but for
 texts that lose lines; the last returns ``doc_id``, ``pieces``, ``n_pieces`` and ``round_trip``. ``run`` writes each stage as Parquet in the
-folder that ``spark.checkpoint.dir`` names and reads it again for the next.
+folder that ``spark.checkpoint.dir`` names and reads it again for the next, then
+deletes what the stage before had written.
 
 SQL can't express the classifier, so there is no ``ORACLE_SQL``; tests hold each stage against a brute-force version.
 """
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 from dealgrain.llm import line_dedup, quality_classifier, sentencepiece_codec, simhash_dedup, source_mixing
 from dealgrain.llm.queries import SENTENCEPIECE_MODEL
-from dealgrain.llm.shared import find_here, read_table, written
+from dealgrain.llm.shared import find_here, read_table, removed, saved
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,9 +54,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents")
+    docs, before = read_table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        out = stage(spark, docs, sf_dir)
+        path = saved(out, f"pipeline-{name}")
+        docs = spark.read.schema(out.schema).parquet(path)
+        if before:
+            removed(spark, before)
+        before = path
     return docs
 
 

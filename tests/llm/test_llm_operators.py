@@ -235,11 +235,12 @@ def test_passages_are_brute_force(spark):
 
 def test_pipeline_is_its_stages(spark, sf):
     import corpus_pipeline
+    from dealgrain.llm.shared import written
 
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     ids = {r.doc_id for r in docs.collect()}
     for _, stage in corpus_pipeline.STAGES:
-        docs = corpus_pipeline.written(stage(spark, docs, sf), "test")
+        docs = written(stage(spark, docs, sf), "test")
         left = {r.doc_id for r in docs.collect()}
         assert left <= ids and len(left) == docs.count() and len(left) > 20
         ids = left
