@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text_ops import entry_id, heading_words, jaccard, normalize, overlap, title, words
+from ..functions.text_ops import entry_id, heading_words, normalize, overlap, title, words
 from .similarity import best_match, leaders
 
 AUTO, AMBIGUOUS = 0.85, 0.70
@@ -97,7 +97,7 @@ def classify(clauses: DataFrame, taxonomy: DataFrame, verdicts: DataFrame | None
     live = taxonomy.where(F.col("status").isin("active", "custom"))
     exact = live.groupBy(normalize(F.col("label")).alias("norm")).agg(F.min_by("id", "ord").alias("exact_id"))
     c = clauses.withColumn("norm", normalize(F.col("heading"))).join(exact, "norm", "left")
-    near = best_match(c.where("exact_id is null and norm <> ''").select("clause", words(F.col("heading")).alias("words")), live.select("id", "ord", words(F.col("label")).alias("ref_words")), "clause", "id", "ord", jaccard)
+    near = best_match(c.where("exact_id is null and norm <> ''").select("clause", words(F.col("heading")).alias("words")), live.select("id", "ord", words(F.col("label")).alias("ref_words")), "clause", "id", "ord")
     c = c.join(near.select("clause", F.col("id").alias("near_id"), "similarity"), "clause", "left")
     if verdicts is not None:
         c = c.join(verdicts.select("clause", "verdict_id"), "clause", "left").join(live.select(F.col("id").alias("verdict_id"), F.lit(True).alias("known")), "verdict_id", "left")
@@ -129,7 +129,7 @@ def induce(headings: DataFrame, checkpoint: Callable, share: float = 0.20, near:
     g = h.join(led, h.norm == led.node).groupBy("leader").agg(F.count_distinct("document_id").alias("documents"), F.count_distinct("norm").alias("forms"))
     g = g.withColumn("frequency", F.col("documents") / F.lit(max(total, 1)))
     if known is not None:
-        best = best_match(g.select("leader", words(F.col("leader")).alias("words")), known.select(F.col("id").alias("origin"), "ord", words(F.col("label")).alias("ref_words")), "leader", "origin", "ord", jaccard, match)
+        best = best_match(g.select("leader", words(F.col("leader")).alias("words")), known.select(F.col("id").alias("origin"), "ord", words(F.col("label")).alias("ref_words")), "leader", "origin", "ord", match)
         g = g.join(best.select("leader", "origin"), "leader", "left")
     else:
         g = g.withColumn("origin", F.lit(None).cast("string"))

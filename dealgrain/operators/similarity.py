@@ -30,16 +30,16 @@ def similar_pairs(sets: DataFrame, threshold: float, key: str = "key", words: st
     return full.select(F.col("k").alias("a"), F.col("k2").alias("b"), jaccard(F.col("wa"), F.col("wb")).alias("similarity")).where(F.col("similarity") >= threshold)
 
 
-def best_match(items: DataFrame, references: DataFrame, item: str, reference: str, order: str, similarity: Callable, low: float = 0.0) -> DataFrame:
-    """Each item's most similar reference, the first in ``order`` on ties; none below ``low``.
+def best_match(items: DataFrame, references: DataFrame, item: str, reference: str, order: str, low: float = 0.0) -> DataFrame:
+    """Each item's reference of the highest Jaccard similarity, the first in ``order`` on ties; none below ``low``.
 
-    ``items`` has ``item`` and words, ``references`` have ``reference``, ``order`` and ref_words. References are a dictionary, met by
-    an equi-join on shared words, so an item without a shared word has no match.
+    ``items`` has ``item`` and words, ``references`` have ``reference``, ``order`` and ref_words, both sets. Shared words are counted by an
+    equi-join that carries the sets' sizes and not the sets; an item without a shared word has no match.
     """
-    a = items.select(item, "words", F.explode("words").alias("word"))
-    b = references.select(reference, order, "ref_words", F.explode("ref_words").alias("word"))
-    pairs = a.join(b, "word").groupBy(item, reference).agg(F.first("words").alias("words"), F.first("ref_words").alias("ref_words"), F.first(order).alias(order))
-    scored = pairs.withColumn("similarity", similarity(F.col("words"), F.col("ref_words"))).where(F.col("similarity") >= low)
+    a = items.select(item, F.size("words").alias("n"), F.explode("words").alias("word"))
+    b = references.select(reference, order, F.size("ref_words").alias("m"), F.explode("ref_words").alias("word"))
+    pairs = a.join(b, "word").groupBy(item, reference, order, "n", "m").agg(F.count("*").alias("shared"))
+    scored = pairs.withColumn("similarity", F.col("shared") / (F.col("n") + F.col("m") - F.col("shared"))).where(F.col("similarity") >= low)
     return scored.groupBy(item).agg(F.max_by(F.struct(reference, "similarity"), F.struct("similarity", -F.col(order))).alias("m")).select(item, f"m.{reference}", "m.similarity")
 
 

@@ -147,7 +147,7 @@ SELECT doc_id, item_id, round(similarity, 9) AS similarity, CASE WHEN similarity
 def standard_match(spark, sf_dir):
     items = table(spark, sf_dir, "documents").where("doc_id % 4 = 0").select("doc_id", words(F.col("text")).alias("words"))
     refs = table(spark, sf_dir, "benchmark").select("item_id", words(F.col("text")).alias("ref_words"), F.col("item_id").alias("order"))
-    best = similarity.best_match(items, refs, "doc_id", "item_id", "order", jaccard)
+    best = similarity.best_match(items, refs, "doc_id", "item_id", "order")
     return best.select("doc_id", "item_id", F.round("similarity", 9).alias("similarity"), F.when(F.col("similarity") >= 0.85, "auto").when(F.col("similarity") < 0.70, "unclassified").otherwise("judge").alias("band"))
 
 
