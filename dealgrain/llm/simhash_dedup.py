@@ -3,13 +3,15 @@
 A document's code has ``BITS`` bits: the majority, over its distinct words of at least four bytes (all words where there
 are none), of each bit of their hashes. Documents with fewer than ``FEW`` such words get a random code of that set of
 words, so they match equal sets alone; texts without a word get one of their bytes. Two documents are near copies when
-their codes differ in at most ``RADIUS`` bits, and groups are the connected components of that relation.
+their codes differ in at most ``RADIUS`` bits, or in at most ``WIDE`` and the sets of their ``SHINGLE``-word shingles have a Jaccard
+similarity of at least ``SIMILAR``; groups are the connected components of that relation.
 
 Equal codes are one node. Candidates share one of ``BANDS`` disjoint-by-turns samples of ``width`` code bits; a bucket is
 compared all against all: bit planes are stored vertically, 64 codes a word, the differences of 8 planes at a time go
 through a carry-save adder into bitwise counters, and a block of codes is left as soon as every counter in it exceeds
 the radius. A bucket passes on a spanning forest and not its pairs, so what follows is linear in the documents whatever
-the groups' sizes. ``width`` grows with the logarithm of the number of codes beyond ``BUCKET`` a bucket, and the number of bands with it so that
+the groups' sizes. Pairs beyond the radius are passed on one by one where the forest doesn't tie them, and their texts compared
+exactly; of a node the texts that differ are all compared. ``width`` grows with the logarithm of the number of codes beyond ``BUCKET`` a bucket, and the number of bands with it so that
 ``RECALL`` of pairs at ``TYPICAL`` bits share a bucket.
 
 Null texts have no code and stay alone. Empty texts are equal to one another. Very long texts are hashed whole. Rows
@@ -31,13 +33,16 @@ from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
 from .shared import cut, fresh, need
-from .textvec import Runs, distinct, mix, pieces
+from .textvec import Runs, distinct, mix, pieces, windows
 
 BITS = 128
 RADIUS = 22
+WIDE = 30
+SHINGLE, SIMILAR = 3, 0.5
+BROADCAST = 200_000
 FEW = 8
 BANDS, WIDTH, BUCKET = 16, 10, 16384
-TYPICAL, RECALL = 20, 0.97
+TYPICAL, RECALL = 30, 0.97
 _NULL_ID = -(1 << 63)
 
 
@@ -142,10 +147,9 @@ def within(vertical: np.ndarray, queries: np.ndarray, radius: int = RADIUS) -> t
     return rows[r[k]], w[k] * 64 + lane
 
 
-def forest(c: np.ndarray, radius: int = RADIUS, tile: int = 256) -> np.ndarray:
-    """For each code the first one of its component in this block."""
+def _pairs(c: np.ndarray, radius: int, tile: int = 256) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(code, later code) numbers of all pairs at most ``radius`` bits apart, in parts."""
     n = len(c)
-    root = np.arange(n)
     vertical = planes(c)
     step = max(1, min(tile, (1 << 22) // max(n, 1)))
     for at in range(0, n, step):
@@ -153,16 +157,28 @@ def forest(c: np.ndarray, radius: int = RADIUS, tile: int = 256) -> np.ndarray:
         q, other = within(vertical[:, head:], c[at : at + step], radius)
         q, other = q + at, other + head * 64
         real = (other < n) & (other > q)
-        q, other = q[real], other[real]
-        while len(q):
-            low = np.minimum(root[q], root[other])
-            before = root.copy()
-            for side in (root[q], root[other], q, other):
-                np.minimum.at(root, side, low)
-            while not np.array_equal(root, root[root]):
-                root = root[root]
-            if np.array_equal(before, root):
-                break
+        yield q[real], other[real]
+
+
+def _tie(root: np.ndarray, q: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """``root`` with these pairs in one component."""
+    while len(q):
+        low = np.minimum(root[q], root[other])
+        before = root.copy()
+        for side in (root[q], root[other], q, other):
+            np.minimum.at(root, side, low)
+        while not np.array_equal(root, root[root]):
+            root = root[root]
+        if np.array_equal(before, root):
+            break
+    return root
+
+
+def forest(c: np.ndarray, radius: int = RADIUS, tile: int = 256) -> np.ndarray:
+    """For each code the first one of its component in this block."""
+    root = np.arange(len(c))
+    for q, other in _pairs(c, radius, tile):
+        root = _tie(root, q, other)
     return root
 
 
@@ -202,24 +218,46 @@ class _Bands:
 
 
 class _Compare:
-    """Links of the buckets of rows sorted by bucket."""
+    """Links of the buckets of rows sorted by bucket: sure ones, and pairs up to ``wide`` bits apart to be confirmed."""
 
-    def __init__(self, radius: int):
-        self.radius = radius
+    def __init__(self, radius: int, wide: int):
+        self.radius, self.wide = radius, wide
 
     def _links(self, table: pa.Table) -> Iterator[pa.RecordBatch]:
         bucket, node, c0, c1 = (table.column(k).to_numpy() for k in range(4))
         turns = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
         c = np.stack([c0, c1], axis=1).view(np.uint64)
-        us, vs = [], []
+        us, vs, sure = [], [], []
+
+        def batch() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (us, vs, sure)], names=["u", "v", "sure"])
+            for x in (us, vs, sure):
+                x.clear()
+            return out
+
+        def add(u: np.ndarray, v: np.ndarray, known: bool) -> None:
+            us.append(u)
+            vs.append(v)
+            sure.append(np.full(len(u), known))
+
         for a, b in zip(turns[:-1], turns[1:]):
-            if b - a > 1:
-                root = forest(np.ascontiguousarray(c[a:b]), self.radius)
-                tied = np.flatnonzero(root != np.arange(b - a))
-                us.append(node[a + tied])
-                vs.append(node[a + root[tied]])
+            if b - a < 2:
+                continue
+            block, own = np.ascontiguousarray(c[a:b]), node[a:b]
+            root = np.arange(b - a)
+            for q, other in _pairs(block, max(self.radius, self.wide)):
+                near = np.bitwise_count(block[q] ^ block[other]).sum(axis=1) <= self.radius
+                root = _tie(root, q[near], other[near])
+                apart = ~near & (root[q] != root[other])
+                if apart.any():
+                    add(np.minimum(own[q[apart]], own[other[apart]]), np.maximum(own[q[apart]], own[other[apart]]), False)
+                    if sum(map(len, us)) > 1 << 18:
+                        yield batch()
+            tied = np.flatnonzero(root != np.arange(b - a))
+            if len(tied):
+                add(own[tied], own[root[tied]], True)
         if us:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], names=["u", "v"])
+            yield batch()
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[pa.RecordBatch] = []
@@ -240,7 +278,35 @@ class _Compare:
             yield from self._links(pa.Table.from_batches(kept))
 
 
-def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
+def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(t, the distinct shingles of the text) of (t, text)."""
+    for batch in batches:
+        for row, data, offsets in pieces(batch.column(1)):
+            runs = Runs(data, offsets)
+            sets = [distinct(windows(runs.hash[a:b], SHINGLE)).view(np.int64) for a, b in zip(runs.first[:-1], runs.first[1:])]
+            bounds = np.append(0, np.cumsum([len(x) for x in sets])).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(sets)), pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate(sets)))], names=["t", "shingles"])
+
+
+def _confirmed(source: DataFrame, coded: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Those of the pairs of nodes (u, v) that have texts whose shingle sets are similar.
+
+    Up to ``BROADCAST`` hashes of the texts asked for, counted first, go to the scan of the texts; beyond that the join shuffles.
+    """
+    ends = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    asked = cut(coded.where("c0 is not null").select(F.xxhash64("c0", "c1").alias("node"), "t").join(ends, "node").distinct())
+    wanted = asked.select("t").distinct()
+    if asked.count() <= BROADCAST:
+        wanted = F.broadcast(wanted)
+    sets = cut(source.where("t is not null").select("t", "text").join(wanted, "t").mapInArrow(_shingles, "t bigint, shingles array<bigint>").dropDuplicates(["t"]))
+    side = lambda end, t: asked.select(F.col("node").alias(end), F.col("t").alias(t))
+    held = lambda t, s: sets.select(F.col("t").alias(t), F.col("shingles").alias(s))
+    both = pairs.join(side("u", "tu"), "u").join(side("v", "tv"), "v").join(held("tu", "su"), "tu").join(held("tv", "sv"), "tv")
+    shared = F.size(F.array_intersect("su", "sv"))
+    return both.where((shared > 0) & (shared >= F.lit(SIMILAR) * (F.size("su") + F.size("sv") - shared))).select("u", "v")
+
+
+def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, wide: int = WIDE) -> DataFrame:
     """(id, t, group, lead): one row for each row of ``docs``. id and group are BIGINT with the least value for a null id,
     t is a hash of the text, null for a null text, and lead tells whether (id, t) is the smallest of its group."""
     need(docs, id_col, text_col)
@@ -250,8 +316,14 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radi
     nodes = cut(coded.where("c0 is not null").groupBy("c0", "c1").agg(F.min(F.struct("id", "t")).alias("least")).withColumn("node", F.xxhash64("c0", "c1")))
     width, bands = plan(nodes.count())
     spread = nodes.select("node", "c0", "c1").mapInArrow(_Bands(width, bands), "bucket bigint, node bigint, c0 bigint, c1 bigint")
-    links = spread.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_Compare(radius), "u bigint, v bigint")
+    compared = cut(spread.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_Compare(radius, wide), "u bigint, v bigint, sure boolean").distinct())
+    links = compared.where("sure").select("u", "v")
     tied = connected_components(links, cut)
+    root = lambda end: tied.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}"))
+    apart = compared.where("not sure").join(root("u"), "u", "left").join(root("v"), "v", "left").where(F.coalesce("root_u", "u") != F.coalesce("root_v", "v"))
+    apart = cut(apart.select("u", "v"))
+    if not apart.isEmpty():
+        tied = connected_components(links.unionByName(_confirmed(source, coded, apart)), cut)
     roots = nodes.join(tied, "node", "left").select("c0", "c1", "least", F.coalesce("root", "node").alias("root"))
     first = roots.groupBy("root").agg(F.min("least").alias("first"))
     held = coded.join(roots.join(first, "root").select("c0", "c1", "first"), ["c0", "c1"], "left")

@@ -251,3 +251,21 @@ def test_rules_of_quality(spark):
     rows = [(1, "word " * 60), (2, "THE!! AND!! OF!! IT!! IS!! TO!!"), (3, "The of and to in is " * 20)]
     out = {r.doc_id: r.failed for r in quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
     assert out == {1: "stop_words,repeated_words", 2: "symbols", 3: ""}
+
+
+def test_simhash_confirms_wide_pairs(spark):
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(0, 60, 2):
+        words = [f"word{x}" for x in rng.integers(0, 10**6, 80)]
+        rows += [(i, " ".join(words)), (i + 1, " ".join(words[:56] + [f"other{x}" for x in rng.integers(0, 10**6, 12)] + words[68:]))]
+    _, data, offsets = next(pieces(pa.array([t for _, t in rows])))
+    c = simhash_dedup.codes(data, offsets)
+    d = np.bitwise_count(c[::2] ^ c[1::2]).sum(1)
+    wide = [2 * int(k) for k in np.flatnonzero((d > simhash_dedup.RADIUS) & (d <= 30))]
+    assert len(wide) > 5
+    mixed = [(100 + i, " ".join(sorted(t.split()))) for i, t in rows if i in wide]  # codes as near, shingles all others
+    group = {r.doc_id: r.group_id for r in simhash_dedup.simhash_dedup(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert sum(group[i + 1] == i for i in wide) >= 0.9 * len(wide)
+    apart = [(i, t) for i, t in rows if i - 1 in wide] + mixed
+    assert all(r.keep for r in simhash_dedup.simhash_dedup(spark.createDataFrame(apart, "doc_id bigint, text string")).collect())
