@@ -71,7 +71,8 @@ def codes(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         many = np.flatnonzero(count >= FEW)
         if len(many):
             bits = np.unpackbits(mix(word ^ seed).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            ones = np.add.reduceat(bits, np.minimum(first[:-1], len(word) - 1), axis=0, dtype=np.int32)[many]
+            bits = np.concatenate([bits, np.zeros((1, bits.shape[1]), dtype=np.uint8)])  # where the last texts have no word
+            ones = np.add.reduceat(bits, first[:-1], axis=0, dtype=np.int32)[many]
             out[many, k] = np.packbits(2 * ones > count[many, None], axis=1, bitorder="little").view(np.uint64).ravel()
     return out
 

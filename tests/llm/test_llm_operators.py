@@ -269,3 +269,11 @@ def test_simhash_confirms_wide_pairs(spark):
     assert sum(group[i + 1] == i for i in wide) >= 0.9 * len(wide)
     apart = [(i, t) for i, t in rows if i - 1 in wide] + mixed
     assert all(r.keep for r in simhash_dedup.simhash_dedup(spark.createDataFrame(apart, "doc_id bigint, text string")).collect())
+
+
+def test_codes_do_not_depend_on_what_follows():
+    text = "seven words that have more letters than eight others"
+    for k in range(20):
+        _, alone, a = next(pieces(pa.array([f"{text} number{k}"])))
+        _, both, b = next(pieces(pa.array([f"{text} number{k}", "", None, "!!"])))
+        assert (simhash_dedup.codes(alone, a)[0] == simhash_dedup.codes(both, b)[0]).all()
