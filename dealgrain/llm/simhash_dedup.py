@@ -2,9 +2,10 @@
 
 A document's code has ``BITS`` bits: the majority, over its distinct words of at least four bytes (all words where there
 are none), of each bit of their hashes. Documents with fewer than ``FEW`` such words get a random code of that set of
-words, so they match equal sets alone; texts without a word get one of their bytes. Two documents are near copies when
+words, so codes match equal sets alone; texts without a word get one of their bytes. Two documents are near copies when
 their codes differ in at most ``RADIUS`` bits, or in at most ``WIDE`` and the sets of their ``SHINGLE``-word shingles have a Jaccard
-similarity of at least ``SIMILAR``; groups are the connected components of that relation.
+similarity of at least ``SIMILAR``. A text of fewer than ``FEW`` such words is compared with all of fewer than ``2 * FEW`` by an exact
+join of the sets of all their words, near copies from ``SHORT`` on. Groups are the connected components of that relation.
 
 Equal codes are one node. Candidates share one of ``BANDS`` disjoint-by-turns samples of ``width`` code bits; a bucket is
 compared all against all: bit planes are stored vertically, 64 codes a word, the differences of 8 planes at a time go
@@ -32,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
+from ..operators.similarity import similar_pairs
 from .shared import cut, fresh, need
 from .textvec import Runs, distinct, mix, pieces, windows
 
@@ -43,11 +45,17 @@ BROADCAST = 200_000
 FEW = 8
 BANDS, WIDTH, BUCKET = 16, 10, 16384
 TYPICAL, RECALL = 30, 0.97
+SHORT = 0.6
 _NULL_ID = -(1 << 63)
 
 
 def codes(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """(texts, 2) words of 64 code bits."""
+    return _coded(data, offsets)[0]
+
+
+def _coded(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, Runs]:
+    """The codes, the number of words each was made of, and all words."""
     n = len(offsets) - 1
     runs = Runs(data, offsets)
     long = runs.end - runs.start >= 4
@@ -74,7 +82,7 @@ def codes(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
             bits = np.concatenate([bits, np.zeros((1, bits.shape[1]), dtype=np.uint8)])  # where the last texts have no word
             ones = np.add.reduceat(bits, first[:-1], axis=0, dtype=np.int32)[many]
             out[many, k] = np.packbits(2 * ones > count[many, None], axis=1, bitorder="little").view(np.uint64).ravel()
-    return out
+    return out, count, runs
 
 
 def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -82,9 +90,14 @@ def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row, data, offsets in pieces(batch.column(2)):
             n = len(offsets) - 1
             text = batch.column(2).slice(row, n)
-            c = codes(data, offsets).view(np.int64)
+            c, count, runs = _coded(data, offsets)
+            c = c.view(np.int64)
             void = text.is_null().to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(row, n) for k in (0, 1)), pa.array(c[:, 0], mask=void), pa.array(c[:, 1], mask=void)], names=["id", "t", "c0", "c1"])
+            sets = [distinct(runs.hash[runs.first[k] : runs.first[k + 1]]).view(np.int64) for k in np.flatnonzero((count > 0) & (count < 2 * FEW))]
+            size = np.zeros(n + 1, dtype=np.int32)
+            size[1:][(count > 0) & (count < 2 * FEW)] = [len(x) for x in sets]
+            words = pa.ListArray.from_arrays(pa.array(np.cumsum(size, dtype=np.int32)), pa.array(np.concatenate([np.zeros(0, dtype=np.int64), *sets])))
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(row, n) for k in (0, 1)), pa.array(c[:, 0], mask=void), pa.array(c[:, 1], mask=void), pa.array(count < FEW), words], names=["id", "t", "c0", "c1", "few", "words"])
 
 
 def planes(c: np.ndarray) -> np.ndarray:
@@ -307,18 +320,28 @@ def _confirmed(source: DataFrame, coded: DataFrame, pairs: DataFrame) -> DataFra
     return both.where((shared > 0) & (shared >= F.lit(SIMILAR) * (F.size("su") + F.size("sv") - shared))).select("u", "v")
 
 
+def _short(coded: DataFrame) -> DataFrame:
+    """(u, v): the nodes of two similar short texts, one of few words at least; each set of words of a node is compared."""
+    sets = cut(coded.where(F.size("words") > 0).groupBy(F.xxhash64("c0", "c1").alias("node"), "words").agg(F.max("few").alias("few")).withColumn("key", F.xxhash64("node", "words")))
+    if sets.where("few").isEmpty():
+        return sets.select(F.col("node").alias("u"), F.col("node").alias("v")).limit(0)
+    near = similar_pairs(sets, SHORT)
+    side = lambda key, end: sets.select(F.col("key").alias(key), F.col("node").alias(end), F.col("few").alias(f"few_{end}"))
+    return cut(near.join(side("a", "u"), "a").join(side("b", "v"), "b").where("(few_u or few_v) and u <> v").select("u", "v"))
+
+
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, wide: int = WIDE) -> DataFrame:
     """(id, t, group, lead): one row for each row of ``docs``. id and group are BIGINT with the least value for a null id,
     t is a hash of the text, null for a null text, and lead tells whether (id, t) is the smallest of its group."""
     need(docs, id_col, text_col)
     text = docs[text_col]
     source = docs.select(F.coalesce(docs[id_col].cast("bigint"), F.lit(_NULL_ID)).alias("id"), F.when(text.isNotNull(), F.xxhash64(text)).alias("t"), text.alias("text"))
-    coded = cut(source.mapInArrow(_encode, "id bigint, t bigint, c0 bigint, c1 bigint"))
+    coded = cut(source.mapInArrow(_encode, "id bigint, t bigint, c0 bigint, c1 bigint, few boolean, words array<bigint>"))
     nodes = cut(coded.where("c0 is not null").groupBy("c0", "c1").agg(F.min(F.struct("id", "t")).alias("least")).withColumn("node", F.xxhash64("c0", "c1")))
     width, bands = plan(nodes.count())
     spread = nodes.select("node", "c0", "c1").mapInArrow(_Bands(width, bands), "bucket bigint, node bigint, c0 bigint, c1 bigint")
     compared = cut(spread.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_Compare(radius, wide), "u bigint, v bigint, sure boolean").distinct())
-    links = compared.where("sure").select("u", "v")
+    links = compared.where("sure").select("u", "v").unionByName(_short(coded))
     tied = connected_components(links, cut)
     root = lambda end: tied.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}"))
     apart = compared.where("not sure").join(root("u"), "u", "left").join(root("v"), "v", "left").where(F.coalesce("root_u", "u") != F.coalesce("root_v", "v"))
@@ -327,7 +350,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radi
         tied = connected_components(links.unionByName(_confirmed(source, coded, apart)), cut)
     roots = nodes.join(tied, "node", "left").select("c0", "c1", "least", F.coalesce("root", "node").alias("root"))
     first = roots.groupBy("root").agg(F.min("least").alias("first"))
-    held = coded.join(roots.join(first, "root").select("c0", "c1", "first"), ["c0", "c1"], "left")
+    held = coded.drop("few", "words").join(roots.join(first, "root").select("c0", "c1", "first"), ["c0", "c1"], "left")
     return held.select("id", "t", F.coalesce("first.id", "id").alias("group"), (F.col("first").isNull() | (F.struct("id", "t") == F.col("first"))).alias("lead"))
 
 

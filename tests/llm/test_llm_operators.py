@@ -277,3 +277,9 @@ def test_codes_do_not_depend_on_what_follows():
         _, alone, a = next(pieces(pa.array([f"{text} number{k}"])))
         _, both, b = next(pieces(pa.array([f"{text} number{k}", "", None, "!!"])))
         assert (simhash_dedup.codes(alone, a)[0] == simhash_dedup.codes(both, b)[0]).all()
+
+
+def test_simhash_joins_short_texts(spark):
+    rows = [(1, "haeash ofthharend inre onlynd hely thering haan was"), (2, "haeash ofthharend thwh onlynd hely thering haan was enthsh"), (3, "quite another text here"), (4, "haeash was thering was other things than these")]
+    group = {r.doc_id: r.group_id for r in simhash_dedup.simhash_dedup(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert group == {1: 1, 2: 1, 3: 3, 4: 4}
