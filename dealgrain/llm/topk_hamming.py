@@ -10,19 +10,21 @@ Vectors are dealt into blocks of ``BLOCK`` codes at most, each searched by one t
 queries, and a query's lists of k from the blocks are merged. So no table is broadcast, memory doesn't grow with the data,
 and the shuffle is rows times blocks. Dealing is by hash of the id, which spreads clusters.
 
-A null id or embedding, an embedding with a null or NaN, and one of another length than ``DIMENSIONS`` (the first found if it is
-None) give no row and are nobody's neighbour. Equal codes are at distance 0 of each other; of rows that share an id the one
-with the smallest code counts. A table with fewer than k + 1 codes gives lists as long as it allows, an empty one no row. Other columns are ignored.
+A null id or embedding, an embedding with a null or NaN, and one of another length than ``dimensions`` where that is
+given, give no row and are nobody's neighbour; where it is None each length is searched by itself. Equal codes are at distance 0 of each other; of rows that share an id the one
+of the smallest length and then code counts. A table with fewer than k + 1 codes gives lists as long as it allows, an empty one no row. Other columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -141,15 +143,13 @@ class _Search:
         return pd.concat(out, ignore_index=True)
 
 
-class _Codes:
-    def __init__(self, dimensions: int):
-        self.dimensions = dimensions
-
-    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            flat = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-            codes = sign_codes(flat.reshape(batch.num_rows, self.dimensions))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([c.tobytes() for c in codes], type=pa.binary())], names=["id", "code"])
+def _codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        length = pc.list_value_length(batch.column(1)).to_numpy(zero_copy_only=False)
+        for d in np.unique(length):
+            part = batch.filter(pa.array(length == d))
+            codes = sign_codes(part.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(part.num_rows, d))
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.full(part.num_rows, d, dtype=np.int32)), pa.array([c.tobytes() for c in codes], type=pa.binary())], names=["id", "d", "code"])
 
 
 def topk_hamming(vectors: DataFrame, k: int = K, id_col: str = "vec_id", vector_col: str = "embedding", dimensions: int | None = None, block: int = BLOCK, tasks: int = TASKS) -> DataFrame:
@@ -158,12 +158,18 @@ def topk_hamming(vectors: DataFrame, k: int = K, id_col: str = "vec_id", vector_
     v = vectors[vector_col]
     whole = vectors.where(vectors[id_col].isNotNull() & v.isNotNull()).select(vectors[id_col].cast("bigint").alias("id"), v.alias("v"))
     whole = whole.where((F.size("v") > 0) & ~F.exists("v", lambda x: x.isNull() | F.isnan(x)))
-    if dimensions is None:
-        head = whole.select(F.size("v")).first()
-        dimensions = head[0] if head else SEGMENT
-    coded = whole.where(F.size("v") == dimensions).mapInArrow(_Codes(dimensions), "id bigint, code binary")
-    coded = cut(coded.groupBy("id").agg(F.min("code").alias("code")))
-    n = coded.count()
+    if dimensions is not None:
+        whole = whole.where(F.size("v") == dimensions)
+    coded = whole.mapInArrow(_codes, "id bigint, d int, code binary")
+    coded = cut(coded.groupBy("id").agg(F.min(F.struct("d", "code")).alias("x")).select("id", "x.d", "x.code"))
+    counts = {r.d: r["count"] for r in coded.groupBy("d").count().collect()} or {dimensions or SEGMENT: 0}  # a row a length
+    found = [_nearest(coded.where(F.col("d") == d).select("id", "code"), n, d, k, block, tasks) for d, n in sorted(counts.items())]
+    merged = reduce(DataFrame.unionByName, found)
+    return merged.select(F.col("id").alias(id_col), F.posexplode("top").alias("pos", "x")).select(id_col, (F.col("pos") + 1).alias("rank"), F.col("x.neighbors").alias("neighbor_id"), F.col("x.distances").cast("int").alias("distance"))
+
+
+def _nearest(coded: DataFrame, n: int, dimensions: int, k: int, block: int, tasks: int) -> DataFrame:
+    """(id, top) of n codes (id, code) of one length."""
     blocks = max(1, -(-n // block))
     chunks = max(blocks, min(tasks, max(1, n // 64)))
     deal = lambda m: F.pmod(F.xxhash64("id"), F.lit(m)).cast("int")
@@ -178,7 +184,7 @@ def topk_hamming(vectors: DataFrame, k: int = K, id_col: str = "vec_id", vector_
         merged = both.groupBy("id").agg(F.slice(F.sort_array(F.collect_list(F.struct("x.distances", "x.neighbors"))), 1, k).alias("top"))  # k a block
     else:
         merged = found.select("id", F.arrays_zip("distances", "neighbors").alias("top"))
-    return merged.select(F.col("id").alias(id_col), F.posexplode("top").alias("pos", "x")).select(id_col, (F.col("pos") + 1).alias("rank"), F.col("x.neighbors").alias("neighbor_id"), F.col("x.distances").cast("int").alias("distance"))
+    return merged.select("id", "top")
 
 
 def oracle(table: str = "embeddings", k: int = K) -> str:

@@ -283,3 +283,11 @@ def test_simhash_joins_short_texts(spark):
     rows = [(1, "haeash ofthharend inre onlynd hely thering haan was"), (2, "haeash ofthharend thwh onlynd hely thering haan was enthsh"), (3, "quite another text here"), (4, "haeash was thering was other things than these")]
     group = {r.doc_id: r.group_id for r in simhash_dedup.simhash_dedup(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
     assert group == {1: 1, 2: 1, 3: 3, 4: 4}
+
+
+def test_topk_of_each_length(spark):
+    rows = [(0, [1.0, -1.0])] + [(i, [1.0, -1.0, float(i % 2) - 0.5]) for i in range(1, 7)] + [(7, [1.0, 1.0])]
+    out = topk_hamming.topk_hamming(spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").coalesce(1), k=2)
+    got = {(r.vec_id, r["rank"]): (r.neighbor_id, r.distance) for r in out.collect()}
+    assert got.pop((0, 1)) == (7, 1) and got.pop((7, 1)) == (0, 1)
+    assert got == {(i, k + 1): (x, 0) for i in range(1, 7) for k, x in enumerate(x for x in range(1, 7) if x != i and x % 2 == i % 2)}
