@@ -194,7 +194,6 @@ class Codec:
     def _forget(self) -> None:
         self.hash = np.zeros(0, dtype=np.uint64)
         self.at = self.count = np.zeros(0, dtype=np.int64)
-        self.good = np.zeros(0, dtype=bool)
         self.pool = np.zeros(0, dtype=np.int32)
 
     def _learn(self, new: np.ndarray, data: np.ndarray, start: np.ndarray, end: np.ndarray, first: np.ndarray) -> None:
@@ -203,8 +202,6 @@ class Codec:
         # many cuts go through the library as one text, parted by a character that its vocabulary has as a byte alone
         joined = [_PART.join(texts[k : k + 256]) for k in range(0, len(texts), 256)]
         ids = [e.ids for e in self.part.encode_batch_fast(joined, add_special_tokens=False)]
-        back = [y for x in self.part.decode_batch(ids, skip_special_tokens=False) for y in x.split(_PART)]
-        good = np.array([a == b for a, b in zip(back, texts)], dtype=bool)
         flat = np.fromiter((y for x in ids for y in (*x, self.parting)), dtype=np.int32, count=sum(map(len, ids)) + len(ids))
         ends = np.flatnonzero(flat == self.parting)
         flat = flat[flat != self.parting]
@@ -212,10 +209,10 @@ class Codec:
         at = len(self.pool) + np.cumsum(count) - count
         self.pool = np.concatenate([self.pool, flat])
         where = np.searchsorted(self.hash, new)
-        self.hash, self.at, self.count, self.good = (np.insert(a, where, b) for a, b in ((self.hash, new), (self.at, at), (self.count, count), (self.good, good)))
+        self.hash, self.at, self.count = (np.insert(a, where, b) for a, b in ((self.hash, new), (self.at, at), (self.count, count)))
 
-    def piece(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(numbers of all texts, number of them a text, whether a text comes back from them)."""
+    def piece(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(numbers of all texts, number of them a text)."""
         n, texts = len(data), len(offsets) - 1
         blank = data == 32
         edge = np.zeros(n, dtype=bool)
@@ -241,27 +238,28 @@ class Codec:
             self._learn(h[lead], data, start[lead], end[lead], first[lead])
             at = np.searchsorted(self.hash, h)
         if not len(h):
-            return np.zeros(0, dtype=np.int32), np.zeros(texts, dtype=np.int64), np.ones(texts, dtype=bool)
+            return np.zeros(0, dtype=np.int32), np.zeros(texts, dtype=np.int64)
         count = self.count[at]
         total = np.cumsum(count)
         flat = self.pool[np.repeat(self.at[at] - (total - count), count) + np.arange(total[-1])]
         doc = np.searchsorted(offsets, start, side="right") - 1
-        return flat, np.bincount(doc, weights=count, minlength=texts).astype(np.int64), np.bincount(doc, weights=~self.good[at], minlength=texts) == 0
+        return flat, np.bincount(doc, weights=count, minlength=texts).astype(np.int64)
 
     def encode(self, column: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
         """(lists of numbers, their lengths, round trips) of a column of texts; a null text is an empty one here."""
         flats, counts, goods = [], [], []
         for row, data, offsets in pieces(column):
             marked = (data[:-2] == 0xE2) & (data[1:-1] == 0x96) & (data[2:] == 0x81) if len(data) > 2 else np.zeros(0, dtype=bool)
+            blob = data.tobytes()
+            texts = [blob[a:b].decode("utf-8", "replace") for a, b in zip(offsets[:-1], offsets[1:])]
             if self.part is not None and not marked.any() and (data != 0).all():
-                flat, count, good = self.piece(data, offsets)
+                flat, count = self.piece(data, offsets)
+                ids = [x.tolist() for x in np.split(flat, np.cumsum(count)[:-1])]
             else:
-                blob = data.tobytes()
-                texts = [blob[a:b].decode("utf-8", "replace") for a, b in zip(offsets[:-1], offsets[1:])]
                 ids = [e.ids for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
                 count = np.array([len(x) for x in ids], dtype=np.int64)
                 flat = np.fromiter((y for x in ids for y in x), dtype=np.int32, count=int(count.sum()))
-                good = np.array([a == b for a, b in zip(self.whole.decode_batch(ids, skip_special_tokens=False), texts)], dtype=bool)
+            good = np.array([a == b for a, b in zip(self.whole.decode_batch(ids, skip_special_tokens=False), texts)], dtype=bool)
             flats.append(flat)
             counts.append(count)
             goods.append(good)

@@ -291,3 +291,11 @@ def test_topk_of_each_length(spark):
     got = {(r.vec_id, r["rank"]): (r.neighbor_id, r.distance) for r in out.collect()}
     assert got.pop((0, 1)) == (7, 1) and got.pop((7, 1)) == (0, 1)
     assert got == {(i, k + 1): (x, 0) for i in range(1, 7) for k, x in enumerate(x for x in range(1, 7) if x != i and x % 2 == i % 2)}
+
+
+def test_round_trip_is_of_the_pieces_returned():
+    codec = sentencepiece_codec.Codec(open(SENTENCEPIECE_MODEL, "rb").read(), 1)
+    col = pa.array(["some words and others", "", "others"])
+    assert codec.encode(col)[2].all()
+    codec.pool = np.roll(codec.pool, 1)  # as a wrong lookup
+    assert codec.encode(col)[2].tolist() == [False, True, False]
