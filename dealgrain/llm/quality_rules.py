@@ -21,7 +21,7 @@ STOP_WORDS = tuple(sorted(set("the of and to in is that for it as was with be by
 SYMBOLS = "#$%&*!|~^<>{}[]=+@_"
 
 RULES: tuple[tuple[str, str, float | None, float | None, int], ...] = (
-    ("words", "n_words", 1, 200000, 0),
+    ("words", "n_words", 1, None, 0),
     ("word_length", "mean_word_chars", 2.0, 20.0, 5),
     ("symbols", "symbol_ratio", None, 0.4, 5),
     ("letters", "letter_word_ratio", 0.6, None, 5),

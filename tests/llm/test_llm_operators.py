@@ -299,3 +299,9 @@ def test_round_trip_is_of_the_pieces_returned():
     assert codec.encode(col)[2].all()
     codec.pool = np.roll(codec.pool, 1)  # as a wrong lookup
     assert codec.encode(col)[2].tolist() == [False, True, False]
+
+
+def test_long_texts_are_judged_by_their_ratios(spark):
+    rows = [(1, "the word of an author and\nreader is in it " * 20_001), (2, "junk!! " * 200_001)]
+    out = {r.doc_id: r.failed for r in quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert "words" not in out[1].split(",") and "words" not in out[2].split(",") and "symbols" in out[2]
