@@ -7,11 +7,11 @@ then doc_id, and the sorted run is cut into shards of ``SHARD_CHARS`` characters
 every dimension in a shard's file footers prune it.
 
 The order is one range partitioning; partitions' totals (one row a partition) are added up, and running sums stay inside
-partitions. The tables of names are joined, not broadcast by force.
+partitions, of documents and of names. Tables of names are counted before they are broadcast; larger ones are joined by salted keys.
 
 A null name is "" and comes first; a null or negative length counts as 0. A null doc_id comes first among equals. Rows that
 repeat follow each other; which of equal rows comes first makes no difference. A document is never divided: it belongs to
-the shard in which it begins, so one longer than a shard leaves numbers out. An empty table gives no row. Other columns are ignored.
+the shard in which it begins, so one longer than a shard leaves numbers out. Very long texts aren't read, their n_chars is. An empty table gives no row. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import cut, fresh, need
@@ -28,6 +28,7 @@ from .shared import cut, fresh, need
 BITS = 6
 DIMENSIONS = 3
 SHARD_CHARS = 32_000_000
+BROADCAST, SALT = 20_000, 32
 
 
 def curve(n: int = DIMENSIONS) -> tuple[list[int], list[int]]:
@@ -82,14 +83,6 @@ def length_level(n: Column, bits: int = BITS) -> Column:
     return F.least(F.lit((1 << bits) - 1), (top - 2) * 4 + F.pmod(F.call_function("shiftright", n, top - 2), F.lit(4))).cast("int")
 
 
-def name_levels(docs: DataFrame, column: str, bits: int = BITS) -> DataFrame:
-    """(name, level): the rows before a name, in alphabetical order, over all rows, times 2**bits."""
-    counts = docs.groupBy(F.coalesce(docs[column].cast("string"), F.lit("")).alias("name")).agg(F.count("*").alias("n"))
-    before = F.sum("n").over(Window.orderBy("name").rowsBetween(Window.unboundedPreceding, -1))
-    total = F.sum("n").over(Window.partitionBy())
-    return counts.select("name", F.floor(F.coalesce(before, F.lit(0)) * F.lit(1 << bits) / total).cast("int").alias("level"))
-
-
 class _Running:
     """Characters before each row: those of earlier partitions, and of earlier rows of this one."""
 
@@ -108,14 +101,42 @@ class _Running:
             at = int(ends[-1])
 
 
+def _offsets(ordered: DataFrame, amount: str) -> tuple[dict[int, int], int]:
+    """What lies before each partition of (part, amount, ...), and in all of them; a row a partition reaches the driver."""
+    before, total = {}, 0
+    for part, own in sorted(tuple(r) for r in ordered.groupBy("part").agg(F.sum(amount)).collect()):
+        before[part], total = total, total + own
+    return before, total
+
+
+def name_levels(docs: DataFrame, column: str, bits: int = BITS) -> DataFrame:
+    """(name, n, level): how many rows have a name, and the rows before it, in alphabetical order, over all rows, times 2**bits."""
+    counts = docs.groupBy(F.coalesce(docs[column].cast("string"), F.lit("")).alias("name")).agg(F.count("*").alias("n"))
+    ordered = cut(counts.repartitionByRange("name").sortWithinPartitions("name").select(F.spark_partition_id().alias("part"), "n", "name", F.col("n").alias("rows")))
+    before, total = _offsets(ordered, "n")
+    run = ordered.mapInArrow(_Running(before), "name string, rows bigint, chars_before bigint")
+    return run.select("name", F.col("rows").alias("n"), F.floor(F.col("chars_before") * F.lit(1 << bits) / F.lit(max(total, 1))).cast("int").alias("level"))
+
+
+def _with_level(docs: DataFrame, column: str, level: str, bits: int) -> DataFrame:
+    """``docs`` with the level of each row's name. Up to ``BROADCAST`` names, counted first, are broadcast; more are joined with
+    ``SALT`` copies of every name, so that a hot name's rows go to as many tasks."""
+    key, salt = fresh(docs, "name"), fresh(docs, "salt")
+    table = cut(name_levels(docs, column, bits).select(F.col("name").alias(key), F.col("level").alias(level)))
+    keyed = docs.withColumn(key, F.coalesce(docs[column].cast("string"), F.lit("")))
+    if table.count() <= BROADCAST:
+        return keyed.join(F.broadcast(table), key).drop(key)
+    table = table.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    keyed = keyed.withColumn(salt, F.pmod(F.monotonically_increasing_id(), F.lit(SALT)).cast("int"))
+    return keyed.join(table, [key, salt]).drop(key, salt)
+
+
 def _placed(docs: DataFrame, source_col: str, lang_col: str, chars_col: str, bits: int) -> DataFrame:
     """``docs`` with __level_source, __level_lang, __level_chars and __hilbert, or such names as are free."""
     names = {k: fresh(docs, k) for k in ("level_source", "level_lang", "level_chars", "hilbert")}
     out = docs
     for column, level in ((source_col, names["level_source"]), (lang_col, names["level_lang"])):
-        key = fresh(out, "name")
-        table = name_levels(docs, column, bits).select(F.col("name").alias(key), F.col("level").alias(level))
-        out = out.join(table, F.coalesce(out[column].cast("string"), F.lit("")) == F.col(key)).drop(key)
+        out = _with_level(out, column, level, bits)
     out = out.withColumn(names["level_chars"], length_level(out[chars_col], bits))
     return out.withColumn(names["hilbert"], hilbert_index([F.col(names[k]) for k in ("level_source", "level_lang", "level_chars")], bits))
 
@@ -127,9 +148,7 @@ def hilbert_sharding(docs: DataFrame, id_col: str = "doc_id", source_col: str =
     placed = _placed(light, "source", "lang", "chars", bits)
     ordered = placed.repartitionByRange("__hilbert", "id", "chars").sortWithinPartitions("__hilbert", "id", "chars")
     ordered = cut(ordered.select(F.spark_partition_id().alias("part"), "chars", "id", "__level_source", "__level_lang", "__level_chars", "__hilbert"))
-    before, total = {}, 0
-    for part, chars in sorted(tuple(r) for r in ordered.groupBy("part").agg(F.sum("chars")).collect()):  # a row a partition
-        before[part], total = total, total + chars
+    before, _ = _offsets(ordered, "chars")
     kind = docs.schema[id_col].dataType.simpleString()
     run = ordered.mapInArrow(_Running(before), f"id {kind}, level_source int, level_lang int, level_chars int, hilbert bigint, chars_before bigint")
     return run.select(F.col("id").alias(id_col), "level_source", "level_lang", "level_chars", "hilbert", "chars_before", F.floor(F.col("chars_before") / F.lit(shard_chars)).cast("bigint").alias("shard"))

@@ -12,6 +12,8 @@ before all others. The bitmap is compressed as run lengths joined by commas, of
 beginning with kept ("0" first if the first line goes). Null text has no line: n_lines 0 and an empty bitmap; an empty
 text has one blank line. Rows equal in doc_id and text count as one
 and give one row; rows that share only the doc_id give a row each, the order between them being that of a text hash.
+Very long texts are hashed and cut whole, in time proportional to their length. An empty table gives no row. Other columns are
+ignored, and kept as they are by ``without_dropped``, whatever their names.
 Hashes have 64 bits; two different lines of n get the same one with probability about n * n / 2**65.
 """
 
@@ -22,12 +24,15 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import cut, fresh, need
 from .textvec import mix, pieces, powers
 
+_NULL_ID = -(1 << 63)
+
 _BLANK = np.zeros(256, dtype=bool)
 _BLANK[[9, 13, 32]] = True
 
@@ -65,10 +70,9 @@ def line_table(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 
 def _hash_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids, valid = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).is_valid().to_numpy(zero_copy_only=False)
-        null_id = batch.column(0).is_null().to_numpy(zero_copy_only=False)
-        ids = np.where(null_id, np.iinfo(np.int64).min, np.nan_to_num(ids) if ids.dtype.kind == "f" else ids).astype(np.int64)
-        first_row = batch.column(2).to_numpy(zero_copy_only=False)
+        # nulls are filled before NumPy sees them: a BIGINT column with a null would become floats
+        ids, first_row = pc.fill_null(batch.column(0).cast(pa.int64()), _NULL_ID).to_numpy(), batch.column(2).to_numpy()
+        valid = batch.column(1).is_valid().to_numpy(zero_copy_only=False)
         out: list[tuple[np.ndarray, ...]] = []
         for row, data, offsets in pieces(batch.column(1)):
             first, doc, h, _, _ = line_table(data, offsets)
@@ -124,6 +128,29 @@ def bits(bitmap: str | None) -> np.ndarray:
     return np.repeat(np.arange(len(runs)) % 2 == 0, runs)
 
 
+def _cut_lines(text: pa.Array, gone: pa.Array) -> pa.Array:
+    """The texts without the lines of these numbers; null where no line is left."""
+    out = []
+    for row, data, offsets in pieces(text):
+        n = len(offsets) - 1
+        part = gone.slice(row, n)
+        first, doc, _, start, end = line_table(data, offsets)
+        keep = np.ones(len(doc), dtype=bool)
+        lost = np.diff(pc.fill_null(pc.list_value_length(part), 0).to_numpy().cumsum(), prepend=0)
+        keep[first[np.repeat(np.arange(n), lost)] + part.flatten().to_numpy(zero_copy_only=False).astype(np.int64)] = False
+        fed = np.append(start[1:], len(data)) - start  # a line and the feed after it
+        byte = np.repeat(keep, fed)
+        held = np.flatnonzero(keep)
+        last = held[np.append(doc[held][1:] != doc[held][:-1], True)] if len(held) else held
+        byte[end[last][fed[last] > end[last] - start[last]]] = False  # no feed after the last line that stays
+        left = np.append(0, np.cumsum(byte))[offsets].astype(np.int32)
+        none = np.ones(n, dtype=bool)
+        none[doc[held]] = False
+        valid = pa.array(~none).buffers()[1]
+        out.append(pa.Array.from_buffers(pa.string(), n, [valid, pa.py_buffer(left), pa.py_buffer(data[byte])]))
+    return pa.concat_arrays(out) if out else pa.array([], type=pa.string())
+
+
 def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc, row, at) of every line that repeats an earlier one. doc is the least BIGINT for a null id; row is a hash of the text."""
     need(docs, id_col, text_col)
@@ -140,7 +167,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     late = dropped_lines(docs, id_col, text_col).groupBy("doc", "row").agg(F.collect_set("at").alias("gone"))
     text = docs[text_col]
     every = docs.select(
-        F.coalesce(docs[id_col].cast("bigint"), F.lit(-(1 << 63))).alias("doc"), F.xxhash64(text).alias("row"), docs[id_col].alias("held"),
+        F.coalesce(docs[id_col].cast("bigint"), F.lit(_NULL_ID)).alias("doc"), F.xxhash64(text).alias("row"), docs[id_col].alias("held"),
         F.when(text.isNull(), 0).otherwise(F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("bigint").alias("n_lines"),
     ).dropDuplicates(["doc", "row"])
     both = every.join(late, ["doc", "row"], "left")
@@ -153,18 +180,18 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def without_dropped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the repeated lines cut from ``text_col``; a document of which no line is left goes. Null texts stay.
 
-    The lines are cut by built-in expressions; other columns stay as they are.
+    Only texts that lose lines go to Python, as Arrow batches; other columns stay as they are.
     """
     late = dropped_lines(docs, id_col, text_col).groupBy("doc", "row").agg(F.collect_set("at").alias("gone"))
     doc, row, gone = (fresh(docs, x) for x in ("doc", "row", "gone"))
     late = late.select(F.col("doc").alias(doc), F.col("row").alias(row), F.col("gone").alias(gone))
-    keyed = docs.withColumns({doc: F.coalesce(docs[id_col].cast("bigint"), F.lit(-(1 << 63))), row: F.xxhash64(docs[text_col])})
+    keyed = docs.withColumns({doc: F.coalesce(docs[id_col].cast("bigint"), F.lit(_NULL_ID)), row: F.xxhash64(docs[text_col])})
     both = keyed.join(late, [doc, row], "left")
-    line, kept = fresh(docs, "line"), F.col(gone)
-    left = F.filter(F.split(both[text_col], "\n"), lambda x, i: ~F.array_contains(kept, i.cast("bigint")))
-    changed = both.withColumn(line, F.when(kept.isNull(), F.lit(None)).otherwise(left))
-    changed = changed.where(F.col(line).isNull() | (F.size(line) > 0))
-    return changed.withColumn(text_col, F.when(F.col(line).isNull(), F.col(text_col)).otherwise(F.array_join(F.col(line), "\n"))).select(*docs.columns)
+    kept = F.col(gone)
+    cut_text = F.arrow_udf(_cut_lines, "string")
+    left = fresh(docs, "left")
+    changed = both.withColumn(left, cut_text(F.when(kept.isNotNull(), F.col(text_col)), kept)).where(kept.isNull() | F.col(left).isNotNull())
+    return changed.withColumn(text_col, F.when(kept.isNull(), F.col(text_col)).otherwise(F.col(left))).select(*docs.columns)
 
 
 def oracle(table: str = "documents") -> str:

@@ -6,11 +6,11 @@ Training goes over a sample of labelled documents, one at a time, with per-coord
 a document is bad when its label has quality 0 or toxic 1. Scoring is a sparse dot product: the weights, of fixed size,
 go to the workers once, and a scan of the texts sums the weights of each document's features.
 
-The sample has at most ``SAMPLE`` labelled documents (those of the smallest hashes of doc_id), a documented bound on the
-training cost alone; every document is scored. The features of the sample are computed where its documents are read, and
+The sample has at most ``SAMPLE`` labelled documents (of those in the table, the ones of the smallest hashes of doc_id), a
+documented bound on the training cost alone; every document is scored. The features of the sample are computed where its documents are read, and
 only their bucket numbers reach the one task that trains, in an order fixed by the hash, so training is repeatable.
 
-Null and empty texts have no feature and are scored by the bias alone. Labels that are null count as good; labels of one
+Null and empty texts have no feature and are scored by the bias alone. Very long texts are scored whole. An empty table gives no row. Labels that are null count as good; labels of one
 doc_id are merged, bad winning; labels without a document are ignored, as are those with a null doc_id. With no label at all every
 document gets 0.5 and is kept. Rows that share a doc_id are scored one by one. Other columns are ignored or, by ``keep_good``, returned as they are.
 """
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import need, unit
+from .shared import cut, need, unit
 from .textvec import Runs, distinct, mix, pieces, sums
 
 BITS = 20
@@ -105,9 +105,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     label = labels.where(labels["doc_id"].isNotNull()).select(labels["doc_id"].cast("bigint").alias("id"), bad.cast("double").alias("bad"))
     label = label.groupBy("id").agg(F.max("bad").alias("bad")).withColumn("turn", unit(F.col("id")))
     text = docs.select(docs[id_col].cast("bigint").alias("id"), docs[text_col].alias("text"))
-    # the share that is needed is cut by hash, which leaves a few more than the sample; the rest go by rank in the one task that trains
+    # labels of other documents take no place in the sample: a scan of ids alone finds those that are here
+    label = cut(text.select("id").join(label, "id").distinct())
+    # the share that is needed is cut by hash, which leaves a few more than the sample; the rest go by rank
     n = label.count()
-    share = 1.0 if n <= sample else min(1.0, 1.1 * sample / n)
+    share = 1.0 if n <= sample else min(1.0, 1.1 * sample / n + 200 / n)
     chosen = label.where(F.col("turn") <= share).orderBy("turn", "id").limit(sample)
     rows = text.join(F.broadcast(chosen), "id").select("turn", "bad", "text")  # at most ``sample`` rows of 24 bytes
     fitted = rows.mapInArrow(_sampled, "turn double, bad double, x array<int>").groupBy().applyInPandas(_train, "at array<int>, weight array<float>").collect()

@@ -7,17 +7,18 @@ their codes differ in at most ``RADIUS`` bits, or in at most ``WIDE`` and the se
 similarity of at least ``SIMILAR``. A text of fewer than ``FEW`` such words is compared with all of fewer than ``2 * FEW`` by an exact
 join of the sets of all their words, near copies from ``SHORT`` on. Groups are the connected components of that relation.
 
-Equal codes are one node. Candidates share one of ``BANDS`` disjoint-by-turns samples of ``width`` code bits; a bucket is
+Equal codes are one node. Candidates share one of several disjoint-by-turns samples (bands) of code bits; a bucket is
 compared all against all: bit planes are stored vertically, 64 codes a word, the differences of 8 planes at a time go
 through a carry-save adder into bitwise counters, and a block of codes is left as soon as every counter in it exceeds
 the radius. A bucket passes on a spanning forest and not its pairs, so what follows is linear in the documents whatever
 the groups' sizes. Pairs beyond the radius are passed on one by one where the forest doesn't tie them, and their texts compared
-exactly; of a node the texts that differ are all compared. ``width`` grows with the logarithm of the number of codes beyond ``BUCKET`` a bucket, and the number of bands with it so that
-``RECALL`` of pairs at ``TYPICAL`` bits share a bucket.
+exactly; of a node the texts that differ are all compared. The number of bands and their width follow from ``EXPECTED``, the number of codes that buckets are
+sized for, which is a parameter and not counted: a pair is found or not whatever else is in the table. A table beyond
+it gives the same pairs with larger buckets; for a corpus of billions pass its size.
 
 Null texts have no code and stay alone. Empty texts are equal to one another. Very long texts are hashed whole. Rows
 with equal codes form a group, repeated rows and repeated ids included; a null doc_id comes before all others. An empty
-table gives an empty result. Of a group the document with the smallest doc_id stays, of several with that id the one
+table gives an empty result. Other columns are ignored, and kept as they are by ``keep_one``, whatever their names. Of a group the document with the smallest doc_id stays, of several with that id the one
 whose text has the smallest hash; rows equal in both get the same result, and ``keep_one`` keeps one of them.
 """
 
@@ -43,8 +44,9 @@ WIDE = 30
 SHINGLE, SIMILAR = 3, 0.5
 BROADCAST = 200_000
 FEW = 8
-BANDS, WIDTH, BUCKET = 16, 10, 16384
-TYPICAL, RECALL = 30, 0.97
+EXPECTED = 1 << 24
+WIDTH, BUCKET = 10, 16384
+SURE, RECALL = 0.99, 0.97
 SHORT = 0.6
 _NULL_ID = -(1 << 63)
 
@@ -196,11 +198,12 @@ def forest(c: np.ndarray, radius: int = RADIUS, tile: int = 256) -> np.ndarray:
     return root
 
 
-def plan(n: int) -> tuple[int, int]:
-    """(bits of a band, bands) for n codes: buckets of at most ``BUCKET`` on average, the recall kept."""
-    width = max(WIDTH, math.ceil(math.log2(max(n, 1) / BUCKET)))
-    share = (1 - TYPICAL / BITS) ** width
-    return width, max(BANDS, math.ceil(math.log(1 - RECALL) / math.log(1 - share)))
+def plan(expected: int = EXPECTED, radius: int = RADIUS, wide: int = WIDE) -> tuple[int, int]:
+    """(bits of a band, bands) for tables of about ``expected`` codes: buckets of at most ``BUCKET`` on average, and a share of
+    ``SURE`` of the pairs at ``radius`` bits and ``RECALL`` of those at ``wide`` in a common bucket."""
+    width = max(WIDTH, math.ceil(math.log2(max(expected, 1) / BUCKET)))
+    need = lambda recall, bits: math.ceil(math.log(1 - recall) / math.log(1 - (1 - bits / BITS) ** width))
+    return width, max(need(SURE, radius), need(RECALL, wide))
 
 
 def band_bits(width: int, bands: int) -> np.ndarray:
@@ -330,7 +333,7 @@ def _short(coded: DataFrame) -> DataFrame:
     return cut(near.join(side("a", "u"), "a").join(side("b", "v"), "b").where("(few_u or few_v) and u <> v").select("u", "v"))
 
 
-def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, wide: int = WIDE) -> DataFrame:
+def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, wide: int = WIDE, expected: int = EXPECTED) -> DataFrame:
     """(id, t, group, lead): one row for each row of ``docs``. id and group are BIGINT with the least value for a null id,
     t is a hash of the text, null for a null text, and lead tells whether (id, t) is the smallest of its group."""
     need(docs, id_col, text_col)
@@ -338,7 +341,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radi
     source = docs.select(F.coalesce(docs[id_col].cast("bigint"), F.lit(_NULL_ID)).alias("id"), F.when(text.isNotNull(), F.xxhash64(text)).alias("t"), text.alias("text"))
     coded = cut(source.mapInArrow(_encode, "id bigint, t bigint, c0 bigint, c1 bigint, few boolean, words array<bigint>"))
     nodes = cut(coded.where("c0 is not null").groupBy("c0", "c1").agg(F.min(F.struct("id", "t")).alias("least")).withColumn("node", F.xxhash64("c0", "c1")))
-    width, bands = plan(nodes.count())
+    width, bands = plan(expected, radius, wide)
     spread = nodes.select("node", "c0", "c1").mapInArrow(_Bands(width, bands), "bucket bigint, node bigint, c0 bigint, c1 bigint")
     compared = cut(spread.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_Compare(radius, wide), "u bigint, v bigint, sure boolean").distinct())
     links = compared.where("sure").select("u", "v").unionByName(_short(coded))
@@ -354,15 +357,15 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radi
     return held.select("id", "t", F.coalesce("first.id", "id").alias("group"), (F.col("first").isNull() | (F.struct("id", "t") == F.col("first"))).alias("lead"))
 
 
-def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
+def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, expected: int = EXPECTED) -> DataFrame:
     """``id_col``, ``group_id`` (the smallest id of its near copies, its own if it has none) and ``keep``, for each row."""
     back = lambda c: F.when(F.col(c) != _NULL_ID, F.col(c))
-    return groups(docs, id_col, text_col, radius).select(back("id").alias(id_col), back("group").alias("group_id"), F.col("lead").alias("keep"))
+    return groups(docs, id_col, text_col, radius, expected=expected).select(back("id").alias(id_col), back("group").alias("group_id"), F.col("lead").alias("keep"))
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, expected: int = EXPECTED) -> DataFrame:
     """``docs`` with one row of each group of near copies; rows with a null text all stay. Columns are as they were."""
-    found = cut(groups(docs, id_col, text_col, radius))
+    found = cut(groups(docs, id_col, text_col, radius, expected=expected))
     key, t, gone = fresh(docs, "id"), fresh(docs, "t"), fresh(docs, "gone")
     keyed = docs.withColumns({key: F.coalesce(docs[id_col].cast("bigint"), F.lit(_NULL_ID)), t: F.when(docs[text_col].isNotNull(), F.xxhash64(docs[text_col]))})
     drop = found.where("not lead").select(F.col("id").alias(key), F.col("t").alias(t), F.lit(True).alias(gone)).distinct()

@@ -1,12 +1,14 @@
 """Mixing sources to target weights by iterative proportional fitting.
 
 Token counts (four characters a token, at least one for a text) are summed in cells of source, language and topic. Fitting rakes the cells' weights in
-turn to a target for each source, each language and each topic, ``ROUNDS`` times. A document's probability is its cell's
+turn to a target for each source, each language and each topic, ``ROUNDS`` times or until a round moves no weight by more
+than ``TOLERANCE`` of the largest. A document's probability is its cell's
 weight over its cell's tokens, scaled so that the expected tokens are ``BUDGET`` of all and capped at one, the excess
 going to the other cells. A document is sampled when the hash of its doc_id is below that.
 
 A target is its margin's share of the tokens to the power ``TEMPER``, over the sum of those powers: below 1 it lifts
-small sources and languages and lowers a hot one. ``targets`` overrides the weights of named values. There is no topic
+small sources and languages and lowers a hot one. ``targets``, as {margin: {value: weight}}, overrides them at any number of
+cells: named values get their weights, the others of that margin share what is left of 1 as before, and a margin's targets are scaled to a sum of 1. There is no topic
 in the table, so ``topic_of`` names the form of the whole text: tables, lists, records with figures, or prose by length.
 
 Cells are few however many documents there are, but their number can grow with the sources: up to ``SMALL`` cells,
@@ -15,7 +17,7 @@ else is one scan, one aggregation and a join with the cells.
 
 Null sources and languages are a value of their own ("?"). Null and empty texts have no tokens; they are kept with their
 cell's probability, and with the budget's where their cell has no token. A null doc_id hashes as 0. Rows that repeat get
-the same result. With no token at all every document has the budget's probability. Other columns are ignored, or kept by ``sampled``.
+the same result. Very long texts count whole. An empty table gives no row. With no token at all every document has the budget's probability. Other columns are ignored, or kept by ``sampled``.
 """
 
 from __future__ import annotations
@@ -28,6 +30,7 @@ from pyspark.sql import functions as F
 from .shared import cut, fresh, need, unit
 
 ROUNDS = 20
+TOLERANCE = 1e-13
 BUDGET = 0.7
 TEMPER = 0.7
 SMALL = 200_000
@@ -38,10 +41,10 @@ MARGINS = ("source", "lang", "topic")
 def topic_of(text: Column) -> Column:
     """The form of a text: records (digits), tables (bars), lists (many lines), or prose by length."""
     n = F.length(text)
-    share = lambda marks: (n - F.length(F.translate(text, marks, ""))) / n
-    lines = n - F.length(F.translate(text, "\n", "")) + 1
+    share = lambda mark: F.regexp_count(text, F.lit(mark)) / n
+    lines = F.regexp_count(text, F.lit("\n")) + 1
     return (
-        F.when(text.isNull() | (n == 0), "empty").when(share("0123456789") > 0.05, "records").when(share("|") > 0.02, "tables")
+        F.when(text.isNull() | (n == 0), "empty").when(share("[0-9]") > 0.05, "records").when(share("[|]") > 0.02, "tables")
         .when((lines > 3) & (n / lines < 80), "lists").when(n < 1000, "short").when(n < 10000, "article").otherwise("long")
     )
 
@@ -58,18 +61,19 @@ def _fit(cells: pd.DataFrame, temper: float, rounds: int, targets: dict[str, dic
     for m in MARGINS:
         code, names = pd.factorize(cells[m])
         aim = np.bincount(code, weights=t) ** temper
-        for k, name in enumerate(names):
-            aim[k] = targets.get(m, {}).get(name, aim[k] / 1.0)
         if m in targets:
-            missing = [k for k, name in enumerate(names) if name not in targets[m]]
-            if missing:
-                rest = max(0.0, 1 - sum(v for k, v in targets[m].items() if k in set(names)))
-                aim[missing] *= rest / aim[missing].sum() if aim[missing].sum() else 0
+            named = np.array([targets[m].get(name, np.nan) for name in names], dtype=np.float64)
+            free = np.isnan(named)
+            rest = max(0.0, 1 - named[~free].sum())
+            aim = np.where(free, aim * (rest / aim[free].sum() if aim[free].sum() else 0), named)
         aims.append((code, aim / aim.sum()))
     for _ in range(rounds):
+        before = w
         for code, aim in aims:
             held = np.bincount(code, weights=w, minlength=len(aim))
             w = w * np.where(held > 0, aim / np.where(held > 0, held, 1), 0)[code]
+        if np.abs(w - before).max() <= TOLERANCE * w.max():
+            break
     return w / w.sum()
 
 
@@ -89,22 +93,40 @@ def _calibrate(t: np.ndarray, w: np.ndarray, budget: float) -> np.ndarray:
     out[order] = np.minimum(1, np.nan_to_num(scale * f, nan=1.0, posinf=1.0))
     if len(first):
         out[order[: first[0]]] = 1.0
+    out[order[f <= 0]] = 0.0  # a target of 0, even where the others can't fill the budget
     return out
 
 
-def _fit_wide(cells: DataFrame, temper: float, rounds: int, budget: float) -> DataFrame:
+def _aims(cells: DataFrame, margin: str, temper: float, targets: dict[str, float] | None) -> DataFrame:
+    """(margin, aim): the target of each value of a margin; they sum to 1."""
+    aims = cells.groupBy(margin).agg(F.pow(F.sum("tokens").cast("double"), F.lit(temper)).alias("aim"))
+    if targets is not None:
+        spark = cells.sparkSession
+        named = spark.createDataFrame([(k, float(v)) for k, v in targets.items()], f"{margin} string, named double")
+        aims = aims.join(named, margin, "left")
+        given, free = aims.agg(F.sum("named"), F.sum(F.when(F.col("named").isNull(), F.col("aim")))).first()
+        rest = max(0.0, 1 - (given or 0.0)) / free if free else 0.0
+        aims = aims.select(margin, F.coalesce("named", F.col("aim") * F.lit(rest)).alias("aim"))
+    whole = aims.agg(F.sum("aim")).first()[0]
+    return aims.select(margin, (F.col("aim") / F.lit(whole)).alias(f"aim_{margin}"))
+
+
+def _fit_wide(cells: DataFrame, temper: float, rounds: int, budget: float, targets: dict[str, dict[str, float]]) -> DataFrame:
     """The same over a DataFrame of cells: margins by window sums, the scale by bisection on aggregates."""
     total = cells.agg(F.sum("tokens")).first()[0]
     x = cells.withColumn("w", F.col("tokens") / F.lit(float(total)))
     for m in MARGINS:
-        aims = cells.groupBy(m).agg(F.pow(F.sum("tokens").cast("double"), F.lit(temper)).alias("aim"))
-        whole = aims.agg(F.sum("aim")).first()[0]
-        x = x.join(aims.withColumn("aim", F.col("aim") / F.lit(whole)).withColumnRenamed("aim", f"aim_{m}"), m)
+        x = x.join(_aims(cells, m, temper, targets.get(m)), m)
     for turn in range(rounds):
+        x = x.withColumn("before", F.col("w"))
         for m in MARGINS:
-            x = x.withColumn("w", F.col("w") * F.col(f"aim_{m}") / F.sum("w").over(Window.partitionBy(m)))
+            held = F.sum("w").over(Window.partitionBy(m))
+            x = x.withColumn("w", F.when(held > 0, F.col("w") * F.col(f"aim_{m}") / held).otherwise(0.0))
         if turn % 5 == 4:
             x = cut(x)
+            moved, most = x.agg(F.max(F.abs(F.col("w") - F.col("before"))), F.max("w")).first()
+            if moved <= TOLERANCE * most:
+                break
     x = cut(x)
     whole = x.agg(F.sum("w")).first()[0]
     x = x.withColumn("f", F.col("w") / F.lit(whole) / F.col("tokens"))
@@ -127,9 +149,7 @@ def probabilities(light: DataFrame, budget: float = BUDGET, temper: float = TEMP
     spark = light.sparkSession
     cells = cut(light.groupBy(*MARGINS).agg(F.sum("tokens").alias("tokens")).where("tokens > 0"))
     if cells.count() > small:
-        if targets:
-            raise ValueError("named targets are for tables of at most ``small`` cells")
-        return _fit_wide(cells, temper, rounds, budget)
+        return _fit_wide(cells, temper, rounds, budget, targets or {})
     table = cells.toPandas().sort_values(list(MARGINS)).reset_index(drop=True)
     if len(table):
         table["p"] = _calibrate(table["tokens"].to_numpy(dtype=np.float64), _fit(table, temper, rounds, targets or {}), budget)

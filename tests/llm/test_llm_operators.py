@@ -38,16 +38,37 @@ def test_words_are_those_of_a_pattern(spark, sf):
     assert h[0] == h[4] and h[1] == h[2] == h[5] and len(set(h)) == 3
 
 
-def test_topk_is_brute_force():
+@pytest.mark.parametrize("d", [7, 64, 100])
+def test_topk_is_brute_force(d):
     rng = np.random.default_rng(3)
-    centers = rng.normal(size=(40, 64))
-    codes = topk_hamming.sign_codes(np.repeat(centers, 20, axis=0) + 0.4 * rng.normal(size=(800, 64)))
+    centers = rng.normal(size=(40, d))
+    codes = topk_hamming.sign_codes(np.repeat(centers, 20, axis=0) + 0.4 * rng.normal(size=(800, d)))
     ids = rng.permutation(800)
-    dist, near, verified = topk_hamming.Index(codes, ids, 64).search(codes, ids, 10, 64)
-    d = np.bitwise_count(codes[:, None] ^ codes[None]).sum(2).astype(int)
-    d[np.arange(800), np.arange(800)] = 999
-    order = np.argsort(d * 1000 + ids, axis=1)[:, :10]
-    assert (ids[order] == near).all() and (np.take_along_axis(d, order, 1) == dist).all() and verified < 2 * 800 * 800
+    far = np.bitwise_count(codes[:, None] ^ codes[None]).sum(2).astype(int)
+    order = np.argsort(far * 1000 + ids, axis=1)[:, :10]
+    for width in (None, 8, 13, 22):
+        dist, near, verified, _ = topk_hamming.Index(codes, ids, d, width and min(width, d)).search(codes, 10)
+        assert (ids[order] == near).all() and (np.take_along_axis(far, order, 1) == dist).all()
+        assert width or verified < 2 * 800 * 800
+
+
+def test_topk_holds_few_pairs_at_once(monkeypatch):
+    rng = np.random.default_rng(4)
+    codes = rng.integers(0, 1 << 63, (30_000, 1), dtype=np.uint64)
+    index = topk_hamming.Index(codes, np.arange(len(codes)), 64)
+    whole = index.search(codes[:300], 11)
+    monkeypatch.setattr(topk_hamming, "HITS", 1 << 12)
+    parts = index.search(codes[:300], 11)
+    assert (whole[0] == parts[0]).all() and (whole[1] == parts[1]).all() and whole[2] == parts[2]
+    assert parts[3] < (1 << 12) + 100 and topk_hamming.segment_bits(1 << 21, 64) == 22 and topk_hamming.segment_bits(50_000, 64) == 16
+
+
+def test_topk_of_copies(spark):
+    rows = [(i, [1.0, -1.0, 1.0]) for i in range(500)] + [(1000, [1.0, 1.0, 1.0])]
+    out = {}
+    for r in topk_hamming.topk_hamming(spark.createDataFrame(rows, "vec_id bigint, embedding array<float>"), k=3).collect():
+        out.setdefault(r.vec_id, []).append((r["rank"], r.neighbor_id, r.distance))
+    assert all([x[1:] for x in sorted(v)] == [(j, int(i == 1000)) for j in [x for x in range(4) if x != i][:3]] for i, v in out.items()) and len(out) == 501
 
 
 def test_topk_in_blocks(spark, sf):
@@ -76,7 +97,16 @@ def test_simhash_finds_all_pairs(spark, sf):
 def test_simhash_plan_keeps_recall():
     for n in (1000, 10**6, 10**9, 10**11):
         width, bands = simhash_dedup.plan(n)
-        assert n / 2**width <= simhash_dedup.BUCKET and 1 - (1 - (1 - simhash_dedup.TYPICAL / 128) ** width) ** bands > 0.95
+        found = lambda bits: 1 - (1 - (1 - bits / 128) ** width) ** bands  # noqa: E731, B023
+        assert n / 2**width <= simhash_dedup.BUCKET and found(simhash_dedup.RADIUS) >= 0.99 and found(simhash_dedup.WIDE) >= 0.97
+
+
+def test_simhash_groups_do_not_depend_on_other_documents(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    alone = {r.doc_id: r.group_id for r in simhash_dedup.simhash_dedup(docs).collect()}
+    others = spark.range(30_000).select((F.col("id") + 10**9).alias("doc_id"), F.array_join(F.transform(F.sequence(F.lit(1), F.lit(20)), lambda x: F.hex(F.xxhash64("id", x))), " ").alias("text"))
+    both = {r.doc_id: r.group_id for r in simhash_dedup.simhash_dedup(docs.unionByName(others)).where("doc_id < 1000000000").collect()}
+    assert alone == both
 
 
 def test_classifier_on_held_out_labels(spark):
@@ -97,24 +127,69 @@ def test_score_is_a_dot_product():
         assert len(set(index.tolist())) == len(index) and abs(p - 1 / (1 + np.exp(-(w[index].sum() + w[-1])))) < 1e-5
 
 
-def test_rules_are_found(spark):
-    pages = [(i, f"https://{'bad' if i % 4 == 0 else 'ok'}.site{i % 7}.com/{'en' if i % 2 else 'de'}/{i}") for i in range(200)]
-    labels = spark.createDataFrame([(i, 0 if i % 4 == 0 else 1, 0) for i in range(0, 200, 1) if i % 5], "doc_id bigint, quality int, toxic int")
-    frame = spark.createDataFrame(pages, "page_id bigint, url string")
-    rules = {tuple(r.tokens): (r.confidence, r.support) for r in url_rules.mine(url_rules.labelled(frame, labels)).collect()}
-    rows = [(set(t), b) for t, b in url_rules.labelled(frame, labels).collect()]
-    names, want = sorted(set().union(*(t for t, _ in rows))), {}
+def brute_rules(rows, most):
+    """{tokens: (confidence, support)} of all rules of up to ``most`` tokens among [(tokens, bad)]."""
     need = max(url_rules.LEAST, url_rules.SUPPORT * len(rows))
-    for k in (1, 2, 3):
+    names, want = sorted(t for t in set().union(*(t for t, _ in rows)) if sum(b for x, b in rows if t in x) >= need), {}
+    for k in range(1, most + 1):
         for c in itertools.combinations(names, k):
             hit = [b for t, b in rows if set(c) <= t]
             if sum(hit) >= need and sum(hit) / len(hit) >= url_rules.CONFIDENCE and not any(set(s) < set(c) and want[s][0] >= sum(hit) / len(hit) for s in want):
                 want[c] = (sum(hit) / len(hit), sum(hit) / len(rows))
+    return want
+
+
+def spread(rules):
+    """{tokens: (confidence, support)}: a rule for each choice of a token from each of its classes."""
+    return {tuple(sorted(c)): (r.confidence, r.support) for r in rules for c in itertools.product(*r.classes)}
+
+
+def test_rules_are_found(spark):
+    pages = [(i, f"https://{'bad' if i % 4 == 0 else 'ok'}.site{i % 7}.com/{'en' if i % 2 else 'de'}/{i}") for i in range(200)]
+    labels = spark.createDataFrame([(i, 0 if i % 4 == 0 else 1, 0) for i in range(0, 200, 1) if i % 5], "doc_id bigint, quality int, toxic int")
+    frame = spark.createDataFrame(pages, "page_id bigint, url string")
+    rules = spread(url_rules.mine(url_rules.labelled(frame, labels)).collect())
+    rows = [(set(t), b) for t, b in url_rules.labelled(frame, labels).collect()]
+    want = brute_rules(rows, 3)
     assert {k: v for k, v in rules.items() if len(k) <= 3} == want and ("host:bad",) in rules
     out = url_rules.url_filter(frame, labels).collect()
     assert all(r.keep == (r.page_id % 4 != 0) for r in out)
 
 
+def test_longer_rules_are_found(spark):
+    rng = np.random.default_rng(1)
+    rows = []
+    for _ in range(400):
+        held = {f"t{j}" for j in range(6) if rng.random() < 0.6} | {"all"}
+        rows.append((sorted(held | ({"twin"} if "t0" in held else set())), bool({"t0", "t1"} <= held and rng.random() < 0.9 or rng.random() < 0.3)))
+    got = spread(url_rules.mine(spark.createDataFrame(rows, "tokens array<string>, bad boolean")).collect())
+    want = brute_rules([(set(t), b) for t, b in rows], 8)
+    assert {k: tuple(np.round(v, 9)) for k, v in got.items()} == {k: tuple(np.round(v, 9)) for k, v in want.items()} and any(len(k) > 1 for k in want) and ("t1", "twin") in want
+
+
+def test_common_tokens_are_one_class(spark):
+    same = "&".join(f"k{i}=v{i}" for i in range(30))
+    pages = [(i, f"https://bad.example.com/a/b/{i}?{same}") for i in range(8)] + [(i, f"https://good.example.com/a/{i}") for i in range(8, 30)]
+    labels = spark.createDataFrame([(i, int(i >= 8), 0) for i in range(30)], "doc_id bigint, quality int, toxic int")
+    frame = spark.createDataFrame(pages, "page_id bigint, url string")
+    rules = url_rules.mine(url_rules.labelled(frame, labels)).collect()
+    assert len(rules) == 1 and len(rules[0].classes) == 1 and len(rules[0].classes[0]) > 60 and rules[0].confidence == 1.0
+    more = frame.unionByName(spark.createDataFrame([(99, "http://x.example/?k7=v7"), (100, "http://x.example/?k7=v8")], "page_id bigint, url string"))
+    assert {r.page_id for r in url_rules.url_filter(more, labels).where("not keep").collect()} == {*range(8), 99, 100}  # the key alone is a token of the class
+
+
+def test_rules_of_planted_labels(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    planted = pages.select(url_rules.document_of(F.col("url")).alias("doc_id"), F.when(F.expr("substring_index(url, '/', 3)").endswith("0.example") | (F.xxhash64("url") % 10 == 0), 0).otherwise(1).alias("quality"), F.lit(0).alias("toxic")).where("doc_id is not null")
+    rows = [(set(t), b) for t, b in url_rules.labelled(pages, planted).collect()]
+    got = spread(url_rules.mine(url_rules.labelled(pages, planted)).collect())
+    want = brute_rules(rows, 2)
+    assert {k: tuple(np.round(v, 9)) for k, v in got.items() if len(k) <= 2} == {k: tuple(np.round(v, 9)) for k, v in want.items()}
+    matched = {r.page_id for r in url_rules.url_filter(pages, planted).where("not keep").collect()}
+    held = {r.page_id: set(r.t) for r in pages.select("page_id", url_rules.tokens(F.col("url")).alias("t")).collect()}
+    assert matched == {i for i, t in held.items() if any(set(k) <= t for k in got)}
+
+
 def test_pieces_are_the_librarys(spark, sf):
     import sentencepiece
 
