@@ -270,12 +270,13 @@ def test_shards_prune(spark):
     assert kept.rdd.getNumPartitions() <= 6 and sorted(map(repr, kept.select("doc_id").collect())) == sorted(map(repr, docs.select("doc_id").collect()))
 
 
-def test_suffixes_are_sorted():
+def test_suffixes_are_sorted(tmp_path):
     rng = np.random.default_rng(0)
-    for _ in range(30):
+    for turn in range(60):
         m, c = rng.integers(1, 12), rng.integers(1, 12)
-        x = rng.integers(0, 3, (m, c)).astype(np.uint16)
-        suffix, prefix = suffix_dedup.collection_suffixes(x)
+        x = rng.integers(0, 3 + turn % 3 * 4, (m, c)).astype(np.uint16)
+        with suffix_dedup.Files(f"file://{tmp_path}") as files:
+            suffix, prefix = (np.concatenate(v) for v in zip(*suffix_dedup.collection_suffixes(x, files, block=(1, 3, 7, 1000)[turn % 4])))
         keys = [tuple(int(v) for v in x[s // c, s % c :]) for s in suffix]
 
         def common(a, b):
@@ -283,6 +284,7 @@ def test_suffixes_are_sorted():
 
         assert sorted(suffix.tolist()) == list(range(m * c)) and keys == sorted(keys)
         assert all(prefix[i] == common(keys[i - 1], keys[i]) for i in range(1, len(keys)))
+    assert not list(tmp_path.iterdir())
 
 
 def test_passages_are_brute_force(spark):
@@ -308,6 +310,40 @@ def test_passages_are_brute_force(spark):
     assert out == want and len(want) > 100
 
 
+def test_runs_in_parts(spark, monkeypatch):
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").toArrow()
+    anchors = pa.Table.from_batches(suffix_dedup._anchor_rows(iter(table.to_batches()))).sort_by("run")
+    whole = pa.Table.from_batches(suffix_dedup._shared(iter(anchors.to_batches())))
+    monkeypatch.setattr(suffix_dedup, "HELD", 3)
+    parts = pa.Table.from_batches(suffix_dedup._shared(iter(anchors.to_batches(max_chunksize=2))))
+    key = [(k, "ascending") for k in ("run", "row", "at")]
+    assert whole.drop(["sure"]).sort_by(key).equals(parts.drop(["sure"]).sort_by(key)) and sum(parts["sure"].to_pylist()) < sum(whole["sure"].to_pylist())
+
+
+@pytest.mark.parametrize("block", [17, 1 << 18])
+def test_repeats_are_brute_force(tmp_path, block):
+    rng = np.random.default_rng(2)
+    base = rng.integers(1, 9, (4, 20)).astype(np.uint32)
+    contexts, back, low, high = [], [], [], []
+    for _ in range(120):
+        w = base[rng.integers(0, 4)].copy()
+        w[rng.random(20) < 0.04] = rng.integers(1, 99)
+        a, b = rng.integers(0, 4), rng.integers(14, 21)
+        rows = rng.integers(0, 5, 2)
+        contexts.append(w[a:b].tobytes())
+        back.append(5 - a)
+        low.append(rows.min())
+        high.append(rows.max() if rng.random() < 0.2 else rows.min())
+    with suffix_dedup.Files(f"file://{tmp_path}") as files:
+        got = suffix_dedup.repeats(contexts, np.array(back), np.array(low), np.array(high), files, words=8, columns=20, before=5, block=block)
+    held = {}
+    for k, c in enumerate(contexts):
+        for j in range(len(c) // 4 - 7):
+            held.setdefault(c[4 * j : 4 * j + 32], []).append((k, j))
+    want = {x for v in held.values() if min(low[k] for k, _ in v) != max(high[k] for k, _ in v) for x in v}
+    assert set(zip(*(g.tolist() for g in got))) == want and len(want) > 50
+
+
 def test_pipeline_is_its_stages(spark, sf):
     import corpus_pipeline
     from dealgrain.llm.shared import written
