@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text_ops import entry_id, heading_words, normalize, overlap, title, words
-from .similarity import best_match, leaders
+from ..functions.text_ops import entry_id, heading_words, normalize, title, words
+from .similarity import best_match, leaders, overlapping_pairs
 
 AUTO, AMBIGUOUS = 0.85, 0.70
 
@@ -89,8 +89,8 @@ def _or(parts: list[Column]) -> Column:
     return out
 
 
-def classify(clauses: DataFrame, taxonomy: DataFrame, verdicts: DataFrame | None = None) -> DataFrame:
-    """taxonomy_id, basis and confidence of (clause, heading, text): equal headings, else the most similar label from 0.85 on, else a verdict.
+def classify(clauses: DataFrame, taxonomy: DataFrame, verdicts: DataFrame | None = None, auto: float = AUTO, ambiguous: float = AMBIGUOUS) -> DataFrame:
+    """taxonomy_id, basis and confidence of (clause, heading, text): equal headings, else the most similar label from ``auto`` on, else, from ``ambiguous`` on, a verdict.
 
     ``taxonomy`` has id, label, ord and status; only active and custom entries count. ``verdicts`` has clause and verdict_id.
     """
@@ -104,8 +104,8 @@ def classify(clauses: DataFrame, taxonomy: DataFrame, verdicts: DataFrame | None
     else:
         c = c.withColumn("verdict_id", F.lit(None).cast("string")).withColumn("known", F.lit(None).cast("boolean"))
     empty = (F.col("norm") == "") & (F.trim(F.coalesce("text", F.lit(""))) == "")
-    judged = (F.col("norm") == "") | (F.col("similarity") >= AMBIGUOUS)
-    basis = F.when(F.col("exact_id").isNotNull(), "heading_exact").when(F.col("similarity") >= AUTO, "heading_similarity").when(empty, "empty").when(judged & F.col("known"), "judge").when(judged, "pending").otherwise("unclassified")
+    judged = (F.col("norm") == "") | (F.col("similarity") >= ambiguous)
+    basis = F.when(F.col("exact_id").isNotNull(), "heading_exact").when(F.col("similarity") >= auto, "heading_similarity").when(empty, "empty").when(judged & F.col("known"), "judge").when(judged, "pending").otherwise("unclassified")
     return c.withColumn("basis", basis).select(
         *clauses.columns, F.when(basis == "heading_exact", F.col("exact_id")).when(basis == "heading_similarity", F.col("near_id")).when(basis == "judge", F.col("verdict_id")).alias("taxonomy_id"), "basis",
         F.when(basis == "heading_exact", 1.0).when(basis == "heading_similarity", F.col("similarity")).alias("confidence"),
@@ -121,10 +121,7 @@ def induce(headings: DataFrame, checkpoint: Callable, share: float = 0.20, near:
     h = checkpoint(headings.withColumn("norm", normalize(F.col("heading"))).where("norm <> ''").select("document_id", "norm").distinct())
     total = h.select("document_id").distinct().count()
     forms = checkpoint(h.select("norm").distinct().withColumn("w", heading_words(F.col("norm"))))
-    each = forms.where(F.size("w") > 0).select("norm", F.explode("w").alias("word"))
-    meet = each.join(each.select(F.col("norm").alias("norm2"), "word"), "word").where("norm < norm2").select("norm", "norm2").distinct()
-    full = meet.join(forms, "norm").join(forms.select(F.col("norm").alias("norm2"), F.col("w").alias("w2")), "norm2")
-    pairs = full.select(F.col("norm").alias("a"), F.col("norm2").alias("b"), overlap(F.col("w"), F.col("w2")).alias("similarity")).where(F.col("similarity") >= near)
+    pairs = overlapping_pairs(forms, near, "norm", "w", checkpoint)
     led = leaders(pairs, forms.select(F.col("norm").alias("node")), checkpoint)
     g = h.join(led, h.norm == led.node).groupBy("leader").agg(F.count_distinct("document_id").alias("documents"), F.count_distinct("norm").alias("forms"))
     g = g.withColumn("frequency", F.col("documents") / F.lit(max(total, 1)))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,7 +67,30 @@ def honesty(rows: DataFrame, *columns: str) -> DataFrame:
     return long.groupBy("field").agg(F.count_if(F.col("value") == "").alias("blank"), F.count_if(F.col("value") == "needs_review").alias("needs_review"), F.count_if(~F.col("value").isin("", "needs_review")).alias("filled"))
 
 
-def attention(items: DataFrame, order: str = "ord") -> DataFrame:
-    """Items numbered, those with a reason first, each group in order."""
+def attention(items: DataFrame, checkpoint: Callable, order: str = "ord") -> DataFrame:
+    """Items numbered, those with a reason first, each group in order.
+
+    Items are sorted by ranges and numbered within their partition, after those of the partitions before, of which there is a row each.
+    """
     need = F.when(F.size("reasons") > 0, 0).otherwise(1)
-    return items.withColumn("item", F.row_number().over(Window.orderBy(need, order)))
+    sorted_ = checkpoint(items.withColumn("__need", need).repartitionByRange("__need", order).sortWithinPartitions("__need", order).withColumn("__part", F.spark_partition_id()))
+    sizes = sorted(tuple(r) for r in sorted_.groupBy("__part").count().collect())
+    before = [(part, sum(n for _, n in sizes[:k])) for k, (part, _) in enumerate(sizes)]
+    offsets = items.sparkSession.createDataFrame(before, "__part int, __before bigint")
+    turn = F.row_number().over(Window.partitionBy("__part").orderBy("__need", order))
+    return sorted_.withColumn("__turn", turn).join(offsets, "__part").withColumn("item", F.col("__before") + F.col("__turn")).drop("__need", "__part", "__turn", "__before")
+
+
+def zero_clauses(documents: DataFrame) -> DataFrame:
+    """(document_id, reason) of documents without a clause: every file failed, no file was found, or the files hold no text.
+
+    ``documents`` has document_id, files, failed and clauses, each a number.
+    """
+    reason = F.when(F.col("files") == 0, "no_files").when(F.col("failed") >= F.col("files"), "all_failed").otherwise("no_text")
+    return documents.where("clauses = 0").select("document_id", reason.alias("reason"))
+
+
+def distinct_flags(flags: DataFrame, order: str = "ord") -> DataFrame:
+    """Flags (document_id, kind, suggested_action, ord, ...), the first of those equal in the first three."""
+    w = Window.partitionBy("document_id", "kind", "suggested_action").orderBy(order)
+    return flags.withColumn("__turn", F.row_number().over(w)).where("__turn = 1").drop("__turn")

@@ -103,7 +103,19 @@ def resolve_citations(citations: DataFrame, version_files: DataFrame, files: Dat
     return addressed.join(files.groupBy("sha256").agg(F.min("path").alias("path")), "sha256", "left").withColumn("problem", F.when(F.col("sha256").isNull(), "unaddressable").when(F.col("path").isNull(), "not_found"))
 
 
+def tree_hash(rows: DataFrame, line: F.Column, *group: str, digits: int = 3) -> DataFrame:
+    """(group, n, digest): SHA-256 of a multiset of lines, the same whatever the order and partitioning of the rows.
+
+    The first ``digits`` of a line's own SHA-256 name its leaf; a leaf is the hash of its lines' hashes in order, and the digest that of the
+    leaves in order. With 3 digits the root has at most 4,096 members, and a leaf of a billion lines about 250,000.
+    """
+    each = rows.select(*group, F.sha2(line, 256).alias("h"))
+    of = lambda c: F.sha2(F.array_join(F.array_sort(F.collect_list(c)), "\n"), 256)
+    leaves = each.groupBy(*group, F.substring("h", 1, digits).alias("leaf")).agg(F.count("*").alias("n"), of("h").alias("h"))
+    return leaves.groupBy(*group).agg(F.sum("n").cast("bigint").alias("n"), of(F.concat("leaf", F.lit(":"), "h")).alias("digest"))
+
+
 def manifest_hash(versions: DataFrame) -> DataFrame:
-    """One row: SHA-256 over the sorted (document_id, version, sha256) lines, of a corpus small enough to list in a file."""
+    """One row: the hash of all (document_id, version, sha256) lines, whatever their number and order."""
     line = F.concat_ws("|", F.col("document_id").cast("string"), F.col("version").cast("string"), F.col("sha256"))
-    return versions.agg(F.sha2(F.array_join(F.array_sort(F.collect_list(line)), "\n"), 256).alias("manifest_hash"))
+    return tree_hash(versions, line).select(F.col("digest").alias("manifest_hash"))

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,6 +27,9 @@ INSTITUTION = rf"(?i)\b(?:board of (?:regents|trustees)|regents of|university of
 _CAPITAL = "[A-Z][a-z]+"
 NAME = rf"\b{_CAPITAL}(?:[ ]+(?:of[ ]+|and[ ]+|&[ ]*)?{_CAPITAL})+"
 REDACTED = "[redacted]"
+FEW = 32
+ENDINGS = ("co", "company", "corp", "corporation", "gmbh", "inc", "llc", "llp", "ltd", "plc")
+_WORD = re.compile("[A-Za-z0-9_]+")
 SPANS = (("email", EMAIL), ("url", URL), ("uuid", UUID), ("phone", PHONE), ("token", OPAQUE), ("address", STREET), ("address", BOX), ("address", SUITE))
 
 
@@ -66,7 +71,10 @@ def proper_nouns(rows: DataFrame, key: str, text: str, stop: tuple[str, ...] = (
     found = found.withColumn("name", F.lower("span"))
     if stop:
         found = found.where(~F.col("name").isin(*[s.lower() for s in stop]))
-    return found.groupBy("name").agg(F.count("*").alias("n"), F.slice(F.array_sort(F.collect_set(key)), 1, samples).alias("samples"))
+    counts = found.groupBy("name", key).agg(F.count("*").alias("n"))
+    turn = F.row_number().over(Window.partitionBy("name").orderBy(key))
+    first = counts.withColumn("turn", turn).where(F.col("turn") <= samples).groupBy("name").agg(F.array_sort(F.collect_list(key)).alias("samples"))
+    return counts.groupBy("name").agg(F.sum("n").cast("bigint").alias("n")).join(first, "name").select("name", "n", "samples")
 
 
 def party_candidates(rows: DataFrame, key: str, text: str, top: int = 5) -> DataFrame:
@@ -84,8 +92,43 @@ def aliases(entities: list[str], prefix: str = "Counterparty") -> dict[str, str]
     return out
 
 
-def pseudonymize(text: Column, names: dict[str, str]) -> Column:
-    """Names replaced by their aliases, the longest first, blanks between words as they come."""
+class _Names:
+    """Replaces many names in one pass: names are looked up by the first word at each place of a text, so the cost doesn't grow with their number."""
+
+    def __init__(self, names: dict[str, str]):
+        self.by_first: dict[str, list[tuple[str, str, re.Pattern]]] = {}
+        for name, alias in names.items():
+            if head := _WORD.match(name):
+                body = r"[ \t\r\n]+".join(re.escape(w) for w in name.split())
+                self.by_first.setdefault(head[0].lower(), []).append((name, alias, re.compile(rf"(?i)\b{body}\b", re.ASCII)))
+
+    def __call__(self, text: str | None) -> str | None:
+        if not text:
+            return text
+        found = []
+        for word in _WORD.finditer(text):
+            for name, alias, pattern in self.by_first.get(word[0].lower(), ()):
+                if m := pattern.match(text, word.start()):
+                    found.append((-len(name), name, m.start(), m.end(), alias))
+        taken: list[tuple[int, int, str]] = []
+        for _, _, a, b, alias in sorted(found):
+            if all(b <= x or a >= y for x, y, _ in taken):
+                taken.append((a, b, alias))
+        at, out = 0, []
+        for a, b, alias in sorted(taken):
+            out += [text[at:a], alias]
+            at = b
+        return "".join([*out, text[at:]])
+
+
+def pseudonymize(text: Column, names: dict[str, str], few: int = FEW) -> Column:
+    """Names replaced by their aliases, the longest first, blanks between words as they come.
+
+    Up to ``few`` names are patterns in the plan; more, or none that a letter or digit begins, take one pass in Python, with the same result.
+    """
+    if len(names) > few and all(_WORD.match(n) for n in names):
+        each = _Names(names)
+        return F.pandas_udf(lambda t: t.map(each, na_action="ignore").astype(object), "string")(text)
     for name in sorted(names, key=lambda n: (-len(n), n)):
         body = r"[ \t\r\n]+".join(re.escape(w) for w in name.split())
         text = F.regexp_replace(text, rf"(?i)\b{body}\b", names[name])
@@ -125,20 +168,42 @@ def entity_in_id(documents: DataFrame, entities: DataFrame) -> DataFrame:
     return documents.join(one.select("document_id", "entity"), "document_id", "left")
 
 
-def known_names(rows: DataFrame, key: str, text: str, names: list[str]) -> DataFrame:
-    """(key, name): known names in a text, at word bounds, or run together from eight letters on."""
-    plain = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^\p{L}\p{N}]+", " ")), F.lit(" "))
-    tight = F.replace(plain, F.lit(" "), F.lit(""))
-    checks = []
+def _finder(names: list[str]) -> Callable:
+    """A function from (words between blanks, the same run together) to the names in them, by one pass over each."""
+    plain, tight = {}, {}
     for n in names:
-        norm = re.sub(r"[\W_]+", " ", n.lower()).strip()
-        if norm:
-            hit = F.col("__plain").contains(f" {norm} ")
+        if norm := re.sub(r"[\W_]+", " ", n.lower()).strip():
+            plain.setdefault(f" {norm} ", set()).add(n)
             if len(norm.replace(" ", "")) >= 8:
-                hit = hit | F.col("__tight").contains(norm.replace(" ", ""))
-            checks.append(F.when(hit, F.lit(n)))
-    listed = F.array_compact(F.array(*checks)) if checks else F.array().cast("array<string>")
-    return rows.select(key, plain.alias("__plain"), tight.alias("__tight")).select(key, F.explode(listed).alias("name"))
+                tight.setdefault(norm.replace(" ", ""), set()).add(n)
+    try:
+        import ahocorasick
+    except ImportError:
+        ahocorasick = None
+
+    def scan(held: dict[str, set[str]]) -> Callable:
+        if ahocorasick is None or not held:
+            return lambda text: (n for k, v in held.items() if k in text for n in v)
+        machine = ahocorasick.Automaton()
+        for k, v in held.items():
+            machine.add_word(k, v)
+        machine.make_automaton()
+        return lambda text: (n for _, v in machine.iter(text) for n in v)
+
+    one, other = scan(plain), scan(tight)
+    return lambda words: sorted({*one(words), *other(words.replace(" ", ""))})
+
+
+def known_names(rows: DataFrame, key: str, text: str, names: list[str]) -> DataFrame:
+    """(key, name): known names in a text, at word bounds, or run together from eight letters on. Any number of names takes one pass."""
+    plain = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^\p{L}\p{N}]+", " ")), F.lit(" "))
+
+    def find(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        finder = _finder(names)
+        for texts in batches:
+            yield pd.Series([finder(t) for t in texts], dtype=object)
+
+    return rows.select(key, F.explode(F.pandas_udf(find, "array<string>")(plain)).alias("name"))
 
 
 def publishable(rows: DataFrame, key: str, text: str, names: list[str]) -> DataFrame:
@@ -151,3 +216,27 @@ def publish(rows: DataFrame, text: str, names: dict[str, str], terms: list[str]
     """The text column made fit to publish: invisible characters, audit lines, spans, terms, names and generic mentions."""
     c = generic_party(pseudonymize(redact_terms(scrub(strip_invisible(F.col(text))), list(terms)), names), label)
     return rows.withColumn(text, c)
+
+
+def strip_paths(text: Column) -> Column:
+    """Paths of source files reduced to the file's name."""
+    return F.regexp_replace(text, r"(?:[A-Za-z]:)?(?:[/\\\\][^/\\\\\s\"']+)+[/\\\\]([^/\\\\\s\"']+[.][A-Za-z0-9]{2,5})\b", "$1")
+
+
+def fuzzy_name(name: str) -> str:
+    """A pattern for a name whatever marks and blanks are between its words, its ending (Inc, LLC, ...) optional."""
+    words = re.findall(r"[A-Za-z0-9]+", name)
+    while len(words) > 1 and words[-1].lower() in ENDINGS:
+        words.pop()
+    return r"(?i)\b" + r"[^A-Za-z0-9]*".join(map(re.escape, words)) + r"(?:[^A-Za-z0-9]+(?:" + "|".join(ENDINGS) + r"))?\b"
+
+
+def export_round(strings: DataFrame, key: str, text: str, rewrites: DataFrame, names: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(strings after the rewrites (key_hash, rewritten) that were given for them, those that still have something identifying, with its kinds).
+
+    One round of an export: ask for rewrites of what is left, and again, until nothing is.
+    """
+    hashed = strings.withColumn("key_hash", F.sha2(F.col(text), 256))
+    out = hashed.join(rewrites.select("key_hash", "rewritten"), "key_hash", "left").withColumn(text, F.coalesce("rewritten", text)).drop("rewritten", "key_hash")
+    left = publishable(out, key, text, names).groupBy(key).agg(F.array_sort(F.collect_set("kind")).alias("kinds"))
+    return out, left.join(out, key).withColumn("key_hash", F.sha2(F.col(text), 256)).select(key, text, "kinds", "key_hash")

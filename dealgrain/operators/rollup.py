@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text_ops import band, dedup_key
+from ..functions.text_ops import band, dedup_key, normalize
 
 COUNTED = ("signed", "proposed_then_reversed")
 UNJUDGED = ("stub", "needs_review")
@@ -107,6 +107,16 @@ def library(observations: DataFrame) -> DataFrame:
     return texts.groupBy("taxonomy_id").agg(F.sum("n").cast("bigint").alias("n_forms"), F.sum("theirs").cast("bigint").alias("n_counterparty_paper"), F.array_sort(F.collect_list("full_text")).alias("forms"))
 
 
+def preferred_variations(entries: DataFrame, top: int = 5) -> DataFrame:
+    """The digest's variations: of each taxonomy's entries (taxonomy_id, if_text, to_text, precedent_count, material, ord), grouped by both texts
+    whatever case and marks, the ``top`` most frequent and every material one, represented by their most frequent entry, the first on ties."""
+    e = entries.withColumn("n1", F.coalesce("precedent_count", F.lit(1))).withColumn("form", normalize(F.concat_ws(" ", "if_text", "to_text"))).where("form <> ''")
+    best = F.struct(-F.col("n1"), "ord")
+    g = e.groupBy("taxonomy_id", "form").agg(F.sum("n1").cast("bigint").alias("n"), F.bool_or("material").alias("material"), F.min("ord").alias("first_seen"), F.min_by("if_text", best).alias("if_text"), F.min_by("to_text", best).alias("to_text"))
+    ranked = g.withColumn("rank", F.row_number().over(Window.partitionBy("taxonomy_id").orderBy(F.desc("n"), "first_seen")))
+    return ranked.where((F.col("rank") <= top) | F.col("material")).withColumn("band", band(F.col("n")))
+
+
 def ranked_forms(observations: DataFrame, key: Column, top: int = 5) -> DataFrame:
     """The digest's size rule: of each taxonomy's texts, grouped by ``key``, the ``top`` most frequent and every material one.
 

@@ -5,6 +5,8 @@ Nodes are rows (document_id, node_id, parent_id, ord, start_block, end_block, ta
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,14 +22,32 @@ def grounded(nodes: DataFrame, blocks: DataFrame) -> DataFrame:
     return inside.groupBy(*keys).agg(F.min("start").alias("start"), F.max("end").alias("end"), F.array_join(F.transform(pieces, lambda x: x["text"]), "\n").alias("text"))
 
 
-def grounding_problems(nodes: DataFrame, blocks: DataFrame) -> DataFrame:
-    """Unknown blocks, unknown parents, ids that repeat, ends before beginnings, and nodes that are their own ancestor within two steps."""
-    ids = nodes.groupBy("document_id", "node_id").agg(F.min("parent_id").alias("grandparent")).select("document_id", F.col("node_id").alias("parent_id"), "grandparent", F.lit(True).alias("known"))
+def endless(nodes: DataFrame, checkpoint: Callable) -> DataFrame:
+    """(document_id, node_id) of nodes whose chain of parents never ends.
+
+    Each round doubles the steps that are taken at once, so rounds grow with the logarithm of the longest chain; those left when a round
+    drops nobody are in a cycle or below one.
+    """
+    up = nodes.where("parent_id IS NOT NULL").groupBy("document_id", "node_id").agg(F.min("parent_id").alias("up"))
+    left = checkpoint(up)
+    n = left.count()
+    while n:
+        step = left.select("document_id", F.col("node_id").alias("up"), F.col("up").alias("next"))
+        left = checkpoint(left.join(step, ["document_id", "up"]).select("document_id", "node_id", F.col("next").alias("up")))
+        if (now := left.count()) == n:
+            break
+        n = now
+    return left.select("document_id", "node_id")
+
+
+def grounding_problems(nodes: DataFrame, blocks: DataFrame, checkpoint: Callable) -> DataFrame:
+    """Unknown blocks, unknown parents, ids that repeat, ends before beginnings, and nodes whose parents never lead to a root."""
+    ids = nodes.groupBy("document_id", F.col("node_id").alias("parent_id")).agg(F.lit(True).alias("known"))
     b = blocks.select("document_id", "block_id", F.col("ord").alias("o"))
     x = nodes.withColumn("n", F.count("*").over(Window.partitionBy("document_id", "node_id"))).join(ids, ["document_id", "parent_id"], "left")
     x = x.join(b.select("document_id", F.col("block_id").alias("start_block"), F.col("o").alias("o1")), ["document_id", "start_block"], "left").join(b.select("document_id", F.col("block_id").alias("end_block"), F.col("o").alias("o2")), ["document_id", "end_block"], "left")
-    cycle = (F.col("parent_id") == F.col("node_id")) | (F.col("grandparent") == F.col("node_id"))
-    problem = F.when(F.col("n") > 1, "duplicate_node").when(F.col("o1").isNull() | F.col("o2").isNull(), "unknown_block").when(F.col("o2") < F.col("o1"), "inverted").when(cycle, "cycle").when(F.col("parent_id").isNotNull() & F.col("known").isNull(), "unknown_parent")
+    x = x.join(endless(nodes, checkpoint).withColumn("endless", F.lit(True)), ["document_id", "node_id"], "left")
+    problem = F.when(F.col("n") > 1, "duplicate_node").when(F.col("o1").isNull() | F.col("o2").isNull(), "unknown_block").when(F.col("o2") < F.col("o1"), "inverted").when(F.col("endless"), "cycle").when(F.col("parent_id").isNotNull() & F.col("known").isNull(), "unknown_parent")
     return x.withColumn("problem", problem).where("problem IS NOT NULL").select("document_id", "node_id", "problem")
 
 
@@ -84,3 +104,30 @@ def thin(positions: DataFrame) -> DataFrame:
     """Positions without enough evidence, or every form of which was seen once; positions has evidence_sufficient and precedent_counts."""
     once = (F.size("precedent_counts") > 0) & F.forall("precedent_counts", lambda n: n == 1)
     return positions.withColumn("thin", (~F.coalesce("evidence_sufficient", F.lit(True))) | F.coalesce(once, F.lit(False)))
+
+
+def block_spans(blocks: DataFrame, document: str = "document_id", order: str = "ord", text: str = "text") -> DataFrame:
+    """Blocks with start and end in the text that they make when joined by line feeds."""
+    run = F.sum(F.length(text) + 1).over(Window.partitionBy(document).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    return blocks.withColumn("end", (run - 1).cast("bigint")).withColumn("start", (F.col("end") - F.length(text)).cast("bigint"))
+
+
+def capitals(line: Column, most: int = 8) -> Column:
+    """A line of capitals, of few words and without a full stop, reads as a heading."""
+    return line.rlike("[A-Z]") & (F.upper(line) == line) & (F.size(F.split(line, " ")) <= most) & ~line.rlike("[^ -~]") & ~line.endswith(".")
+
+
+def owned(rows: DataFrame, heading: Column, document: str = "document_id", order: str = "ord") -> DataFrame:
+    """Lines with the heading that they are below and its number; ``heading`` is null for lines that are none."""
+    w = Window.partitionBy(document).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumn("heading", F.last(heading, ignorenulls=True).over(w)).withColumn("clause_no", F.count(heading).over(w))
+
+
+ELEMENT = r"<(h1|p|li|title)[^>]*>([^<]*)"
+
+
+def html_blocks(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
+    """(key, ord from 1, tag, text): headings, paragraphs and list items of a page."""
+    tags, text = (F.regexp_extract_all(html, F.lit(ELEMENT), k) for k in (1, 2))
+    rows = pages.select(key, F.posexplode(F.arrays_zip(tags.alias("tag"), text.alias("text"))).alias("pos", "x"))
+    return rows.select(key, (F.col("pos") + 1).alias("ord"), "x.tag", "x.text")

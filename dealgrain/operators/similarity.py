@@ -2,32 +2,162 @@
 
 from __future__ import annotations
 
-import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text_ops import jaccard
+COMMON = 4096
 
 
-def similar_pairs(sets: DataFrame, threshold: float, key: str = "key", words: str = "words", group: str | None = None) -> DataFrame:
+class _Prefixes:
+    """(node, n, pos, word, bucket) of batches of (node, words): each set's words from the rarest on, as far as a pair must share one.
+
+    Words are in the order of ``common`` (the most frequent ones, which come last) and then of their hashes. With ``whole`` all words come, and
+    ``pos`` tells which are among those.
+    """
+
+    def __init__(self, common: list[int], share: float, base: float, whole: bool = False):
+        held = np.array(common, dtype=np.int64)  # by falling frequency
+        self.order = np.argsort(held)
+        self.common, self.share, self.base, self.whole = held[self.order], share, base, whole
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = batch.column(1)
+            word = sets.flatten().to_numpy(zero_copy_only=False)
+            n = np.diff(sets.offsets.to_numpy())
+            row = np.repeat(np.arange(len(n)), n)
+            rank = np.zeros(len(word), dtype=np.int64)
+            if len(self.common) and len(word):
+                at = np.minimum(np.searchsorted(self.common, word), len(self.common) - 1)
+                rank = np.where(self.common[at] == word, len(self.common) - self.order[at], 0)
+            order = np.lexsort((word, rank, row))
+            word, row = word[order], row[order]
+            pos = np.arange(len(word)) - np.repeat(np.cumsum(n) - n, n)
+            asked = n - np.ceil(n * self.share - 1e-9).astype(np.int64) + 1
+            held = np.arange(len(word)) if self.whole else np.flatnonzero(pos < asked[row])
+            row, size = row[held], n[row[held]]
+            bucket = np.floor(np.log(size) / self.base) if self.base else np.zeros(len(row))
+            node = batch.column(0).to_numpy()[row]
+            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(size.astype(np.int32)), pa.array(pos[held].astype(np.int32)), pa.array(word[held]), pa.array(bucket.astype(np.int32)), pa.array(pos[held] < asked[row])], names=["node", "n", "pos", "word", "bucket", "first"])
+
+
+_ROWS = "node bigint, n int, pos int, word bigint, bucket int, first boolean"
+
+
+def _folded(sets: DataFrame, key: str, words: str, group: str | None, checkpoint: Callable) -> tuple[DataFrame, DataFrame]:
+    """(k, node) of every set that isn't empty, and (node, words) once for equal sets of a group. Words are hashes of word and group."""
+    g = [F.col(group)] if group else []
+    hashed = sets.select(F.col(key).alias("k"), F.array_sort(F.transform(F.col(words), lambda x: F.xxhash64(x, *g))).alias("words")).where(F.size("words") > 0)
+    base = checkpoint(hashed.withColumn("node", F.xxhash64("words", F.size("words"))))
+    return base.select("k", "node"), checkpoint(base.select("node", "words").dropDuplicates(["node"]))
+
+
+def _common(nodes: DataFrame) -> list[int]:
+    """The most frequent words, at most ``COMMON``, of those that several sets have."""
+    uses = nodes.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("uses")).where("uses > 1")
+    return [r.word for r in uses.orderBy(F.desc("uses"), "word").limit(COMMON).collect()]
+
+
+def _near(nodes: DataFrame, threshold: float) -> DataFrame:
+    """(x, y, similarity) of nodes x < y with a Jaccard similarity of at least ``threshold``.
+
+    Exact, by prefix filtering: with all sets in one order of words, similar sets share one of their first ``n - ceil(threshold * n) + 1``
+    words, and at the first word they share enough must be left behind it. Frequent words come last in the order, and sizes
+    that are too far apart don't meet, as their bucket is part of the key.
+    """
+    base = float(np.log(1 / threshold)) if threshold < 1 else 0.0
+    head = nodes.select("node", "words").mapInArrow(_Prefixes(_common(nodes), threshold, base), _ROWS)
+    a = head.select(F.col("node").alias("x"), F.col("n").alias("nx"), F.col("pos").alias("px"), "word", "bucket")
+    b = head.select(F.col("node").alias("y"), F.col("n").alias("ny"), F.col("pos").alias("py"), "word", F.explode(F.sequence(F.col("bucket") - 1, F.col("bucket") + 1)).alias("bucket"))
+    need = F.ceil((F.col("nx") + F.col("ny")) * F.lit(threshold / (1 + threshold)) - F.lit(1e-9))
+    left = F.least(F.col("nx") - F.col("px"), F.col("ny") - F.col("py"))
+    met = a.join(b, ["word", "bucket"]).where((F.col("x") < F.col("y")) & (F.col("nx") >= F.col("ny") * threshold) & (F.col("ny") >= F.col("nx") * threshold) & (left >= need)).select("x", "y").distinct()
+    full = met.join(nodes.select(F.col("node").alias("x"), F.col("words").alias("wx")), "x").join(nodes.select(F.col("node").alias("y"), F.col("words").alias("wy")), "y")
+    shared = F.size(F.array_intersect("wx", "wy"))
+    return full.select("x", "y", (shared / (F.size("wx") + F.size("wy") - shared)).alias("similarity")).where(F.col("similarity") >= threshold)
+
+
+def similar_pairs(sets: DataFrame, threshold: float, key: str = "key", words: str = "words", group: str | None = None, checkpoint: Callable = lambda df: df) -> DataFrame:
     """(a, b, similarity) of all pairs a < b with a Jaccard similarity of at least ``threshold``; of one ``group`` where given.
 
-    Exact, by prefix filtering: words are ranked by how few sets have them, and two sets that are similar share one
-    of the first ``n - ceil(threshold * n) + 1`` of theirs, so pairs are found by an equi-join on rare words. Sets are carried
-    through the join by key alone and met again for verification. Empty sets match nothing.
+    Equal sets are one node of the join and are spread out afterwards. Words are told apart by 64 bits of a hash. Empty sets match
+    nothing. ``checkpoint`` cuts the lineage of a DataFrame, so that sets are made once.
+    """
+    members, nodes = _folded(sets, key, words, group, checkpoint)
+    near = _near(nodes, threshold)
+    one, other = (members.select(F.col("k").alias(k), F.col("node").alias(n)) for k, n in (("p", "x"), ("q", "y")))
+    apart = near.join(one, "x").join(other, "y").select(*_ordered(), "similarity")
+    same = one.join(other.withColumnRenamed("y", "x"), "x").where("p < q").select(F.col("p").alias("a"), F.col("q").alias("b"), F.lit(1.0).alias("similarity"))
+    return apart.unionByName(same)
+
+
+def similar_links(sets: DataFrame, threshold: float, key: str = "key", words: str = "words", group: str | None = None, checkpoint: Callable = lambda df: df) -> DataFrame:
+    """(u, v): links whose connected components are those of ``similar_pairs``, one for each further copy of a set, whatever the number of copies."""
+    members, nodes = _folded(sets, key, words, group, checkpoint)
+    first = members.groupBy("node").agg(F.min("k").alias("first"))
+    ties = members.join(first, "node").where("k <> first").select(F.col("first").alias("u"), F.col("k").alias("v"))
+    one, other = (first.select(F.col("first").alias(k), F.col("node").alias(n)) for k, n in (("u", "x"), ("v", "y")))
+    return _near(nodes, threshold).join(one, "x").join(other, "y").select("u", "v").unionByName(ties)
+
+
+def overlapping_pairs(sets: DataFrame, threshold: float, key: str, words: str, checkpoint: Callable = lambda df: df) -> DataFrame:
+    """(a, b, similarity) of all pairs a < b with an overlap coefficient (shared words over those of the smaller set) of at least ``threshold``.
+
+    The smaller set of a pair must have one of its first ``n - ceil(threshold * n) + 1`` words in the other; frequent words come last.
+    """
+    members, nodes = _folded(sets, key, words, None, checkpoint)
+    every = nodes.select("node", "words").mapInArrow(_Prefixes(_common(nodes), threshold, 0.0, whole=True), _ROWS)
+    a = every.where("first").select(F.col("node").alias("x"), F.col("n").alias("nx"), "word")
+    b = every.select(F.col("node").alias("y"), F.col("n").alias("ny"), "word")
+    smaller = (F.col("nx") < F.col("ny")) | ((F.col("nx") == F.col("ny")) & (F.col("x") < F.col("y")))
+    met = a.join(b, "word").where(smaller).select("x", "y").distinct()
+    full = met.join(nodes.select(F.col("node").alias("x"), F.col("words").alias("wx")), "x").join(nodes.select(F.col("node").alias("y"), F.col("words").alias("wy")), "y")
+    near = full.select("x", "y", (F.size(F.array_intersect("wx", "wy")) / F.size("wx")).alias("similarity")).where(F.col("similarity") >= threshold)
+    one, other = (members.select(F.col("k").alias(k), F.col("node").alias(n)) for k, n in (("p", "x"), ("q", "y")))
+    apart = near.join(one, "x").join(other, "y").select(*_ordered(), "similarity")
+    same = one.join(other.withColumnRenamed("y", "x"), "x").where("p < q").select(F.col("p").alias("a"), F.col("q").alias("b"), F.lit(1.0).alias("similarity"))
+    return apart.unionByName(same)
+
+
+def overlaps(sets: DataFrame, key: str, words: str) -> DataFrame:
+    """(a, b, similarity): the overlap coefficient of all pairs a < b that share a word, which are as many as the result has rows.
+
+    Shared words are counted by an equi-join that carries the sets' sizes and not the sets.
     """
-    base = sets.select(F.col(key).alias("k"), F.col(words).alias("w"), (F.col(group) if group else F.lit(0)).alias("g")).where(F.size("w") > 0)
-    each = base.select("k", "g", F.size("w").alias("n"), F.explode("w").alias("word"))
-    uses = each.groupBy("word").agg(F.count("*").alias("uses"))
-    ranked = each.join(uses, "word").withColumn("rank", F.row_number().over(Window.partitionBy("k").orderBy("uses", "word")))
-    head = ranked.where(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * F.lit(threshold) - F.lit(1e-9)) + 1).select("k", "g", "n", "word")
-    other = head.select(F.col("k").alias("k2"), F.col("g").alias("g2"), F.col("n").alias("n2"), F.col("word").alias("word2"))
-    near = head.join(other, (F.col("word") == F.col("word2")) & (F.col("g") == F.col("g2")) & (F.col("k") < F.col("k2")))
-    near = near.where((F.col("n") >= F.col("n2") * threshold) & (F.col("n2") >= F.col("n") * threshold)).select("k", "k2").distinct()
-    full = near.join(base.select("k", F.col("w").alias("wa")), "k").join(base.select(F.col("k").alias("k2"), F.col("w").alias("wb")), "k2")
-    return full.select(F.col("k").alias("a"), F.col("k2").alias("b"), jaccard(F.col("wa"), F.col("wb")).alias("similarity")).where(F.col("similarity") >= threshold)
+    each = sets.select(F.col(key).alias("a"), F.size(words).alias("n"), F.explode(words).alias("word"))
+    other = each.select(F.col("a").alias("b"), F.col("n").alias("m"), "word")
+    met = each.join(other, "word").where("a < b").groupBy("a", "b", "n", "m").agg(F.count("*").alias("shared"))
+    return met.select("a", "b", (F.col("shared") / F.least("n", "m")).alias("similarity"))
+
+
+def _ordered() -> tuple[Column, Column]:
+    p, q = F.col("p"), F.col("q")
+    return F.when(p < q, p).otherwise(q).alias("a"), F.when(p < q, q).otherwise(p).alias("b")
+
+
+def nearest(sets: DataFrame, key: str, words: str, steps: tuple[float, ...] = (0.8, 0.5, 0.2), checkpoint: Callable = lambda df: df) -> DataFrame:
+    """(key, similarity): the highest Jaccard similarity of each set to another with which it shares a word; no row where it shares none.
+
+    By falling thresholds: a set that has a neighbour at one has its nearest among those found there. Only sets without one are met by shared words at the end.
+    """
+    base = checkpoint(sets.select(F.col(key).alias("key"), F.col(words).alias("words")))
+    found = None
+    for t in steps:
+        pairs = similar_pairs(base, t, checkpoint=checkpoint)
+        ends = pairs.select(F.col("a").alias("key"), "similarity").unionByName(pairs.select(F.col("b").alias("key"), "similarity"))
+        got = checkpoint(ends.groupBy("key").agg(F.max("similarity").alias("similarity")))
+        new = got if found is None else got.join(found, "key", "left_anti")
+        found = new if found is None else found.unionByName(new)
+    each = base.select("key", F.size("words").alias("n"), F.explode("words").alias("word"))
+    open_ = each.join(found, "key", "left_anti")
+    other = each.select(F.col("key").alias("k2"), F.col("n").alias("m"), "word")
+    met = open_.join(other, "word").where("key <> k2").groupBy("key", "n", "k2", "m").agg(F.count("*").alias("shared"))
+    rest = met.groupBy("key").agg(F.max(F.col("shared") / (F.col("n") + F.col("m") - F.col("shared"))).alias("similarity"))
+    return found.unionByName(rest).withColumnRenamed("key", key)
 
 
 def best_match(items: DataFrame, references: DataFrame, item: str, reference: str, order: str, low: float = 0.0) -> DataFrame:
@@ -81,6 +211,3 @@ def leaders(pairs: DataFrame, nodes: DataFrame, checkpoint: Callable) -> DataFra
     followers = follow.join(led.select(F.col("node").alias("b")), "b", "left_anti").select(F.col("b").alias("node"), "leader", "similarity")
     return led.select("node", F.col("node").alias("leader"), F.lit(1.0).alias("similarity")).unionByName(followers)
 
-
-def prefix_size(n: int, threshold: float) -> int:
-    return n - math.ceil(n * threshold - 1e-9) + 1

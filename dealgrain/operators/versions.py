@@ -20,6 +20,7 @@ from .similarity import greedy_matching, similar_pairs
 
 HUNKS = "array<struct<kind:string,old_text:string,new_text:string>>"
 EXACT_CHARS, JACCARD, JACCARD_WORDS = 30, 0.80, 8
+EXHAUSTIVE, TIE = 8, 1e-9
 
 
 def exact_moves(clauses: DataFrame) -> DataFrame:
@@ -44,7 +45,7 @@ def moves(clauses: DataFrame, checkpoint: Callable) -> DataFrame:
     a = held.join(used_a, key, "left_anti").select("document_id", "version_ord", F.lit(0).alias("side"), "ord", "words")
     b = held.join(used_b, key, "left_anti").select("document_id", (F.col("version_ord") - 1).alias("version_ord"), F.lit(1).alias("side"), "ord", "words")
     both = a.unionByName(b).withColumn("key", F.struct("document_id", "version_ord", "side", "ord")).withColumn("group", F.struct("document_id", "version_ord"))
-    near = similar_pairs(both, JACCARD, group="group").where("a.side = 0 and b.side = 1")
+    near = similar_pairs(both, JACCARD, group="group", checkpoint=checkpoint).where("a.side = 0 and b.side = 1")
     edges = near.select(F.struct(F.col("a.document_id"), F.col("a.version_ord")).alias("group"), F.col("a.ord").alias("i"), F.col("b.ord").alias("j"), "similarity")
     fuzzy = greedy_matching(edges, checkpoint).select("group.document_id", "group.version_ord", "i", "j", F.lit("content_jaccard").alias("basis"), "similarity")
     return exact.withColumn("basis", F.lit("content_exact")).withColumn("similarity", F.lit(1.0)).unionByName(fuzzy)
@@ -65,14 +66,6 @@ def chains(matched: DataFrame, clauses: DataFrame, checkpoint: Callable) -> Data
     return out.select(*clauses.columns, "alignment", F.coalesce("confidence", F.lit(1.0)).alias("confidence"), F.when(F.col("exact").isNull(), "none").when(F.col("exact"), "content_exact").otherwise("content_jaccard").alias("match_basis"))
 
 
-def positional(clauses: DataFrame) -> DataFrame:
-    """Clauses of a taxonomy bucket aligned by their position where all versions have as many; ``aligned`` says where."""
-    bucket = Window.partitionBy("document_id", "taxonomy_id")
-    spot = F.row_number().over(Window.partitionBy("document_id", "taxonomy_id", "version_ord").orderBy("ord"))
-    n = F.count("*").over(Window.partitionBy("document_id", "taxonomy_id", "version_ord"))
-    return clauses.withColumn("spot", spot).withColumn("n", n).withColumn("aligned", F.min("n").over(bucket) == F.max("n").over(bucket)).drop("n")
-
-
 def _kinds(rows: DataFrame) -> DataFrame:
     kind = F.when(~F.col("had"), "added").when(~F.col("has"), "removed").when(F.col("before") == F.col("after"), "unchanged").otherwise("modified")
     return rows.withColumn("kind", kind)
@@ -171,19 +164,29 @@ def line_ratio(a: list[str], b: list[str]) -> float:
     return difflib.SequenceMatcher(None, a, b).ratio()
 
 
-def _chain(names: list, signed, dist: Callable, score: Callable) -> list:
-    """Cheapest order of the unsigned versions with the signed one last: all orders up to 8, else from the farthest to the nearest next."""
+def _chain(names: list, signed, dist: Callable, score: Callable | None = None) -> tuple[list, str, list]:
+    """(order, basis, terminals): the cheapest order of the unsigned versions with the signed one last.
+
+    All orders up to 8 are tried; of equally cheap ones the best by ``score`` wins, then the first, and the basis is hints where the
+    score moved the choice. More are taken from the farthest to the nearest next. ``terminals`` are the versions that could be last at the least cost.
+    """
     free = sorted(n for n in names if n != signed)
     tail = [signed] if signed is not None else []
+    if len(names) == 1:
+        return list(names), "single", list(names)
     cost = lambda c: sum(dist(x, y) for x, y in itertools.pairwise(c))
-    if len(free) <= 8:
-        best = None
+    if len(free) <= EXHAUSTIVE:
+        best, least, by_hints, last = None, float("inf"), False, set()
         for order in itertools.permutations(free):
             c = [*order, *tail]
-            k = (cost(c), -score(c), c)
-            if best is None or k[0] < best[0] - 1e-9 or (abs(k[0] - best[0]) <= 1e-9 and k[1:] < best[1:]):
-                best = k
-        return best[2] if best else tail
+            now = cost(c)
+            if now < least - TIE:
+                best, least, by_hints, last = c, now, False, {c[-1]}
+            elif now <= least + TIE:
+                last.add(c[-1])
+                if score and score(c) > score(best):
+                    best, by_hints = c, True
+        return best, "hints" if by_hints else "exhaustive", sorted(last)
     far = lambda n: dist(n, signed) if signed is not None else sum(dist(n, m) for m in free) / max(1, len(free) - 1)
     at = min(free, key=lambda n: (-round(far(n), 9), n))
     out, rest = [at], set(free) - {at}
@@ -191,7 +194,32 @@ def _chain(names: list, signed, dist: Callable, score: Callable) -> list:
         at = min(rest, key=lambda n: (round(dist(out[-1], n), 9), n))
         out.append(at)
         rest.discard(at)
-    return out + tail
+    return out + tail, "greedy", (out + tail)[-1:]
+
+
+def hint_score(chain: list, times: dict, places: dict) -> float:
+    """One for each step of a chain that agrees with the times, and with the places in an order that was given; one less for each that doesn't."""
+    score = 0.0
+    for a, b in itertools.pairwise(chain):
+        if times.get(a) and times.get(b):
+            score += 1.0 if times[a] <= times[b] else -1.0
+        if a in places and b in places:
+            score += 1.0 if places[a] < places[b] else -1.0
+    return score
+
+
+def with_hints(versions: DataFrame, hints: DataFrame | None = None) -> DataFrame:
+    """Versions (document_id, version, text, signed, and name and timestamp where known) with hint_time and hint_place.
+
+    ``hints`` (document_id, version_order, timestamps) go before a version's own timestamp, for each version by its name.
+    """
+    name = F.col("name") if "name" in versions.columns else F.col("version").cast("string")
+    own = F.col("timestamp") if "timestamp" in versions.columns else F.lit(None).cast("string")
+    if hints is None:
+        return versions.withColumn("hint_time", own).withColumn("hint_place", F.lit(None).cast("int"))
+    both = versions.join(hints.select("document_id", "version_order", "timestamps"), "document_id", "left")
+    place = F.nullif(F.array_position("version_order", name), F.lit(0))
+    return both.withColumn("hint_time", F.coalesce(F.try_element_at("timestamps", name), own)).withColumn("hint_place", place.cast("int")).drop("version_order", "timestamps")
 
 
 def chain_shape(steps: list[float], gap: float = 0.4) -> str:
@@ -205,20 +233,42 @@ def chain_shape(steps: list[float], gap: float = 0.4) -> str:
     return "fork" if len(ordered) > 1 and median > 0 and ordered[-1] >= 2 * median and ordered[-1] != median else "linear"
 
 
+def shapes(steps: DataFrame, key: str, gap: float = 0.4) -> DataFrame:
+    """(key, largest, upper_median, shape) of rows (key, step); the same rule as ``chain_shape``, one aggregation."""
+    s = steps.where("step IS NOT NULL").groupBy(key).agg(F.array_sort(F.collect_list("step")).alias("s"))
+    s = s.select(key, "s", F.element_at("s", -1).alias("largest"), F.element_at("s", (F.floor(F.size("s") / 2) + 1).cast("int")).alias("upper_median"))
+    median = F.col("upper_median")
+    fork = (F.size("s") > 1) & (median > 0) & (F.col("largest") >= 2 * median) & (F.col("largest") != median)
+    return s.withColumn("shape", F.when(F.col("largest") > gap, "gap").when(fork, "fork").otherwise("linear")).drop("s")
+
+
 def _order_document(rows: pd.DataFrame) -> pd.DataFrame:
     rows = rows.sort_values("version")
     texts = {v: [x for x in map(str.strip, (t or "").split("\n")) if x] for v, t in zip(rows["version"], rows["text"])}
     held = {(a, b): 1 - line_ratio(texts[a], texts[b]) for a, b in itertools.combinations(rows["version"], 2)}
     dist = lambda a, b: held[(a, b)] if (a, b) in held else held[(b, a)]
     signed = rows.loc[rows["signed"], "version"]
-    chain = _chain(list(rows["version"]), signed.iloc[-1] if len(signed) else None, dist, lambda c: 0)
+    times = {v: t for v, t in zip(rows["version"], rows["hint_time"]) if isinstance(t, str) and t}
+    places = {v: int(p) for v, p in zip(rows["version"], rows["hint_place"]) if pd.notna(p)}
+    score = (lambda c: hint_score(c, times, places)) if times or places else None
+    names = list(rows["version"])
+    chain, basis, terminals = _chain(names, signed.iloc[-1] if len(signed) else None, dist, score)
     steps = [dist(a, b) for a, b in itertools.pairwise(chain)]
-    return pd.DataFrame({"document_id": rows["document_id"].iloc[0], "version": chain, "version_ord": range(1, len(chain) + 1), "step": [None, *steps], "total_distance": sum(steps), "shape": chain_shape(steps)})
+    return pd.DataFrame({
+        "document_id": rows["document_id"].iloc[0], "version": chain, "version_ord": range(1, len(chain) + 1), "step": [None, *steps], "total_distance": sum(steps), "shape": chain_shape(steps),
+        "basis": basis, "terminals": [[int(t) for t in terminals]] * len(chain),
+    })
+
+
+ORDERED = "document_id bigint, version bigint, version_ord int, step double, total_distance double, shape string, basis string, terminals array<bigint>"
 
 
-def order_versions(versions: DataFrame) -> DataFrame:
-    """(document_id, version, version_ord, step, total_distance, shape) of (document_id, version, text, signed), a task a document."""
-    return versions.groupBy("document_id").applyInPandas(_order_document, "document_id bigint, version bigint, version_ord int, step double, total_distance double, shape string")
+def order_versions(versions: DataFrame, hints: DataFrame | None = None) -> DataFrame:
+    """(document_id, version, version_ord, step, total_distance, shape, basis, terminals) of (document_id, version, text, signed), a task a document.
+
+    basis is single, exhaustive, hints or greedy. See ``with_hints`` for hints and timestamps.
+    """
+    return with_hints(versions, hints).groupBy("document_id").applyInPandas(_order_document, ORDERED)
 
 
 def _ratios(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -234,9 +284,28 @@ def pairwise_distances(versions: DataFrame) -> DataFrame:
 
 
 def representative(versions: DataFrame) -> DataFrame:
-    """One version a document: the signed one of the highest confidence, of equals the last by natural key; else the last by natural key."""
-    order = Window.partitionBy("document_id").orderBy(F.when(F.col("signed"), 0).otherwise(1), F.when(F.col("signed"), -F.col("confidence")), F.desc("natural_key"))
-    return versions.withColumn("turn", F.row_number().over(order)).where("turn = 1").drop("turn")
+    """One version a document, with the basis of the choice: the signed one of the highest confidence, of equals the last by natural key.
+
+    Without a signed one, that of ``terminals`` (those that could end the cheapest chain, where the column is there) if it is one, else the last
+    of them by natural key. A document's only version has the basis single.
+    """
+    one = Window.partitionBy("document_id")
+    could = F.array_contains("terminals", F.col("version")) if "terminals" in versions.columns else F.lit(True)
+    order = one.orderBy(F.when(F.col("signed"), 0).when(could, 1).otherwise(2), F.when(F.col("signed"), -F.col("confidence")), F.desc("natural_key"))
+    alone = (F.size("terminals") == 1) if "terminals" in versions.columns else F.lit(False)
+    basis = F.when(F.count("*").over(one) == 1, "single").when(F.col("signed"), "signed").when(alone, "chain_terminal").otherwise("filename_tiebreak")
+    return versions.withColumn("turn", F.row_number().over(order)).withColumn("basis", basis).where("turn = 1").drop("turn")
+
+
+def template_similarity(documents: DataFrame, template: str, text: str = "text") -> DataFrame:
+    """``documents`` with ``similarity``: how much of their lines, in order, are the template's."""
+    lines = [x for x in map(str.strip, template.split("\n")) if x]
+
+    def ratios(texts: pd.Series) -> pd.Series:
+        cut = lambda t: [x for x in map(str.strip, (t or "").split("\n")) if x]
+        return pd.Series([line_ratio(lines, cut(t)) if lines and cut(t) else float(not lines and not cut(t)) for t in texts], dtype="float64")
+
+    return documents.withColumn("similarity", F.pandas_udf(ratios, "double")(F.col(text)))
 
 
 def attribute_hunks(hunks: DataFrame, changes: DataFrame, checkpoint: Callable, least: float = 0.5) -> DataFrame:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import positions, publication, reports, trails
+from . import judgements, positions, publication, reports, trails
 
-MODULES = (positions, trails, publication, reports)
+MODULES = (positions, trails, publication, reports, judgements)
 QUERIES = {name: f for m in MODULES for name, f in m.Q.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.S.items()}
 FLAGSHIP = "precedent_rollup"

@@ -13,8 +13,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text_ops import STOP_WORDS, dedup_key, party_side
-from ..operators import classify, coverage, integrity, rollup, versions
+from ..operators import classify, coverage, integrity, redact, rollup, versions
 from ..sources import files as folders
+from ..sources.config import Config
 from . import playbook
 from .base import checkpoint
 
@@ -79,7 +80,8 @@ def observe(net: DataFrame, reversed_: DataFrame, documents: DataFrame, verdicts
     """
     key = integrity.payload_key(stage=F.lit("deviation"), hunk=F.concat_ws("\n", "before", "after"), our_standard=F.coalesce("our_standard", F.lit("")))
     seen = net.withColumn("key", key).join(verdicts.select("key", F.col("deviation").alias("v_deviation"), "direction", "magnitude"), "key", "left").join(documents, "document_id")
-    back = reversed_.select("document_id", "alignment", F.col("proposed_text"), F.lit(True).alias("reversed")).dropDuplicates(["document_id", "alignment"])
+    # a clause reversed in several rounds counts once, with what was proposed first
+    back = reversed_.groupBy("document_id", "alignment").agg(F.min_by("proposed_text", "round").alias("proposed_text")).withColumn("reversed", F.lit(True))
     rows = seen.join(back, ["document_id", "alignment"], "left")
     outcome = F.when(F.col("reversed") & (F.col("kind").isin("removed", "unchanged")), "proposed_then_reversed").when(F.col("signed"), "signed").otherwise("unsigned")
     judged = F.col("basis") == "pending"
@@ -95,37 +97,72 @@ def observe(net: DataFrame, reversed_: DataFrame, documents: DataFrame, verdicts
     return versions.numbered(every, "base_id", "alignment").drop("base_id")
 
 
-def mine(spark: SparkSession, clauses: DataFrame, taxonomy: DataFrame, aliases: list[str], verdicts: DataFrame, classifications: DataFrame | None = None, standards: DataFrame | None = None, quarantine: DataFrame | None = None) -> Mined:
+def scoped(sizes: DataFrame, scopes: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """(documents with in_scope, basis, confidence and scope_rationale; pending keys of kind scope).
+
+    ``scopes`` has document_id, in_scope and scope_rationale. Documents of two clauses or more without a verdict stay in scope and are pending.
+    """
+    docs = sizes.groupBy("document_id").agg(F.max("n").alias("n_clauses"))
+    if scopes is None:
+        return coverage.scope_ladder(docs.withColumn("verdict", F.lit(None).cast("boolean"))).withColumn("scope_rationale", F.lit(None).cast("string")), docs.select("document_id").limit(0)
+    told = docs.join(scopes.select("document_id", F.col("in_scope").alias("verdict"), "scope_rationale"), "document_id", "left")
+    out = coverage.scope_ladder(told)
+    return out, out.where("basis = 'judge_failed'").select("document_id")
+
+
+def mine(spark: SparkSession, clauses: DataFrame, taxonomy: DataFrame, aliases: list[str], verdicts: DataFrame, classifications: DataFrame | None = None, standards: DataFrame | None = None, quarantine: DataFrame | None = None,
+         scopes: DataFrame | None = None, hints: DataFrame | None = None, settings: Config | None = None, template: str | None = None) -> Mined:
     """Clauses are rows (document_id, version, ord, clause_path, heading, text); versions are numbers in file order.
 
-    ``verdicts`` has key, deviation, direction and magnitude; ``classifications`` has clause and verdict_id, ``standards`` taxonomy_id and our_standard.
+    ``verdicts`` has key, deviation, direction and magnitude; ``classifications`` has clause and verdict_id, ``standards`` taxonomy_id and our_standard,
+    ``scopes`` document_id, in_scope and scope_rationale, ``hints`` what ``config.hints`` gives. ``settings`` has the thresholds, aliases and known entities; ``template`` is
+    the text of our own paper. A document's hinted signed version and provenance go before what its text says.
     """
-    rows = checkpoint(clauses.where("ord >= 0").select("document_id", F.col("version").cast("bigint").alias("version"), "ord", "clause_path", "heading", F.coalesce("text", F.lit("")).alias("text")))
-    sizes = rows.groupBy("document_id", "version").agg(F.count("*").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "heading", "text"))), lambda x: F.concat_ws("\n", x["heading"], x["text"])), "\n").alias("text"))
+    settings = settings or Config({"id": ""})
+    aliases = list(dict.fromkeys([*aliases, *settings.aliases]))
+    source = F.regexp_replace("source_file", r"\.[^.]+$", "") if "source_file" in clauses.columns else F.lit(None).cast("string")
+    rows = checkpoint(clauses.where("ord >= 0").select("document_id", F.col("version").cast("bigint").alias("version"), F.coalesce(source, F.col("version").cast("string")).alias("name"), "ord", "clause_path", "heading", F.coalesce("text", F.lit("")).alias("text")))
+    sizes = rows.groupBy("document_id", "version").agg(F.min("name").alias("name"), F.count("*").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "heading", "text"))), lambda x: F.concat_ws("\n", x["heading"], x["text"])), "\n").alias("text"))
     sizes = checkpoint(sizes)
-    scope = coverage.scope_ladder(sizes.groupBy("document_id").agg(F.max("n").alias("n_clauses")).withColumn("verdict", F.lit(True)))
+    scope, unscoped = scoped(sizes, scopes)
     live = sizes.join(scope.where("in_scope").select("document_id"), "document_id")
-    status = checkpoint(classify.signed_status(live).select("document_id", "version", "text", F.col("signed").alias("looks"), "confidence"))
+    status = classify.signed_status(live).select("document_id", "version", "name", "text", F.col("signed").alias("looks"), "confidence")
+    if hints is not None:
+        said = hints.select("document_id", "signed_version", F.col("provenance").alias("hinted"))
+        status = status.join(said, "document_id", "left").withColumn("looks", F.when(F.col("signed_version").isNull(), F.col("looks")).otherwise(F.col("name") == F.col("signed_version"))).drop("signed_version")
+    else:
+        status = status.withColumn("hinted", F.lit(None).cast("string"))
+    status = checkpoint(status)
     best = Window.partitionBy("document_id").orderBy(F.desc("looks"), F.desc("confidence"), F.desc("version"))
     status = status.withColumn("signed", (F.row_number().over(best) == 1) & F.col("looks"))
     ids = status.select("document_id").distinct().withColumn("doc_key", F.xxhash64("document_id"))
-    ordered = checkpoint(versions.order_versions(status.join(ids, "document_id").select(F.col("doc_key").alias("document_id"), "version", "text", "signed")).withColumnRenamed("document_id", "doc_key").join(ids, "doc_key").drop("doc_key"))
-    first = ordered.where("version_ord = 1").select("document_id", "version").join(status.select("document_id", "version", "text"), ["document_id", "version"])
-    paper = classify.provenance(first, aliases).select("document_id", "provenance")
+    keyed = lambda df: df.join(ids, "document_id").drop("document_id").withColumnRenamed("doc_key", "document_id")
+    ordered = versions.order_versions(keyed(status.select("document_id", "version", "name", "text", "signed")), keyed(hints.select("document_id", "version_order", "timestamps")) if hints is not None else None)
+    ordered = checkpoint(ordered.withColumnRenamed("document_id", "doc_key").join(ids, "doc_key").drop("doc_key"))
+    first = ordered.where("version_ord = 1").select("document_id", "version").join(status.select("document_id", "version", "text", "hinted"), ["document_id", "version"])
+    likeness = "similarity" if template else None
+    paper = classify.provenance(versions.template_similarity(first, template) if template else first, aliases, similarity=likeness).select("document_id", F.coalesce("hinted", "provenance").alias("provenance"))
     documents = ordered.groupBy("document_id").agg(F.max("version_ord").alias("versions")).join(status.groupBy("document_id").agg(F.bool_or("signed").alias("signed")), "document_id").join(paper, "document_id")
-    numbered = rows.join(ordered.select("document_id", "version", "version_ord"), ["document_id", "version"]).withColumn("clause", F.concat_ws(":", "document_id", F.col("version").cast("string"), "clause_path"))
-    named = checkpoint(classify.classify(numbered, taxonomy, classifications).withColumnRenamed("basis", "class_basis").withColumnRenamed("confidence", "class_confidence"))
+    numbered = rows.drop("name").join(ordered.select("document_id", "version", "version_ord"), ["document_id", "version"]).withColumn("clause", F.concat_ws(":", "document_id", F.col("version").cast("string"), "clause_path"))
+    named = checkpoint(classify.classify(numbered, taxonomy, classifications, settings.auto, settings.ambiguity).withColumnRenamed("basis", "class_basis").withColumnRenamed("confidence", "class_confidence"))
     aligned = checkpoint(align(named))
     diffs = checkpoint(versions.with_hunks(versions.consecutive_diff(aligned)))
     back = checkpoint(versions.reversals(diffs, aligned))
     last = aligned.groupBy("document_id", "alignment").agg(F.max_by("taxonomy_id", "version_ord").alias("taxonomy_id"), F.max_by("clause_path", "version_ord").alias("clause_path"), F.min("confidence").alias("confidence"))
     net = checkpoint(versions.deviations(versions.net_diff(aligned).join(last, ["document_id", "alignment"]), standards))
-    observations = checkpoint(observe(net, back, documents, verdicts))
+    observations = observe(net, back, documents, verdicts)
+    if settings.known_entities:
+        entities = spark.createDataFrame([(e,) for e in settings.known_entities], "entity string")
+        refs = redact.entity_in_id(observations.select("document_id").distinct(), entities).select("document_id", F.col("entity").alias("counterparty_ref"))
+        observations = observations.join(refs, "document_id", "left")
+    observations = checkpoint(observations)
     wait = net.where("basis = 'pending'").withColumn("key", integrity.payload_key(stage=F.lit("deviation"), hunk=F.concat_ws("\n", "before", "after"), our_standard=F.coalesce("our_standard", F.lit(""))))
     _, pending = integrity.with_verdicts(wait.select("key", F.lit("deviation").alias("kind"), "taxonomy_id", "document_id", "before", "after"), verdicts)
     unread = named.where("class_basis = 'pending'").select(integrity.payload_key(stage=F.lit("classify"), text=F.col("text"), heading=F.col("heading")).alias("key"), F.lit("classify").alias("kind"), F.lit(None).cast("string").alias("taxonomy_id"), "document_id", F.col("heading").alias("before"), F.col("text").alias("after")).dropDuplicates(["key"])
+    heads = rows.where("heading is not null").groupBy("document_id").agg(F.array_join(F.array_sort(F.collect_set("heading")), "\n").alias("heads"))
+    open_ = unscoped.join(heads, "document_id", "left").select(integrity.payload_key(stage=F.lit("scope"), document_id=F.col("document_id"), clause_heads=F.col("heads")).alias("key"), F.lit("scope").alias("kind"), F.lit(None).cast("string").alias("taxonomy_id"), "document_id", F.lit(None).cast("string").alias("before"), F.col("heads").alias("after"))
     empty = spark.createDataFrame([], "document_id string, version string, source_file string, reason string")
-    return Mined(aligned, scope, ordered, diffs, back, versions.round_moves(diffs), observations, pending.unionByName(unread), quarantine if quarantine is not None else empty)
+    return Mined(aligned, scope, ordered, diffs, back, versions.round_moves(diffs), observations, pending.unionByName(unread).unionByName(open_), quarantine if quarantine is not None else empty)
 
 
 def mine_folder(spark: SparkSession, root: str, taxonomy: DataFrame, aliases: list[str], verdicts: DataFrame, **how) -> Mined:
@@ -133,11 +170,11 @@ def mine_folder(spark: SparkSession, root: str, taxonomy: DataFrame, aliases: li
     return mine(spark, parsed, taxonomy, aliases, verdicts, quarantine=folders.quarantined(parsed), **how)
 
 
-def project(mined: Mined, agreement: dict, standards: DataFrame | None = None, **parts) -> dict:
-    """A playbook document of mined observations."""
+def project(mined: Mined, agreement: dict, standards: DataFrame | None = None, min_evidence: int = rollup.MIN_EVIDENCE, **parts) -> dict:
+    """A playbook document of mined observations; a stance needs ``min_evidence`` of them on own paper."""
     forms = rollup.ranked_forms(rollup.counted(mined.observations).withColumn("precedent_count", F.lit(1)).withColumn("material", F.col("magnitude") == "material"), dedup_key(F.col("full_text")))
     documents = mined.order.groupBy("document_id").agg(F.max("version_ord").alias("versions"))
-    return playbook.assemble(agreement, rollup.rollup(mined.observations, standards), documents, forms, **parts)
+    return playbook.assemble(agreement, rollup.rollup(mined.observations, standards, min_evidence), documents, forms, **parts)
 
 
 def moved_by(moves: DataFrame, changes: DataFrame, aliases: list[str]) -> DataFrame:

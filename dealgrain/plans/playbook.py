@@ -1,11 +1,12 @@
 """The playbook document: assembled from small aggregates on the driver, hashed, checked, digested and rendered.
 
-Everything here handles one document of bounded size; what grows with the corpus is aggregated by ``operators`` first.
+Everything here handles one document of bounded size; what grows with the corpus is aggregated by ``operators`` first, and counted before it is listed.
 """
 
 from __future__ import annotations
 
 import copy
+import datetime
 import hashlib
 import json
 import os
@@ -15,9 +16,13 @@ from collections import Counter
 from typing import Any
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..operators.integrity import tree_hash
 
 SECTIONS = tuple("evidence posture floor curation".split())
 BUDGET = 40_000
+LISTED = 100_000
 VERSIONS = tuple("0.3 0.2 0.1".split())
 QUESTIONS = tuple("rounds leverage risk_appetite sacred_clauses flexible_clauses audience".split())
 SOFT = ("may", "flexible", "negotiable", "concede", "waive", "relax", "optional", "can accept", "willing")
@@ -85,34 +90,74 @@ def map_strings(node: Any, f) -> Any:
 
 
 def assemble(agreement: dict, positions: DataFrame, documents: DataFrame, forms: DataFrame | None = None, posture: dict | None = None, floor: dict | None = None, run: dict | None = None, standard: bool = False) -> dict:
-    """A playbook from rolled-up positions (a row a taxonomy), documents with version counts, and ranked forms."""
+    """A playbook from rolled-up positions (a row a taxonomy), documents with version counts, and ranked forms.
+
+    Up to ``LISTED`` documents are listed; of more, counted first, the playbook has the hash. More than ``LISTED`` forms are an error: rank fewer, or keep them as a table.
+    """
     listed = [json.loads(x) for x in positions.orderBy("taxonomy_id").toJSON().collect()]
     shown: dict[str, list] = {}
     if forms is not None:
+        if forms.count() > LISTED:
+            raise ValueError(f"more than {LISTED} forms are no playbook; keep them as a table")
         for x in forms.orderBy("taxonomy_id", "rank").collect():
             shown.setdefault(x["taxonomy_id"], []).append({"text_summary": (x["representative"] or "")[:200], "n": x["n"], "band": x["band"], "material": x["material"]})
     clauses = [{"id": f"clause-{p['taxonomy_id']}", "taxonomy_id": p["taxonomy_id"], "title": re.sub("[_-]+", " ", p["taxonomy_id"]).title(), "observed_positions": shown.get(p["taxonomy_id"], []), "summary": {k: v for k, v in p.items() if k != "taxonomy_id"}} for p in listed]
-    docs = [json.loads(x) for x in documents.orderBy("document_id").toJSON().collect()]
+    docs, stats = [], {"documents": documents.count(), "clauses": len(clauses)}
+    if stats["documents"] <= LISTED:
+        docs = [json.loads(x) for x in documents.orderBy("document_id").toJSON().collect()]
+    else:  # a corpus too large to list is named by its hash; the table itself is the caller's
+        columns = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in sorted(documents.columns)]
+        stats["manifest_hash"] = tree_hash(documents, F.concat_ws("|", *columns)).first()["digest"]
     doc = {
         "format_version": "0.2", "agreement_type": agreement, "evidence": {"clauses": clauses}, "baseline": {"has_canonical_template": standard},
-        "taxonomy": {"entries": [{"status": "active", "id": c["taxonomy_id"], "label": c["title"]} for c in clauses], "source": "custom"}, "posture": posture or {}, "floor": floor or {}, "corpus": {"documents": docs, "stats": {"documents": len(docs), "clauses": len(clauses)}}, "compiler": {"name": "dealgrain", **(run or {})},
+        "taxonomy": {"entries": [{"status": "active", "id": c["taxonomy_id"], "label": c["title"]} for c in clauses], "source": "custom"}, "posture": posture or {}, "floor": floor or {}, "corpus": {"documents": docs, "stats": stats}, "compiler": {"name": "dealgrain", **(run or {})},
     }
     return {**doc, "identity": identity(doc)}
 
 
+def variations(clause: dict, top: int) -> list:
+    """The preferred variations of a clause: entries grouped by their words, the ``top`` most frequent and every material one, with count and band.
+
+    An entry counts as often as the observation that it refers to was made; entries that are plain strings stay strings.
+    """
+    ref = lambda r: tuple((r or {}).get(k) for k in ("document_id", "version", "clause_path"))
+    seen = {ref(p.get("example_ref")): p for p in clause.get("observed_positions") or []}
+    groups: dict[str, dict] = {}
+    for e in within(clause, "summary.acceptable_if", []):
+        plain = isinstance(e, str)
+        key = " ".join(re.findall(r"\w+", (e if plain else f"{e.get('if') or ''} {e.get('to') or ''}").lower()))
+        if not key:
+            continue
+        made = {} if plain else seen.get(ref(e.get("observation_ref")), {})
+        n = int(made.get("precedent_count") or made.get("n") or 1)
+        g = groups.setdefault(key, {"n": 0, "best": 0, "entry": e, "material": False})
+        g["n"] += n
+        g["material"] |= bool(made.get("material"))
+        if n > g["best"]:
+            g["best"], g["entry"] = n, e
+    ranked = sorted(groups.values(), key=lambda g: -g["n"])
+    band = lambda n: "often" if n >= 10 else "sometimes" if n >= 2 else "rare"
+    kept = [g for k, g in enumerate(ranked) if k < top or g["material"]]
+    return [g["entry"] if isinstance(g["entry"], str) else {**{k: v for k, v in g["entry"].items() if k in ("if", "to", "observation_ref") and v is not None}, "n": g["n"], "band": band(g["n"])} for g in kept]
+
+
 def digest(doc: dict, budget: int = BUDGET) -> dict:
-    """Clauses with their leading forms; from five forms down to three until a quarter of its length in characters fits the budget."""
+    """Clauses with their leading forms and variations; from five down to three until a quarter of its length in characters fits the budget.
+
+    ``tokens`` has the estimate and ``over_budget`` tells whether even three are too many.
+    """
     for top in (5, 4, 3):
         clauses = []
         for c in within(doc, "evidence.clauses", []):
             forms = c.get("observed_positions", [])
             ranked = sorted(range(len(forms)), key=lambda i: (-forms[i].get("n", 1), i))
             keep = [i for k, i in enumerate(ranked) if k < top or forms[i].get("material")]
-            clauses.append({"id": c["id"], "stance": within(c, "summary.historical_stance"), "forms": [forms[i] for i in keep]})
+            clauses.append({"id": c["id"], "stance": within(c, "summary.historical_stance"), "preferred_variations": variations(c, top), "forms": [forms[i] for i in keep]})
         out = {"clauses": clauses, "top": top}
-        if tokens(out) <= budget:
+        size = tokens(out)
+        if size <= budget:
             break
-    return out
+    return {**out, "tokens": size, "over_budget": size > budget}
 
 
 def tokens(value: Any) -> int:
@@ -149,6 +194,7 @@ def problems(doc: dict, min_evidence: int = 2) -> list[tuple[str, str, bool]]:
                     found.append(("unknown document", f"{at}.observed_positions[{j}]", True))
                 elif not 1 <= int(ref.get("version", 0)) <= versions[ref["document_id"]]:
                     found.append(("unknown version of a document", f"{at}.observed_positions[{j}]", True))
+    found += provenance_problems(doc) + dynamics_problems(doc)
     for path, text in strings(doc):
         if re.search("[​-‏‪-‮⁠⁦-⁩﻿]", text):
             found.append(("invisible characters", path, True))
@@ -159,6 +205,52 @@ def problems(doc: dict, min_evidence: int = 2) -> list[tuple[str, str, bool]]:
     return found
 
 
+def provenance_problems(doc: dict) -> list[tuple[str, str, bool]]:
+    """Standards that come from a counterparty's paper, and settled stances whose every observation does."""
+    paper = {d.get("document_id"): d.get("provenance") for d in within(doc, "corpus.documents", [])}
+    found = []
+    for i, c in enumerate(within(doc, "evidence.clauses", [])):
+        if paper.get(within(c, "our_standard.source_ref.document_id")) == "counterparty_paper":
+            found.append(("standard from a counterparty's paper", f"evidence.clauses[{i}].our_standard", True))
+        made = c.get("observed_positions") or []
+        if made and all(p.get("provenance") == "counterparty_paper" for p in made) and within(c, "summary.position") in ("standard", "hold_firm", "acceptable_variants_exist"):
+            found.append(("position is settled by counterparties' papers alone", f"evidence.clauses[{i}].summary", True))
+    return found
+
+
+def dynamics_problems(doc: dict) -> list[tuple[str, str, bool]]:
+    """Counts that contradict their stance (not blocking), trails that refer to unknown documents or versions, and dates that are none."""
+    versions = {d.get("document_id"): d.get("versions", 0) for d in within(doc, "corpus.documents", [])}
+    found = []
+    for i, c in enumerate(within(doc, "evidence.clauses", [])):
+        at, s = f"evidence.clauses[{i}]", c.get("summary") or {}
+        held, of, stance = s.get("held"), s.get("of"), s.get("historical_stance")
+        if isinstance(held, int) and isinstance(of, int) and held <= of:
+            if stance == "consistently_held" and held < of:
+                found.append(("held always, but not by its counts", f"{at}.summary", False))
+            if stance == "usually_conceded" and held == of > 0:
+                found.append(("conceded, but not by its counts", f"{at}.summary", False))
+        for j, move in enumerate(c.get("negotiation_trail") or []):
+            ref = move.get("ref") or {}
+            if ref.get("document_id") not in versions:
+                found.append(("unknown document", f"{at}.negotiation_trail[{j}]", True))
+            elif not 1 <= int(ref.get("version") or 0) <= versions[ref["document_id"]]:
+                found.append(("unknown version of a document", f"{at}.negotiation_trail[{j}]", True))
+        for j, p in enumerate(c.get("observed_positions") or []):
+            day = p.get("observed_at")
+            if day is not None and not (isinstance(day, str) and (re.fullmatch("[0-9]{4}-Q[1-4]", day) or _is_date(day))):
+                found.append(("no date", f"{at}.observed_positions[{j}].observed_at", True))
+    return found
+
+
+def _is_date(day: str) -> bool:
+    try:
+        datetime.date.fromisoformat(day)
+    except ValueError:
+        return False
+    return True
+
+
 def conflicts(prompt: str, invariants: list[dict]) -> list[str]:
     """Sentences that soften what an invariant fixes: they share a content word and hold a softening term."""
     out = []
@@ -233,3 +325,26 @@ def curate(commands: str, clauses: list[dict]) -> list[dict]:
         target = index.get(ref.lower())
         out.append({"command": verb or "unknown", "clause_id": target, "position": position or None, "error": None if verb and target else "unknown command" if not verb else "unknown clause"})
     return out
+
+
+def load(path: str, min_evidence: int = 2) -> dict:
+    """A playbook from a file; blocking problems raise."""
+    with open(path, encoding="utf-8") as f:
+        doc = json.load(f)
+    wrong = [f"{at}: {m}" for m, at, blocking in problems(doc, min_evidence) if blocking]
+    if wrong:
+        raise ValueError("; ".join(wrong[:10]))
+    return doc
+
+
+def sign(candidates: list[dict], invariants: list[dict], who: str, when: str) -> list[dict]:
+    """Invariants with accepted candidates as signed ones: by whom and when; those there already stay as they are."""
+    have = {i["statement"] for i in invariants}
+    return invariants + [{"id": f"inv-{c['slug']}", "statement": c["statement"], "source": c["id"], "signed_by": who, "signed_at": when} for c in candidates if c.get("decision") == "accepted" and c["statement"] not in have]
+
+
+def floor_states(candidates: list[dict], invariants: list[dict]) -> list[tuple[dict, str | None]]:
+    """Each candidate as signed, rejected or, with None, pending; a rejection by the interview alone is pending, as a person may still accept it."""
+    held = {i.get("source") for i in invariants} | {i["statement"] for i in invariants}
+    state = lambda c: "signed" if c["id"] in held or c["statement"] in held else "rejected" if c.get("decision") == "rejected" and not c.get("auto_rejected") else None
+    return [(c, state(c)) for c in candidates]

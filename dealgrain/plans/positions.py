@@ -43,22 +43,22 @@ def precedent_rollup(spark, sf_dir):
     return rollup.rollup(observations(spark, sf_dir)).select("taxonomy_id", "n_observations", "n_our_paper", "n_counterparty_paper", "score", "evidence_sufficient", "n_acceptable", "n_fallbacks", "n_rejected")
 
 
-def _by_brand(spark, sf_dir):
+def by_brand(spark, sf_dir):
     """Observations with the document's last digits as taxonomy: many small groups, so every branch of the cascade occurs."""
     return observations(spark, sf_dir).withColumn("taxonomy_id", F.pmod(F.col("document_id"), F.lit(5000)).cast("string"))
 
 
-_SMALL = f"WITH {SQL_OBSERVATIONS.replace('CASE WHEN p_size < 50 THEN p_type END AS taxonomy_id', 'CAST(l_orderkey % 5000 AS VARCHAR) AS taxonomy_id')}, {SQL_COUNTED}, {_FACTS} "
+SQL_SMALL = f"WITH {SQL_OBSERVATIONS.replace('CASE WHEN p_size < 50 THEN p_type END AS taxonomy_id', 'CAST(l_orderkey % 5000 AS VARCHAR) AS taxonomy_id')}, {SQL_COUNTED}, {_FACTS} "
 
 
-@query(_SMALL + "SELECT taxonomy_id, position, historical_stance FROM stanced")
+@query(SQL_SMALL + "SELECT taxonomy_id, position, historical_stance FROM stanced")
 def position_cascade(spark, sf_dir):
-    return rollup.rollup(_by_brand(spark, sf_dir)).select("taxonomy_id", "position", "historical_stance")
+    return rollup.rollup(by_brand(spark, sf_dir)).select("taxonomy_id", "position", "historical_stance")
 
 
-@query(_SMALL + "SELECT taxonomy_id, CASE WHEN n_our_paper > 0 THEN held_ours ELSE held_all END AS held, CASE WHEN n_our_paper > 0 THEN n_our_paper ELSE n_observations END AS \"of\", CASE WHEN n_our_paper > 0 THEN 'our_paper' ELSE 'all' END AS detail_basis FROM stanced")
+@query(SQL_SMALL + "SELECT taxonomy_id, CASE WHEN n_our_paper > 0 THEN held_ours ELSE held_all END AS held, CASE WHEN n_our_paper > 0 THEN n_our_paper ELSE n_observations END AS \"of\", CASE WHEN n_our_paper > 0 THEN 'our_paper' ELSE 'all' END AS detail_basis FROM stanced")
 def stance_detail(spark, sf_dir):
-    return rollup.rollup(_by_brand(spark, sf_dir)).select("taxonomy_id", "held", "of", "detail_basis")
+    return rollup.rollup(by_brand(spark, sf_dir)).select("taxonomy_id", "held", "of", "detail_basis")
 
 
 @query(f"""WITH {SQL_OBSERVATIONS}, {SQL_COUNTED}, p AS (SELECT *, count(*) OVER (PARTITION BY taxonomy_id, {sql_dedup_key("full_text")}) AS precedent_count FROM counted)
@@ -166,7 +166,7 @@ old AS (WITH counted AS (SELECT * FROM all_counted WHERE version <= 4), {_FACTS}
 new AS (WITH counted AS (SELECT * FROM all_counted WHERE version > 1), {_FACTS} SELECT taxonomy_id AS clause_id, historical_stance AS stance FROM stanced)
 SELECT clause_id, position, baseline_stance, CASE WHEN stance <> baseline_stance THEN stance END AS conflict_stance, coalesce(stance <> baseline_stance, false) AS conflict, stance IS NULL AS orphan FROM old LEFT JOIN new USING (clause_id)""")
 def curation_merge(spark, sf_dir):
-    obs = _by_brand(spark, sf_dir)
+    obs = by_brand(spark, sf_dir)
     old = rollup.rollup(obs.where("version <= 4")).select(F.col("taxonomy_id").alias("clause_id"), "position", F.col("historical_stance").alias("baseline_stance"))
     new = rollup.rollup(obs.where("version > 1")).select(F.col("taxonomy_id").alias("clause_id"), F.col("historical_stance").alias("stance"))
     return integrity.merge_pins(old, new)
@@ -197,10 +197,20 @@ def verdict_join_pending(spark, sf_dir):
     return held.withColumn("pending", F.lit(False)).unionByName(pending.select("key", "doc_id", F.lit(None).cast("int").alias("verdict"), F.lit(True).alias("pending")))
 
 
-@query("SELECT o_orderstatus, sha256(string_agg(o_orderkey || '|' || o_custkey || '|' || o_orderpriority, chr(10) ORDER BY o_orderkey || '|' || o_custkey || '|' || o_orderpriority)) AS digest FROM orders GROUP BY 1")
+@query("""WITH h AS (SELECT o_orderstatus, sha256(o_orderkey || '|' || o_custkey || '|' || o_orderpriority) AS h FROM orders),
+leaves AS (SELECT o_orderstatus, substr(h, 1, 3) AS leaf, count(*) AS n, sha256(string_agg(h, chr(10) ORDER BY h)) AS h FROM h GROUP BY ALL)
+SELECT o_orderstatus, CAST(sum(n) AS BIGINT) AS n, sha256(string_agg(leaf || ':' || h, chr(10) ORDER BY leaf || ':' || h)) AS digest FROM leaves GROUP BY 1""")
 def canonical_digest(spark, sf_dir):
     row = F.concat_ws("|", F.col("o_orderkey").cast("string"), F.col("o_custkey").cast("string"), "o_orderpriority")
-    return table(spark, sf_dir, "orders").groupBy("o_orderstatus").agg(F.sha2(F.array_join(F.array_sort(F.collect_list(row)), "\n"), 256).alias("digest"))
+    return integrity.tree_hash(table(spark, sf_dir, "orders"), row, "o_orderstatus")
+
+
+@query("""WITH h AS (SELECT sha256(doc_id || '|' || 1 || '|' || sha256(text)) AS h FROM documents),
+leaves AS (SELECT substr(h, 1, 3) AS leaf, sha256(string_agg(h, chr(10) ORDER BY h)) AS h FROM h GROUP BY ALL)
+SELECT sha256(string_agg(leaf || ':' || h, chr(10) ORDER BY leaf || ':' || h)) AS manifest_hash FROM leaves""")
+def manifest_hash(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), F.lit(1).alias("version"), F.sha2("text", 256).alias("sha256"))
+    return integrity.manifest_hash(docs)
 
 
 @query("SELECT DISTINCT p_brand AS id, 'active' AS status FROM part WHERE p_size <= 2 UNION ALL (SELECT DISTINCT p_brand, 'inactive' FROM part ANTI JOIN (SELECT p_brand FROM part WHERE p_size <= 2) USING (p_brand))")

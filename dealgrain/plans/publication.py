@@ -32,16 +32,28 @@ def contact_hits(spark, sf_dir):
     return redact.hits(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-_PLAIN = tuple(s for s in redact.SPANS if s[0] not in ("token",))
-_SCRUB = f"array_to_string(list_filter(string_split(text, chr(10)), lambda x: NOT regexp_matches(x, '{_q(redact.AUDIT)}')), chr(10))"
-for _, _p in _PLAIN:
-    _SCRUB = f"regexp_replace({_SCRUB}, '{_q(_p)}', '[redacted]', 'g')"
+_STEPS, _X = "", f"array_to_string(list_filter(string_split(text, chr(10)), lambda x: NOT regexp_matches(x, '{_q(redact.AUDIT)}')), chr(10))"
+for _k, (_kind, _p) in enumerate(redact.SPANS):
+    _STEPS += f"s{_k} AS (SELECT doc_id, {_X} AS x FROM {f's{_k - 1}' if _k else 'documents'}), "
+    if _kind == "token":  # without look-ahead: runs that have a digit, a small and a large letter, the longest first
+        _X = "list_reduce([x] || list_sort(list_filter(regexp_extract_all(x, '\\b[A-Za-z0-9_-]{18,}'), lambda t: regexp_matches(t, '[0-9]') AND regexp_matches(t, '[a-z]') AND regexp_matches(t, '[A-Z]')), 'DESC'), lambda acc, t: replace(acc, t, '[redacted]'))"
+    else:
+        _X = f"regexp_replace(x, '{_q(_p)}', '[redacted]', 'g')"
 
 
-@query(f"SELECT doc_id, {_SCRUB} AS text FROM documents")
+@query(f"WITH {_STEPS.rstrip(', ')} SELECT doc_id, {_X} AS text FROM s{len(redact.SPANS) - 1}")
 def scrub_text(spark, sf_dir):
-    """Without the rule for opaque tokens, whose look-ahead DuckDB's patterns lack."""
-    return table(spark, sf_dir, "documents").select("doc_id", redact.scrub(F.col("text"), _PLAIN).alias("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", redact.scrub(F.col("text")).alias("text"))
+
+
+@query(f"SELECT doc_id, kind, hit, count(*) AS n FROM (SELECT doc_id, 'institution' AS kind, unnest(regexp_extract_all(text, '{_q(redact.INSTITUTION)}')) AS hit FROM documents UNION ALL SELECT doc_id, 'address', unnest(regexp_extract_all(text, '{_q(redact.STREET)}')) FROM documents UNION ALL SELECT doc_id, 'address', unnest(regexp_extract_all(text, '{_q(redact.BOX)}')) FROM documents) GROUP BY ALL")
+def institution_scan(spark, sf_dir):
+    return redact.institution_hits(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+@query(f"SELECT doc_id, kind, hit FROM (SELECT doc_id, kind, hit FROM ({_HITS}) GROUP BY ALL) UNION ALL SELECT doc_id, 'known_name', 'heston' FROM documents WHERE contains(' ' || trim(regexp_replace(lower(text), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) || ' ', ' heston ')")
+def publish_blockers(spark, sf_dir):
+    return redact.publishable(table(spark, sf_dir, "documents"), "doc_id", "text", ["heston"])
 
 
 @query(f"WITH f AS (SELECT doc_id, lower(unnest(regexp_extract_all(text, '{_q(redact.NAME)}'))) AS name FROM documents) SELECT name, count(*) AS n, array_to_string(list_sort(list(DISTINCT doc_id))[1:3], ',') AS samples FROM f GROUP BY 1")
@@ -60,13 +72,15 @@ for _n in sorted(_NAMES, key=lambda n: (-len(n), n)):
     _FOLD = f"regexp_replace({_FOLD}, '(?i)\\b{'[ \\t\\r\\n]+'.join(_n.split())}\\b', '{_NAMES[_n]}', 'g')"
 
 
-@query(f"SELECT doc_id, {_FOLD} AS text FROM documents WHERE lang = 'en'")
+@query(f"SELECT doc_id, {_FOLD} AS text FROM documents")
 def pseudonymize_fold(spark, sf_dir):
-    return table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", redact.pseudonymize(F.col("text"), _NAMES).alias("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", redact.pseudonymize(F.col("text"), _NAMES).alias("text"))
 
 
-@query("""WITH s AS (SELECT s_suppkey AS document_id, 'deal-' || lower(replace(s_name, '#', '-')) AS id FROM supplier)
-SELECT s_suppkey AS supplier, CASE WHEN s_suppkey % 3 = 0 THEN s_name END AS entity FROM supplier""")
+@query("""WITH d AS (SELECT s_suppkey AS supplier, regexp_replace(lower('deal-' || lower(replace(s_name, '#', '-'))), '[^a-z0-9]+', '-', 'g') AS id FROM supplier),
+e AS (SELECT s_name AS entity, regexp_replace(regexp_replace(lower(s_name), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM supplier WHERE s_suppkey % 3 = 0),
+m AS (SELECT supplier, count(DISTINCT entity) AS n, min(entity) AS entity FROM d JOIN e ON contains('-' || id || '-', '-' || slug || '-') GROUP BY 1)
+SELECT d.supplier, CASE WHEN n = 1 THEN m.entity END AS entity FROM d LEFT JOIN m USING (supplier)""")
 def counterparty_refs(spark, sf_dir):
     s = table(spark, sf_dir, "supplier")
     docs = s.select(F.concat(F.lit("deal-"), F.lower(F.replace("s_name", F.lit("#"), F.lit("-")))).alias("document_id"), F.col("s_suppkey").alias("supplier"))
@@ -80,7 +94,7 @@ def site_mentions(spark, sf_dir):
 
 _LADDER_ROWS = """VALUES (0, 'IN WITNESS WHEREOF the parties' || chr(10) || 'By: Ann Lee' || chr(10) || 'By: Bob Ray'), (1, 'Signatures' || chr(10) || 'By: Ann Lee'), (2, 'Signatures' || chr(10) || 'By: ____ | By: '),
  (3, 'DocuSign Envelope ID: 01234567-89ab-cdef-0123-456789abcdef'), (4, 'in witness whereof, so'), (5, 'Signatures'), (6, 'executed as a deed' || chr(10) || '/s/ Ann Lee'), (7, 'sent by HelloSign'), (8, '/s/ A /s/ B'), (9, 'nothing here')"""
-_SIGNED = f"""WITH t AS (SELECT doc_id, text FROM documents UNION ALL SELECT -1 - k, t FROM ({_LADDER_ROWS}) x(k, t)),
+SQL_SIGNED = f"""WITH t AS (SELECT doc_id, text FROM documents UNION ALL SELECT -1 - k, t FROM ({_LADDER_ROWS}) x(k, t)),
 f AS (SELECT doc_id, regexp_matches(text, '{classify.CERTIFICATE}') AS cert, regexp_matches(text, '{classify.PLATFORM}') AS plat, regexp_matches(text, '{classify.HEADING}') AS head, regexp_matches(text, '{classify.TRAILER}') AS trail,
   regexp_extract_all(text, '{classify.BY}', 1) AS bys, len(regexp_extract_all(text, '{classify.SLASH}')) AS slash FROM t),
 g AS (SELECT *, len(list_filter(bys, lambda x: regexp_matches(x, '{classify.BLANK}'))) AS blank, len(bys) AS n FROM f),
@@ -89,21 +103,26 @@ b AS (SELECT doc_id, CASE WHEN cert THEN 'docusign_certificate' WHEN NOT (head O
 SELECT doc_id, basis, basis IN ('docusign_certificate', 'dual_signatures', 'electronic_signature', 'single_signature') AS signed FROM b"""
 
 
-@query(_SIGNED)
+MADE = ["IN WITNESS WHEREOF the parties\nBy: Ann Lee\nBy: Bob Ray", "Signatures\nBy: Ann Lee", "Signatures\nBy: ____ | By: ", "DocuSign Envelope ID: 01234567-89ab-cdef-0123-456789abcdef", "in witness whereof, so", "Signatures", "executed as a deed\n/s/ Ann Lee", "sent by HelloSign", "/s/ A /s/ B", "nothing here"]
+
+
+@query(SQL_SIGNED)
 def signed_ladder(spark, sf_dir):
     """The documents, and ten made-up rows, as no document has a signature section."""
-    made = ["IN WITNESS WHEREOF the parties\nBy: Ann Lee\nBy: Bob Ray", "Signatures\nBy: Ann Lee", "Signatures\nBy: ____ | By: ", "DocuSign Envelope ID: 01234567-89ab-cdef-0123-456789abcdef", "in witness whereof, so", "Signatures", "executed as a deed\n/s/ Ann Lee", "sent by HelloSign", "/s/ A /s/ B", "nothing here"]
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text").unionByName(spark.createDataFrame([(-1 - k, t) for k, t in enumerate(made)], "doc_id bigint, text string"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").unionByName(spark.createDataFrame([(-1 - k, t) for k, t in enumerate(MADE)], "doc_id bigint, text string"))
     return classify.signed_status(docs).select("doc_id", "basis", "signed")
 
 
 _OURS = r"(^|[^\p{L}\p{N}_])(erst|thand)($|[^\p{L}\p{N}_])"
 
 
-@query(rf"""WITH d AS (SELECT doc_id, lower(text) AS t FROM documents UNION ALL VALUES (-1, 'made between erst and other co. rest'), (-2, 'made between other co and thand, inc.')),
+SQL_PROVENANCE = rf"""WITH d AS (SELECT doc_id, lower(text) AS t FROM documents UNION ALL VALUES (-1, 'made between erst and other co. rest'), (-2, 'made between other co and thand, inc.')),
 p AS (SELECT *, regexp_extract(substr(t, 1, 1000), 'between\s+(.{{1,200}}?)\s+and\s+(.{{1,200}}?)(?:[.,;(]|$)', 1) AS a, regexp_extract(substr(t, 1, 1000), 'between\s+(.{{1,200}}?)\s+and\s+(.{{1,200}}?)(?:[.,;(]|$)', 2) AS b FROM d)
 SELECT doc_id, CASE WHEN regexp_matches(a, '{_OURS}') THEN 'our_paper' WHEN regexp_matches(b, '{_OURS}') THEN 'counterparty_paper' WHEN regexp_matches(t, '{_OURS}') THEN 'our_paper' ELSE 'counterparty_paper' END AS provenance,
- CASE WHEN regexp_matches(a, '{_OURS}') THEN 'alias_first_party' WHEN regexp_matches(b, '{_OURS}') THEN 'alias_second_party' WHEN regexp_matches(t, '{_OURS}') THEN 'alias_present' ELSE 'alias_absent' END AS basis FROM p""")
+ CASE WHEN regexp_matches(a, '{_OURS}') THEN 'alias_first_party' WHEN regexp_matches(b, '{_OURS}') THEN 'alias_second_party' WHEN regexp_matches(t, '{_OURS}') THEN 'alias_present' ELSE 'alias_absent' END AS basis FROM p"""
+
+
+@query(SQL_PROVENANCE)
 def provenance_ladder(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     docs = docs.unionByName(spark.createDataFrame([(-1, "Made between Erst and Other Co. Rest"), (-2, "Made between Other Co and Thand, Inc.")], "doc_id bigint, text string"))

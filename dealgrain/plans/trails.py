@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions.text_ops import jaccard, normalize, overlap, snippet, sql_jaccard, sql_normalize, sql_words, words
-from ..operators import integrity, similarity, versions
+from ..functions.text_ops import normalize, snippet, sql_jaccard, sql_normalize, sql_words, words
+from ..operators import integrity, segments, similarity, versions
 from ..operators.graph import connected_components
 from .base import SQL_LINES, checkpoint, lines, table
 
@@ -24,13 +24,12 @@ def query(sql: str | None = None):
     return add
 
 
-def _pairs(spark, sf_dir):
-    sets = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), words(F.col("text")).alias("words"))
-    return similarity.similar_pairs(sets, SIMILAR)
+def _sets(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), words(F.col("text")).alias("words"))
 
 
 def _clusters(spark, sf_dir):
-    return connected_components(_pairs(spark, sf_dir).select(F.col("a").alias("u"), F.col("b").alias("v")), checkpoint)
+    return connected_components(similarity.similar_links(_sets(spark, sf_dir), SIMILAR, checkpoint=checkpoint), checkpoint)
 
 
 def versions_of(spark, sf_dir):
@@ -72,8 +71,7 @@ def lines_explode(spark, sf_dir):
 
 @query(f"WITH {SQL_LINES} SELECT doc_id, ord, CAST(coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start, CAST(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY ord) - 1 AS BIGINT) AS \"end\" FROM lines")
 def block_spans(spark, sf_dir):
-    run = F.sum(F.length("line") + 1).over(Window.partitionBy("doc_id").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0))
-    return lines(spark, sf_dir).withColumn("end", (run - 1).cast("bigint")).select("doc_id", "ord", (F.col("end") - F.length("line")).cast("bigint").alias("start"), "end")
+    return segments.block_spans(lines(spark, sf_dir), "doc_id", "ord", "line").select("doc_id", "ord", "start", "end")
 
 
 @query(f"""WITH {SQL_LINES}, spans AS (SELECT doc_id, ord, ord * 10 AS start, ord * 10 + length(line) % 13 AS "end" FROM lines),
@@ -87,30 +85,20 @@ def span_gap_check(spark, sf_dir):
 _CAPS = "regexp_matches(line, '[A-Z]') AND upper(line) = line AND len(string_split(line, ' ')) <= 8 AND NOT regexp_matches(line, '[^ -~]') AND NOT line LIKE '%.'"
 
 
-def _is_caps(c):
-    return c.rlike("[A-Z]") & (F.upper(c) == c) & (F.size(F.split(c, " ")) <= 8) & ~c.rlike("[^ -~]") & ~c.endswith(".")
-
-
 @query(f"WITH {SQL_LINES} SELECT doc_id, ord, line FROM lines WHERE {_CAPS}")
 def allcaps_headings(spark, sf_dir):
-    return lines(spark, sf_dir).where(_is_caps(F.col("line")))
+    return lines(spark, sf_dir).where(segments.capitals(F.col("line")))
 
 
 @query(f"WITH {SQL_LINES} SELECT doc_id, ord, last_value(CASE WHEN length(line) < 60 THEN line END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY ord) AS heading, CAST(count(CASE WHEN length(line) < 60 THEN 1 END) OVER (PARTITION BY doc_id ORDER BY ord) AS BIGINT) AS clause_no FROM lines")
 def heading_owner(spark, sf_dir):
-    w = Window.partitionBy("doc_id").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
     head = F.when(F.length("line") < 60, F.col("line"))
-    return lines(spark, sf_dir).select("doc_id", "ord", F.last(head, ignorenulls=True).over(w).alias("heading"), F.count(head).over(w).alias("clause_no"))
-
-
-_TAG = r"<(h1|p|li|title)[^>]*>([^<]*)"
+    return segments.owned(lines(spark, sf_dir), head, "doc_id").select("doc_id", "ord", "heading", "clause_no")
 
 
-@query(f"SELECT page_id, CAST(ord AS INTEGER) AS ord, tag, text FROM (SELECT page_id, unnest(regexp_extract_all(html, '{_TAG}', 1)) AS tag, unnest(regexp_extract_all(html, '{_TAG}', 2)) AS text, generate_subscripts(regexp_extract_all(html, '{_TAG}', 1), 1) AS ord FROM pages)")
+@query(f"SELECT page_id, CAST(ord AS INTEGER) AS ord, tag, text FROM (SELECT page_id, unnest(regexp_extract_all(html, '{segments.ELEMENT}', 1)) AS tag, unnest(regexp_extract_all(html, '{segments.ELEMENT}', 2)) AS text, generate_subscripts(regexp_extract_all(html, '{segments.ELEMENT}', 1), 1) AS ord FROM pages)")
 def html_clause_tree(spark, sf_dir):
-    tags, text = (F.regexp_extract_all("html", F.lit(_TAG), k) for k in (1, 2))
-    rows = table(spark, sf_dir, "pages").select("page_id", F.posexplode(F.arrays_zip(tags.alias("tag"), text.alias("text"))).alias("pos", "x"))
-    return rows.select("page_id", (F.col("pos") + 1).alias("ord"), "x.tag", "x.text")
+    return segments.html_blocks(table(spark, sf_dir, "pages"), "page_id")
 
 
 @query(f"WITH {SQL_LINES} SELECT doc_id, ord, count(*) OVER (PARTITION BY norm) AS precedent_count FROM (SELECT *, {sql_normalize('line')} AS norm FROM lines) WHERE norm <> ''")
@@ -121,12 +109,14 @@ def exact_line_dedup(spark, sf_dir):
 
 @query(f"SELECT min(doc_id) AS first_doc, count(*) AS n FROM (SELECT doc_id, {sql_normalize('text')} AS norm FROM documents) GROUP BY norm HAVING count(*) > 1")
 def doc_exact_dupes(spark, sf_dir):
-    return table(spark, sf_dir, "documents").groupBy(normalize(F.col("text")).alias("norm")).agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("n")).where("n > 1").select("first_doc", "n")
+    norm = table(spark, sf_dir, "documents").select("doc_id", F.sha2(normalize(F.col("text")), 256).alias("norm"))
+    twice = integrity.duplicates(norm, "norm")
+    return norm.join(twice, "norm").groupBy("norm", "n").agg(F.min("doc_id").alias("first_doc")).select("first_doc", "n")
 
 
 @query(f"WITH RECURSIVE {SQL_TRAILS.split('reach AS')[0].rstrip().rstrip(',')} SELECT a, b, round(similarity, 9) AS similarity FROM pairs")
 def jaccard_pairs(spark, sf_dir):
-    return _pairs(spark, sf_dir).withColumn("similarity", F.round("similarity", 9))
+    return similarity.similar_pairs(_sets(spark, sf_dir), SIMILAR, checkpoint=checkpoint).withColumn("similarity", F.round("similarity", 9))
 
 
 _BENCH = f"b AS (SELECT item_id, {sql_words('text')} AS w FROM benchmark)"
@@ -134,18 +124,15 @@ _BENCH = f"b AS (SELECT item_id, {sql_words('text')} AS w FROM benchmark)"
 
 @query(f"WITH {_BENCH} SELECT x.item_id AS a, y.item_id AS b, round(len(list_intersect(x.w, y.w))::DOUBLE / least(len(x.w), len(y.w)), 9) AS overlap FROM b x JOIN b y ON x.item_id < y.item_id WHERE len(x.w) > 0 AND len(y.w) > 0 AND len(list_intersect(x.w, y.w)) > 0")
 def overlap_coeff_pairs(spark, sf_dir):
-    b = table(spark, sf_dir, "benchmark").select("item_id", words(F.col("text")).alias("w"))
-    each = b.select("item_id", F.explode("w").alias("word"))
-    near = each.join(each.select(F.col("item_id").alias("b"), "word"), "word").where("item_id < b").select(F.col("item_id").alias("a"), "b").distinct()
-    full = near.join(b.select(F.col("item_id").alias("a"), F.col("w").alias("wa")), "a").join(b.select(F.col("item_id").alias("b"), F.col("w").alias("wb")), "b")
-    return full.select("a", "b", F.round(overlap(F.col("wa"), F.col("wb")), 9).alias("overlap"))
+    b = table(spark, sf_dir, "benchmark").select("item_id", words(F.col("text")).alias("words"))
+    return similarity.overlaps(b, "item_id", "words").select("a", "b", F.round("similarity", 9).alias("overlap"))
 
 
-@query(f"""WITH {_BENCH}, d AS (SELECT doc_id, {sql_words('text')} AS w FROM documents WHERE doc_id % 4 = 0),
+@query(f"""WITH {_BENCH}, d AS (SELECT doc_id, {sql_words('text')} AS w FROM documents ),
 s AS (SELECT doc_id, item_id, {sql_jaccard('d.w', 'b.w')} AS similarity FROM d, b WHERE len(list_intersect(d.w, b.w)) > 0), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY similarity DESC, item_id) AS turn FROM s)
 SELECT doc_id, item_id, round(similarity, 9) AS similarity, CASE WHEN similarity >= 0.85 THEN 'auto' WHEN similarity < 0.70 THEN 'unclassified' ELSE 'judge' END AS band FROM r WHERE turn = 1""")
 def standard_match(spark, sf_dir):
-    items = table(spark, sf_dir, "documents").where("doc_id % 4 = 0").select("doc_id", words(F.col("text")).alias("words"))
+    items = table(spark, sf_dir, "documents").select("doc_id", words(F.col("text")).alias("words"))
     refs = table(spark, sf_dir, "benchmark").select("item_id", words(F.col("text")).alias("ref_words"), F.col("item_id").alias("order"))
     best = similarity.best_match(items, refs, "doc_id", "item_id", "order")
     return best.select("doc_id", "item_id", F.round("similarity", 9).alias("similarity"), F.when(F.col("similarity") >= 0.85, "auto").when(F.col("similarity") < 0.70, "unclassified").otherwise("judge").alias("band"))
@@ -227,10 +214,8 @@ def deal_clusters(spark, sf_dir):
 
 @query(f"WITH {_BENCH}, s AS (SELECT x.item_id, y.item_id AS other, 1 - ({sql_jaccard('x.w', 'y.w')}) AS distance FROM b x JOIN b y ON x.item_id <> y.item_id WHERE len(list_intersect(x.w, y.w)) > 0) SELECT item_id, round(min(distance), 9) AS distance FROM s GROUP BY 1")
 def nearest_doc(spark, sf_dir):
-    b = table(spark, sf_dir, "benchmark").select("item_id", words(F.col("text")).alias("w"))
-    each = b.select("item_id", "w", F.explode("w").alias("word"))
-    pairs = each.join(each.select(F.col("item_id").alias("other"), F.col("w").alias("w2"), "word"), "word").where("item_id <> other").dropDuplicates(["item_id", "other"])
-    return pairs.groupBy("item_id").agg(F.round(F.min(1 - jaccard(F.col("w"), F.col("w2"))), 9).alias("distance"))
+    b = table(spark, sf_dir, "benchmark").select("item_id", words(F.col("text")).alias("words"))
+    return similarity.nearest(b, "item_id", "words", checkpoint=checkpoint).select("item_id", F.round(1 - F.col("similarity"), 9).alias("distance"))
 
 
 @query()
@@ -243,14 +228,12 @@ def chain_order(spark, sf_dir):
     return versions.order_versions(versions_of(spark, sf_dir).select("document_id", "version", "text", "signed"))
 
 
-@query("""WITH g AS (SELECT user_id, date_diff('microsecond', lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id), ts) AS gap FROM events), s AS (SELECT user_id, list_sort(list(gap)) AS gaps FROM g WHERE gap IS NOT NULL GROUP BY 1)
-SELECT user_id, gaps[-1] AS largest, gaps[len(gaps) // 2 + 1] AS upper_median, CASE WHEN len(gaps) > 1 AND gaps[-1] >= 2 * gaps[len(gaps) // 2 + 1] THEN 'fork' ELSE 'linear' END AS shape FROM s""")
+@query("""WITH g AS (SELECT user_id, date_diff('microsecond', lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id), ts) % 1000000 / 2400000.0::DOUBLE AS step FROM events), s AS (SELECT user_id, list_sort(list(step)) AS s FROM g WHERE step IS NOT NULL GROUP BY 1)
+SELECT user_id, s[-1] AS largest, s[len(s) // 2 + 1] AS upper_median, CASE WHEN s[-1] > 0.4 THEN 'gap' WHEN len(s) > 1 AND s[len(s) // 2 + 1] > 0 AND s[-1] >= 2 * s[len(s) // 2 + 1] AND s[-1] <> s[len(s) // 2 + 1] THEN 'fork' ELSE 'linear' END AS shape FROM s""")
 def chain_shape(spark, sf_dir):
+    g = table(spark, sf_dir, "events").select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts"))
     gap = F.unix_micros("ts") - F.lag(F.unix_micros("ts")).over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
-    g = table(spark, sf_dir, "events").select("user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), "event_id", F.col("ts").cast("timestamp").alias("ts"))
-    s = g.select("user_id", gap.alias("gap")).where("gap is not null").groupBy("user_id").agg(F.array_sort(F.collect_list("gap")).alias("gaps"))
-    median = F.element_at("gaps", (F.floor(F.size("gaps") / 2) + 1).cast("int"))
-    return s.select("user_id", F.element_at("gaps", -1).alias("largest"), median.alias("upper_median"), F.when((F.size("gaps") > 1) & (F.element_at("gaps", -1) >= 2 * median), "fork").otherwise("linear").alias("shape"))
+    return versions.shapes(g.select("user_id", (gap % 1000000 / F.lit(2400000.0)).alias("step")), "user_id")
 
 
 @query("SELECT o_custkey AS document_id, o_orderkey AS version FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY CASE WHEN o_orderstatus = 'F' THEN 0 ELSE 1 END, CASE WHEN o_orderstatus = 'F' THEN -o_totalprice END, o_orderkey DESC) AS turn FROM orders) WHERE turn = 1")

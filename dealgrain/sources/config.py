@@ -74,6 +74,18 @@ def hints(spark: SparkSession, raw: dict[str, dict]) -> DataFrame:
     return spark.createDataFrame(rows, "document_id string, version_order array<string>, timestamps map<string,string>, signed_version string, provenance string")
 
 
+def taxonomy_yaml(entries: DataFrame, name: str, most: int = 10_000) -> str:
+    """A taxonomy's entries (id, label, status, ...) as YAML, in order of id; strings are quoted as in JSON, which YAML reads."""
+    rows = entries.orderBy("id").limit(most + 1).collect()
+    if len(rows) > most:
+        raise ConfigError(f"more than {most} entries are no taxonomy")
+    out = [f"taxonomy: {json.dumps(name, ensure_ascii=False)}", "entries:"]
+    for r in rows:
+        for k, (field, value) in enumerate(r.asDict().items()):
+            out.append(f"{'  - ' if k == 0 else '    '}{field}: {json.dumps(value, ensure_ascii=False)}")
+    return "\n".join(out) + "\n"
+
+
 def safe_component(name: str) -> bool:
     """A name that stays in its folder."""
     return bool(name) and name not in (".", "..") and not re.search(r"[/\\\x00]", name)

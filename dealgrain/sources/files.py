@@ -57,6 +57,33 @@ def parsed(files: DataFrame) -> DataFrame:
     return files.select("document_id", "version_ord", "file_name", "kind", "content").mapInPandas(_parse, CLAUSES)
 
 
+def cached(files: DataFrame, table: str, fingerprint: str) -> DataFrame:
+    """``parsed`` of the files, each content parsed once: rows are kept in ``table`` by a key of the content and the parser's fingerprint, failures too.
+
+    What is new is appended; equal files share their rows.
+    """
+    spark = files.sparkSession
+    keyed = files.select("document_id", "version_ord", "file_name", "kind", "content", F.sha2(F.concat(F.sha2("content", 256), F.lower("kind"), F.lit(fingerprint)), 256).alias("content_key"))
+    there = spark._jvm.org.apache.hadoop.fs.Path(table)
+    held = spark.read.parquet(table) if there.getFileSystem(spark._jsc.hadoopConfiguration()).exists(there) else None
+    new = keyed.dropDuplicates(["content_key"])
+    if held is not None:
+        new = new.join(held.select("content_key").distinct(), "content_key", "left_anti")
+    asked = new.select(F.col("content_key").alias("document_id"), F.lit(0).alias("version_ord"), F.lit("").alias("file_name"), "kind", "content")
+    rows = parsed(asked).withColumnRenamed("document_id", "content_key").drop("version", "source_file")
+    rows.write.mode("append").parquet(table)
+    every = spark.read.schema(rows.schema).parquet(table).dropDuplicates(["content_key", "ord"])
+    found = keyed.select("document_id", F.col("version_ord").cast("string").alias("version"), F.col("file_name").alias("source_file"), "content_key").join(every, "content_key")
+    return found.select(*[c.split(" ")[0] for c in CLAUSES.split(", ")])
+
+
+def layout(listing: DataFrame) -> str:
+    """flat, clm_nested or manifest: what a listing (path, of the folders and files below a root) looks like."""
+    path = F.lower("path")
+    r = listing.agg(F.coalesce(F.bool_or(path.endswith("manifest.jsonl")), F.lit(False)), F.coalesce(F.bool_or(path.contains("/versions/") | F.element_at(F.split("path", "/"), -1).startswith("EXECUTED_")), F.lit(False))).first()
+    return "manifest" if r[0] else "clm_nested" if r[1] else "flat"
+
+
 def quarantined(clauses: DataFrame) -> DataFrame:
     return clauses.where("ord = -1").select("document_id", "version", "source_file", F.col("text").alias("reason"))
 

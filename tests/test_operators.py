@@ -275,8 +275,13 @@ def test_verdict_log(spark, tmp_path):
     run()
     put(2, ("a", "scope", "out", 3), ("c", "scope", "in", 4), ("d", "other", "in", 5))
     run()
-    got = {(r.key, r.value) for r in spark.read.parquet(str(tmp_path / "t/v1")).collect()}
+    got = {(r.key, r.value) for r in verdict_log.current(spark, str(tmp_path / "t")).collect()}
     assert got == {("a", "out"), ("c", "in")}
+    for n in range(3, 6):
+        put(n, ("a", "scope", "in", 10 + n))
+        run()
+    assert {(r.key, r.value, r.seq) for r in verdict_log.current(spark, str(tmp_path / "t")).collect()} == {("a", "in", 15), ("c", "in", 4)}
+    assert len(list((tmp_path / "t/manifest").iterdir())) == 2 and len(list((tmp_path / "t/parts").iterdir())) <= 3
     assert {r.problem for r in spark.read.parquet(str(tmp_path / "t/rejects/v1")).collect()} == {"unknown_kind"}
 
 
