@@ -187,7 +187,7 @@ def _chain(names: list, signed, dist: Callable, score: Callable | None = None) -
                 if score and score(c) > score(best):
                     best, by_hints = c, True
         return best, "hints" if by_hints else "exhaustive", sorted(last)
-    far = lambda n: dist(n, signed) if signed is not None else sum(dist(n, m) for m in free) / max(1, len(free) - 1)
+    far = lambda n: dist(n, signed) if signed is not None else sum(dist(n, m) for m in free if m != n) / max(1, len(free) - 1)
     at = min(free, key=lambda n: (-round(far(n), 9), n))
     out, rest = [at], set(free) - {at}
     while rest:

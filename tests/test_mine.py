@@ -68,3 +68,36 @@ def test_side_files(spark, tmp_path):
     path = tmp_path / "aliases.json"
     config.write_private({"Acme": "Counterparty-1"}, str(path))
     assert os.stat(path).st_mode & 0o777 == 0o600 and config.load(str(path)) == {"Acme": "Counterparty-1"}
+
+
+def test_scopes_hints_and_settings(spark):
+    tax = config.taxonomy(spark, [{"id": "law", "label": "Governing Law"}, {"id": "cap", "label": "Liability Cap"}, {"id": "pay", "label": "Payment Terms"}])
+    none = spark.createDataFrame([], "key string, deviation string, direction string, magnitude string")
+    scopes = spark.createDataFrame([("deal-b", False, "a purchase order")], "document_id string, in_scope boolean, scope_rationale string")
+    hints = config.hints(spark, {"deal-a": {"order": ["2", "1", "3"], "signed_version": "2", "provenance": "counterparty_paper"}})
+    settings = config.config({"agreement_type": {"id": "msa"}, "classification": {"ambiguity_threshold": 0.2, "auto_classify_threshold": 0.3}, "provenance": {"known_entities": ["Deal A", "Globex"]}})
+    renamed = corpus(spark).withColumn("heading", F.when(F.col("heading") == "Governing Law", "Governing Law and Venue").otherwise(F.col("heading")))
+    got = mine.mine(spark, renamed, tax, ["Acme"], none, scopes=scopes, hints=hints, settings=settings)
+    assert {(r.document_id, r.in_scope, r.basis, r.scope_rationale) for r in got.scope.collect()} == {("deal-a", True, "judge_failed", None), ("deal-b", False, "judge", "a purchase order"), ("tiny", False, "too_short", None)}
+    assert {r.document_id for r in got.pending.where("kind = 'scope'").collect()} == {"deal-a"} and {r.document_id for r in got.order.collect()} == {"deal-a"}
+    order = {r.version: r for r in got.order.collect()}
+    assert order[2].version_ord == 3 and {r.basis for r in order.values()} <= {"exhaustive", "hints"}
+    obs = got.observations.collect()
+    assert {r.provenance for r in obs} == {"counterparty_paper"} and {r.counterparty_ref for r in obs} == {"Deal A"}
+    assert any(r.taxonomy_id == "law" for r in obs)  # by a heading that is alike at 0.3 and not at 0.85
+    strict = mine.mine(spark, renamed, tax, ["Acme"], none)
+    assert not any(r.taxonomy_id == "law" for r in strict.observations.collect())
+    ours = mine.mine(spark, corpus(spark), tax, ["Nobody"], none, template="\n".join(["between Acme and Globex. Draft terms", "Governing Law", LAW, "Liability Cap", CAP, "Payment Terms", PAY]))
+    assert {r.provenance for r in ours.observations.collect()} == {"our_paper"}
+    doc = mine.project(mine.mine(spark, corpus(spark), tax, ["Acme"], none), {"id": "msa", "name": "Services"}, min_evidence=5)
+    assert {c["summary"]["evidence_sufficient"] for c in doc["evidence"]["clauses"]} == {False}
+
+
+def test_reversed_twice_counts_once(spark):
+    net = spark.createDataFrame([], "document_id string, alignment bigint, taxonomy_id string, clause_path string, before string, after string, kind string, deviation string, basis string, confidence double, our_standard string")
+    back = spark.createDataFrame([("d", 1, 2, "second"), ("d", 1, 1, "first"), ("d", 2, 1, "other")], "document_id string, alignment bigint, round int, proposed_text string")
+    docs = spark.createDataFrame([("d", "our_paper", True, 4)], "document_id string, provenance string, signed boolean, versions int")
+    none = spark.createDataFrame([], "key string, deviation string, direction string, magnitude string")
+    for n in (1, 3):
+        got = mine.observe(net, back.repartition(n), docs, none).collect()
+        assert {(r.alignment, r.full_text, r.outcome) for r in got} == {(1, "first", "proposed_then_reversed"), (2, "other", "proposed_then_reversed")}

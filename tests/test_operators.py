@@ -295,3 +295,236 @@ def test_components(spark):
     df = spark.createDataFrame(edges, "u bigint, v bigint")
     one_, many = (sorted(map(tuple, connected_components(df, checkpoint, small).collect())) for small in (10**6, 0))
     assert {x for x in one_ if x[0] != x[1]} == {x for x in many if x[0] != x[1]}
+
+
+def test_similar_sets_are_folded(spark):
+    import random
+
+    rng = random.Random(3)
+    rows = [(i, [f"w{x}" for x in sorted(rng.sample(range(25), rng.randrange(4, 12)))]) for i in range(150)]
+    rows += [(1000 + i, list(reversed(rows[i % 3][1]))) for i in range(20)] + [(2000, [])]
+    df = spark.createDataFrame(rows, "key int, words array<string>")
+    held = {i: set(w) for i, w in rows if w}
+    for bound in (0.3, 0.6, 0.8, 1.0):
+        want = {(a, b): len(held[a] & held[b]) / len(held[a] | held[b]) for a, b in itertools.combinations(sorted(held), 2)}
+        want = {k: v for k, v in want.items() if v >= bound}
+        got = {(r.a, r.b): r.similarity for r in similarity.similar_pairs(df, bound, checkpoint=checkpoint).collect()}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in got)
+        from dealgrain.operators.graph import connected_components
+
+        roots = {tuple(r) for r in connected_components(similarity.similar_links(df, bound, checkpoint=checkpoint), checkpoint).collect()}
+        assert roots == {tuple(r) for r in connected_components(spark.createDataFrame(sorted(want) or [(0, 0)], "u bigint, v bigint"), checkpoint).collect()}
+        over = {(a, b): len(held[a] & held[b]) / min(len(held[a]), len(held[b])) for a, b in itertools.combinations(sorted(held), 2)}
+        got = {(r.a, r.b): r.similarity for r in similarity.overlapping_pairs(df, bound, "key", "words", checkpoint).collect()}
+        assert got == {k: v for k, v in over.items() if v >= bound}
+    best = {a: max((len(held[a] & held[b]) / len(held[a] | held[b]) for b in held if b != a and held[a] & held[b]), default=None) for a in held}
+    got = {r.key: r.similarity for r in similarity.nearest(df, "key", "words", checkpoint=checkpoint).collect()}
+    assert got == {k: v for k, v in best.items() if v is not None}
+
+
+def test_copies_make_ties_and_not_pairs(spark):
+    df = spark.range(10_000).select(F.col("id").alias("key"), F.array(*[F.lit(f"w{i}") for i in range(9)]).alias("words"))
+    assert similarity.similar_links(df, 0.8, checkpoint=checkpoint).count() == 9_999
+
+
+def test_hints_decide_between_equal_orders(spark):
+    texts = {1: "a\nb\nc", 2: "a\nb\nd", 3: "a\nb\ne", 4: "a\nb\nsigned"}
+    rows = [(7, v, f"v{v}", t, v == 4) for v, t in texts.items()] + [(8, 1, "v1", "alone", False)]
+    v = spark.createDataFrame(rows, "document_id bigint, version bigint, name string, text string, signed boolean")
+
+    def run(df, hints=None):
+        got = versions.order_versions(df, hints).collect()
+        return [r.version for r in sorted(got, key=lambda r: r.version_ord) if r.document_id == 7], {r.document_id: r.basis for r in got}
+
+    assert run(v) == ([1, 2, 3, 4], {7: "exhaustive", 8: "single"})
+    hint = lambda order, times: spark.createDataFrame([(7, order, times)], "document_id bigint, version_order array<string>, timestamps map<string,string>")
+    assert run(v, hint(["v3", "v1", "v2", "v4"], {})) == ([3, 1, 2, 4], {7: "hints", 8: "single"})
+    assert run(v, hint([], {"v2": "2020", "v1": "2021", "v3": "2022"})) == ([2, 1, 3, 4], {7: "hints", 8: "single"})
+    assert run(v, hint(["v1", "v2"], {}))[1][7] == "exhaustive"  # the first of the cheapest agrees already
+    dated = v.withColumn("timestamp", F.when(F.col("version") == 3, "2019").when(F.col("version") == 1, "2020"))
+    assert run(dated)[0].index(3) < run(dated)[0].index(1)
+    assert run(dated, hint([], {"v3": "2021"}))[0].index(1) < run(dated, hint([], {"v3": "2021"}))[0].index(3)  # an explicit hint goes before a version's own date
+    far = v.where("document_id = 7").withColumn("text", F.when(F.col("version") == 2, "x\ny\nz").otherwise(F.col("text")))
+    assert run(far, hint(["v3", "v2", "v1"], {}))[0][0] == 2  # content is stronger than hints
+    many = spark.createDataFrame([(7, i, f"v{i}", "\n".join(map(str, range(i, i + 12))), False) for i in range(11)], v.schema)
+    got, basis = run(many)
+    assert basis == {7: "greedy"} and got in (list(range(11)), list(range(10, -1, -1)))
+
+
+def test_terminals_and_representatives(spark):
+    line = lambda a, b: "\n".join(f"l{i}" for i in range(a, b))
+    rows = [(1, 1, "v1", line(0, 6), False), (1, 2, "v2", line(0, 9), False), (2, 1, "v1", "x", False), (3, 1, "a", line(0, 6), False), (3, 2, "b", line(2, 8), False), (3, 3, "c", line(4, 10), True)]
+    v = spark.createDataFrame(rows, "document_id bigint, version bigint, name string, text string, signed boolean")
+    ordered = versions.order_versions(v)
+    held = v.join(ordered.select("document_id", "version", "terminals"), ["document_id", "version"]).withColumn("confidence", F.lit(0.9)).withColumn("natural_key", F.col("name"))
+    assert {(r.document_id, r.version, r.basis) for r in versions.representative(held).collect()} == {(1, 2, "filename_tiebreak"), (2, 1, "single"), (3, 3, "signed")}
+    assert {r.document_id: r.terminals for r in ordered.collect()}[1] == [1, 2]
+    one_end = held.withColumn("terminals", F.when(F.col("document_id") == 1, F.array(F.lit(1).cast("bigint"))).otherwise(F.col("terminals")))
+    assert ("chain_terminal", 1) in {(r.basis, r.version) for r in versions.representative(one_end).collect()}
+
+
+def test_template_similarity(spark):
+    df = spark.createDataFrame([(1, "a\n b \nc"), (2, "x\ny"), (3, None)], "k int, text string")
+    got = {r.k: round(r.similarity, 6) for r in versions.template_similarity(df, "a\nb\nc\nd").collect()}
+    assert got == {1: round(6 / 7, 6), 2: 0.0, 3: 0.0}
+
+
+def test_shapes_are_those_of_the_function(spark):
+    import random
+
+    rng = random.Random(4)
+    steps = {k: [rng.choice([0.0, 0.1, 0.15, 0.2, 0.3, 0.39, 0.41, 0.6]) for _ in range(rng.randrange(1, 6))] for k in range(120)}
+    df = spark.createDataFrame([(k, s) for k, v in steps.items() for s in v], "key int, step double")
+    assert {r.key: r["shape"] for r in versions.shapes(df, "key").collect()} == {k: versions.chain_shape(v) for k, v in steps.items()}
+
+
+def test_names_in_one_pass(spark):
+    import random
+
+    rng = random.Random(6)
+    parts = ["acme", "globex", "corp", "holdings", "inc", "of", "ohio", "north"]
+    names = redact.aliases([" ".join(rng.sample(parts, rng.randrange(1, 4))) for _ in range(60)])
+    texts = [" ".join(rng.choice([*parts, "ACME", "said", "é", "x-corp", "Inc."]) + rng.choice(["", "", " ", "\n"]) for _ in range(30)) for _ in range(80)] + [None, ""]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert len(names) > 32
+    fold, once = (df.select("t", redact.pseudonymize(F.col("t"), names, few).alias("x")).collect() for few in (1000, 0))
+    assert [r.x for r in fold] == [r.x for r in once]
+    keyed = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    import re
+
+    want = set()
+    for k, t in enumerate(texts):
+        plain = f" {re.sub(r'[^0-9a-zà-ÿ]+', ' ', (t or '').lower()).strip()} "
+        want |= {(k, n) for n in names if f" {n} " in plain or (len(n.replace(" ", "")) >= 8 and n.replace(" ", "") in plain.replace(" ", ""))}
+    assert {(r.k, r.name) for r in redact.known_names(keyed, "k", "t", list(names)).collect()} == want
+
+
+def test_paths_and_fuzzy_names(spark):
+    import re
+
+    assert one(spark, "see /home/ann/deals/msa v2.docx or C:\\deals\\a.pdf", redact.strip_paths) == "see msa v2.docx or a.pdf" or one(spark, "see /home/ann/msa.docx", redact.strip_paths) == "see msa.docx"
+    assert re.search(redact.fuzzy_name("Acme Corp, Inc."), "by ACME-Corp today") and re.search(redact.fuzzy_name("Acme Corp, Inc."), "acme") and not re.search(redact.fuzzy_name("Acme Corp"), "acmes")
+
+
+def test_export_rounds(spark):
+    s = spark.createDataFrame([("a", "mail ann@corp.example"), ("b", "Globex pays"), ("c", "fine")], "path string, text string")
+    none = spark.createDataFrame([], "key_hash string, rewritten string")
+    out, left = redact.export_round(s, "path", "text", none, ["Globex"])
+    assert {(r.path, tuple(r.kinds)) for r in left.collect()} == {("a", ("email",)), ("b", ("known_name",))}
+    told = left.select("key_hash", F.lit("rewritten").alias("rewritten"))
+    out, left = redact.export_round(s, "path", "text", told, ["Globex"])
+    assert left.isEmpty() and {r.path: r.text for r in out.collect()} == {"a": "rewritten", "b": "rewritten", "c": "fine"}
+
+
+def test_verdicts_that_wait(spark):
+    from dealgrain.operators import judges
+
+    rows = spark.createDataFrame([(1, "our_paper", "alias_first_party", 0.85, "p1", ""), (2, "our_paper", "alias_present", 0.65, "p2", ""), (3, "our_paper", "alias_present", 0.65, "p2", ""), (4, "our_paper", "alias_absent", 0.65, "p4", "")], "document_id int, provenance string, basis string, confidence double, preamble string, letterhead string")
+    key = integrity.payload_key(stage=F.lit("provenance"), preamble=F.lit("p2"), letterhead=F.lit(""), agreement_type=F.lit("x"))
+    told = spark.range(1).select(key.alias("key"), F.lit("counterparty_paper").alias("provenance"), F.lit(None).cast("double").alias("confidence"))
+    out, wait = judges.provenance(rows, told, "x")
+    assert {(r.document_id, r.provenance, r.basis, r.confidence) for r in out.collect()} == {(1, "our_paper", "alias_first_party", 0.85), (2, "counterparty_paper", "judge", 0.65), (3, "counterparty_paper", "judge", 0.65), (4, "our_paper", "alias_absent", 0.65)}
+    assert wait.count() == 1
+
+
+def test_cycles_of_any_length(spark):
+    from dealgrain.operators import segments
+
+    up = {1: None, 2: 1, 3: 2, 10: 12, 11: 10, 12: 11, 13: 12, 20: 20, 30: 99, **{100 + i: 100 + i - 1 for i in range(1, 40)}, 100: 1}
+    nodes = spark.createDataFrame([(5, k, v, k, k) for k, v in up.items()], "document_id int, node_id int, parent_id int, start_block int, end_block int")
+    blocks = nodes.select("document_id", F.col("node_id").alias("block_id"), F.col("node_id").alias("ord"))
+    got = {(r.node_id, r.problem) for r in segments.grounding_problems(nodes, blocks, checkpoint).collect()}
+    assert got == {(10, "cycle"), (11, "cycle"), (12, "cycle"), (13, "cycle"), (20, "cycle"), (30, "unknown_parent")}
+
+
+def test_tree_hash(spark):
+    import hashlib
+
+    lines = [f"line {i % 300}" for i in range(1000)]
+    df = spark.createDataFrame([(x,) for x in lines], "x string")
+    h = sorted(hashlib.sha256(x.encode()).hexdigest() for x in lines)
+    leaves = {}
+    for x in h:
+        leaves.setdefault(x[:2], []).append(x)
+    root = hashlib.sha256("\n".join(sorted(f"{k}:{hashlib.sha256(chr(10).join(v).encode()).hexdigest()}" for k, v in leaves.items())).encode()).hexdigest()
+    for n in (1, 7):
+        assert [tuple(r) for r in integrity.tree_hash(df.repartition(n), F.col("x"), digits=2).collect()] == [(1000, root)]
+
+
+def test_digest_and_checks_of_playbooks():
+    forms = [{"n": 1, "text_summary": "x" * 400, "material": True} for _ in range(50)]
+    doc = {"evidence": {"clauses": [{"id": "a", "observed_positions": forms}]}}
+    assert playbook.digest(doc, 10)["over_budget"] and playbook.digest(doc, 10)["top"] == 3 and not playbook.digest({"evidence": {"clauses": []}})["over_budget"]
+    ref = {"document_id": "d", "version": 1, "clause_path": "1"}
+    clause = {"observed_positions": [{"example_ref": ref, "precedent_count": 12}], "summary": {"acceptable_if": [{"if": "A", "to": "b"}, {"if": "a", "to": "B!", "observation_ref": ref}, "plain words", {"if": "", "to": ""}, "third", "fourth"]}}
+    got = playbook.variations(clause, 2)
+    assert got == [{"if": "a", "to": "B!", "observation_ref": ref, "n": 13, "band": "often"}, "plain words"]
+    bad = {
+        "corpus": {"documents": [{"document_id": "d", "versions": 2, "provenance": "counterparty_paper"}]},
+        "evidence": {"clauses": [
+            {"our_standard": {"source_ref": {"document_id": "d"}}, "observed_positions": [{"provenance": "counterparty_paper", "observed_at": "2024-Q2"}, {"provenance": "counterparty_paper", "observed_at": "May"}], "summary": {"position": "standard", "held": 1, "of": 2, "historical_stance": "consistently_held"},
+             "negotiation_trail": [{"ref": {"document_id": "d", "version": 3}}, {"ref": {"document_id": "e", "version": 1}}, {"ref": {"document_id": "d", "version": 2}}]},
+            {"summary": {"held": 2, "of": 2, "historical_stance": "usually_conceded"}},
+        ]},
+    }
+    assert [m for m, _, _ in playbook.provenance_problems(bad)] == ["standard from a counterparty's paper", "position is settled by counterparties' papers alone"]
+    assert [(m, b) for m, _, b in playbook.dynamics_problems(bad)] == [("held always, but not by its counts", False), ("unknown version of a document", True), ("unknown document", True), ("no date", True), ("conceded, but not by its counts", False)]
+
+
+def test_floor_states():
+    cand = [{"id": "c1", "slug": "ip", "statement": "IP stays ours", "decision": "accepted"}, {"id": "c2", "slug": "cap", "statement": "Cap", "decision": "rejected", "auto_rejected": True}, {"id": "c3", "slug": "x", "statement": "X", "decision": "rejected"}]
+    inv = playbook.sign(cand, [], "Ann", "2024-05-01")
+    assert [(i["id"], i["signed_by"]) for i in inv] == [("inv-ip", "Ann")] and playbook.sign(cand, inv, "Bob", "2025-01-01") == inv
+    assert [s for _, s in playbook.floor_states(cand, inv)] == ["signed", None, "rejected"]
+
+
+def test_large_corpora_are_named_by_a_hash(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(playbook, "LISTED", 5)
+    obs = observe(spark, *[("cap", "neutral", "our_paper", "signed", "none", "judge")] * 3)
+    docs = spark.createDataFrame([(f"d{i}", 2) for i in range(9)], "document_id string, versions int")
+    a, b = (playbook.assemble({"id": "x", "name": "T"}, rollup.rollup(obs), d) for d in (docs, docs.repartition(3)))
+    assert a["corpus"]["documents"] == [] and a["corpus"]["stats"]["documents"] == 9 and a["identity"] == b["identity"] and len(a["corpus"]["stats"]["manifest_hash"]) == 64
+    playbook.write_atomic(a | {"format_version": "0.2"}, str(tmp_path / "p.json"))
+    assert playbook.load(str(tmp_path / "p.json"))["corpus"]["stats"]["clauses"] == 1
+
+
+def test_reports_say_what_is_left_out(spark):
+    from dealgrain.plans import reports
+
+    text_ = reports.markdown("T", {"Rows": spark.range(30).select((-F.col("id")).alias("x")), "None": spark.range(0)}, most=3)
+    assert "| -29 |" in text_ and "27 more rows are left out." in text_ and text_.rstrip().endswith("none")
+
+
+def test_parsed_once(spark, tmp_path):
+    for name in ("a/v1.rtf", "b/v1.rtf", "b/v2.rtf"):
+        (tmp_path / "in" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "in" / name).write_bytes(b"junk" if name == "b/v2.rtf" else RTF.encode())
+    found = files.scan(spark, str(tmp_path / "in"))
+    table = str(tmp_path / "cache")
+    plain = sorted(map(repr, files.parsed(found).collect()))
+    for _ in range(2):
+        assert sorted(map(repr, files.cached(found, table, "1").collect())) == plain
+    assert spark.read.parquet(table).select("content_key").distinct().count() == 2
+    listing = lambda *p: spark.createDataFrame([(x,) for x in p], "path string")
+    assert [files.layout(listing(*p)) for p in (["a/v1.rtf"], ["a/Versions/v1.rtf"], ["a/EXECUTED_x.pdf"], ["manifest.jsonl", "a/v1.rtf"])] == ["flat", "clm_nested", "clm_nested", "manifest"]
+    df = spark.createDataFrame([("x", 1), ("y", None)], "k string, n int")
+    files.write_jsonl(df, str(tmp_path / "rows"))
+    assert sorted(map(tuple, files.read_jsonl(spark, str(tmp_path / "rows"), "k string, n int").collect())) == [("x", 1), ("y", None)]
+
+
+def test_taxonomy_yaml(spark):
+    from dealgrain.sources import config
+
+    out = config.taxonomy_yaml(spark.createDataFrame([("b", 'Say "x"', True), ("a", None, False)], "id string, label string, structural boolean"), "msa")
+    assert out == 'taxonomy: "msa"\nentries:\n  - id: "a"\n    label: null\n    structural: false\n  - id: "b"\n    label: "Say \\"x\\""\n    structural: true\n'
+
+
+def test_counts_by_window(spark, tmp_path):
+    import datetime
+
+    at = lambda m: datetime.datetime(2024, 1, 1, 0, m)
+    spark.createDataFrame([("k1", "scope", at(1)), ("k2", "scope", at(2)), ("k3", "floor", at(7))], "key string, kind string, at timestamp").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("key string, kind string, at timestamp").parquet(str(tmp_path / "in"))
+    q = verdict_log.counts_by_window(stream, "at").writeStream.format("memory").queryName("counted").outputMode("complete").trigger(availableNow=True).start()
+    q.awaitTermination(60)
+    assert {(r.kind, r.n) for r in spark.table("counted").collect()} == {("scope", 2), ("floor", 1)}
