@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import cut, fresh, need
-from .textvec import mix, pieces, powers
+from .textvec import mix, pieces, powers, trim
 
 _NULL_ID = -(1 << 63)
 
@@ -88,6 +88,7 @@ def _hash_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h, d, r, at = h[~again], d[~again], r[~again], at[~again]
         new = np.append(True, h[1:] != h[:-1])
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h, d, r, at.astype(np.int64))] + [pa.array(~new)], names=["hash", "doc", "row", "at", "dropped"])
+    trim()
 
 
 def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -17,16 +17,16 @@ document gets 0.5 and is kept. Rows that share a doc_id are scored one by one. O
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import cut, need, unit
-from .textvec import Runs, distinct, mix, pieces, sums
+from .textvec import Runs, distinct, mix, pieces, sums, trim
 
 BITS = 20
 SAMPLE = 20_000
@@ -51,24 +51,26 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return (key & low).astype(np.int64), first
 
 
-def ftrl(rows: list[np.ndarray], bad: np.ndarray, epochs: int = EPOCHS) -> np.ndarray:
-    """The weights; the last one is the bias, which isn't regularised."""
-    size = (1 << BITS) + 1
-    z, n = np.zeros(size), np.zeros(size)
-    rows = [np.append(r, size - 1) for r in rows]
+def ftrl(index: np.ndarray, first: np.ndarray, bad: np.ndarray, epochs: int = EPOCHS, bits: int = BITS) -> np.ndarray:
+    """The weights of documents whose features are ``index[first[i]:first[i + 1]]``, taken in order; the last weight is the bias, which isn't regularised."""
+    size = 1 << bits
+    z, n, bias_z, bias_n = np.zeros(size), np.zeros(size), 0.0, 0.0
     for _ in range(epochs):
-        for x, y in zip(rows, bad):
+        for k in range(len(bad)):
+            x = index[first[k] : first[k + 1]]
             zx, nx = z[x], n[x]
-            root = np.sqrt(nx)
-            short = np.sign(zx) * np.maximum(np.abs(zx) - L1, 0)
-            short[-1] = zx[-1]
-            w = -short / ((BETA + root) / ALPHA + L2)
-            g = 1 / (1 + np.exp(-np.clip(w.sum(), -35, 35))) - y
+            root, bias_root = np.sqrt(nx), math.sqrt(bias_n)
+            w = -np.sign(zx) * np.maximum(np.abs(zx) - L1, 0) / ((BETA + root) / ALPHA + L2)
+            bias = -bias_z / ((BETA + bias_root) / ALPHA + L2)
+            g = 1 / (1 + math.exp(-min(35.0, max(-35.0, w.sum() + bias)))) - bad[k]
             n[x] = nx + g * g
             z[x] = zx + g - (np.sqrt(n[x]) - root) / ALPHA * w
-    short = np.sign(z) * np.maximum(np.abs(z) - L1, 0)
-    short[-1] = z[-1]
-    return (-short / ((BETA + np.sqrt(n)) / ALPHA + L2)).astype(np.float32)
+            bias_n += g * g
+            bias_z += g - (math.sqrt(bias_n) - bias_root) / ALPHA * bias
+    out = np.empty(size + 1, dtype=np.float32)
+    out[:-1] = -np.sign(z) * np.maximum(np.abs(z) - L1, 0) / ((BETA + np.sqrt(n)) / ALPHA + L2)
+    out[-1] = -bias_z / ((BETA + math.sqrt(bias_n)) / ALPHA + L2)
+    return out
 
 
 def score(column: pa.Array, weights: np.ndarray) -> np.ndarray:
@@ -90,11 +92,21 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([r.astype(np.int32) for r in rows], type=kind)], names=["turn", "bad", "x"])
 
 
-def _train(table: pd.DataFrame) -> pd.DataFrame:
-    table = table.assign(size=[len(x) for x in table["x"]]).sort_values(["turn", "size"], kind="stable")
-    weights = ftrl([np.asarray(x, dtype=np.int64) for x in table["x"]], table["bad"].to_numpy(dtype=np.float64))
+def _train(table: pa.Table) -> pa.Table:
+    """(turn, bad, x) of the sample to (at, weight), the nonzero weights; features stay in the buffer in which they came."""
+    x = table["x"].combine_chunks()
+    bounds, flat = x.offsets.to_numpy(), x.values.to_numpy()
+    order = np.lexsort((np.diff(bounds), table["turn"].to_numpy()))
+    size = np.diff(bounds)[order]
+    first = np.append(0, np.cumsum(size))
+    index = flat[np.repeat(bounds[:-1][order] - first[:-1], size) + np.arange(first[-1])]
+    weights = ftrl(index, first, table["bad"].to_numpy()[order])
     held = np.flatnonzero(weights)
-    return pd.DataFrame({"at": [held.astype(np.int32).tolist()], "weight": [weights[held].tolist()]})
+    kinds = [pa.list_(pa.int32()), pa.list_(pa.float32())]
+    out = pa.table([pa.array([v], type=k) for v, k in zip((held.astype(np.int32), weights[held]), kinds)], names=["at", "weight"])
+    del x, flat, index, table
+    trim()
+    return out
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> np.ndarray:
@@ -112,7 +124,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     share = 1.0 if n <= sample else min(1.0, 1.1 * sample / n + 200 / n)
     chosen = label.where(F.col("turn") <= share).orderBy("turn", "id").limit(sample)
     rows = text.join(F.broadcast(chosen), "id").select("turn", "bad", "text")  # at most ``sample`` rows of 24 bytes
-    fitted = rows.mapInArrow(_sampled, "turn double, bad double, x array<int>").groupBy().applyInPandas(_train, "at array<int>, weight array<float>").collect()
+    fitted = rows.mapInArrow(_sampled, "turn double, bad double, x array<int>").groupBy().applyInArrow(_train, "at array<int>, weight array<float>").collect()
     weights = np.zeros((1 << BITS) + 1, dtype=np.float32)
     for row in fitted:
         weights[np.array(row["at"], dtype=np.int64)] = row["weight"]
@@ -132,6 +144,7 @@ class _Score:
         for batch in batches:
             others = [k for k in range(batch.num_columns) if k != self.text]
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in others), pa.array(score(batch.column(self.text), weights))], names=[*(batch.schema.names[k] for k in others), "p_bad"])
+        trim()
 
 
 def quality_classifier(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
@@ -154,6 +167,7 @@ class _Keep:
         weights[self.at] = self.weight
         for batch in batches:
             yield batch.filter(pa.array(score(batch.column(self.text), weights) < self.threshold))
+        trim()
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import need
-from .textvec import mix, pieces, powers
+from .textvec import mix, pieces, powers, trim
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
@@ -292,6 +292,7 @@ class _Encode:
                 if void.any():
                     ids = pa.array([None if v else x for v, x in zip(void, ids.to_pylist())], type=pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], ids, pa.array(np.where(void, -1, count)), pa.array(good, mask=void)], names=[*part.schema.names[:-1], "pieces", "n_pieces", "round_trip"])
+        trim()
 
 
 def sentencepiece_encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", threads: int = THREADS) -> DataFrame:

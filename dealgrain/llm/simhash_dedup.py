@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from ..operators.graph import connected_components
 from ..operators.similarity import similar_pairs
 from .shared import cut, fresh, need
-from .textvec import Runs, distinct, mix, pieces, windows
+from .textvec import Runs, distinct, mix, pieces, trim, windows
 
 BITS = 128
 RADIUS = 22
@@ -100,6 +100,7 @@ def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             size[1:][(count > 0) & (count < 2 * FEW)] = [len(x) for x in sets]
             words = pa.ListArray.from_arrays(pa.array(np.cumsum(size, dtype=np.int32)), pa.array(np.concatenate([np.zeros(0, dtype=np.int64), *sets])))
             yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(row, n) for k in (0, 1)), pa.array(c[:, 0], mask=void), pa.array(c[:, 1], mask=void), pa.array(count < FEW), words], names=["id", "t", "c0", "c1", "few", "words"])
+    trim()
 
 
 def planes(c: np.ndarray) -> np.ndarray:
@@ -293,6 +294,7 @@ class _Compare:
                 kept.append(batch)
         if kept:
             yield from self._links(pa.Table.from_batches(kept))
+        trim()
 
 
 def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -303,6 +305,7 @@ def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sets = [distinct(windows(runs.hash[a:b], SHINGLE)).view(np.int64) for a, b in zip(runs.first[:-1], runs.first[1:])]
             bounds = np.append(0, np.cumsum([len(x) for x in sets])).astype(np.int32)
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(sets)), pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate(sets)))], names=["t", "shingles"])
+    trim()
 
 
 def _confirmed(source: DataFrame, coded: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -328,7 +331,7 @@ def _short(coded: DataFrame) -> DataFrame:
     sets = cut(coded.where(F.size("words") > 0).groupBy(F.xxhash64("c0", "c1").alias("node"), "words").agg(F.max("few").alias("few")).withColumn("key", F.xxhash64("node", "words")))
     if sets.where("few").isEmpty():
         return sets.select(F.col("node").alias("u"), F.col("node").alias("v")).limit(0)
-    near = similar_pairs(sets, SHORT)
+    near = similar_pairs(sets, SHORT, checkpoint=cut)
     side = lambda key, end: sets.select(F.col("key").alias(key), F.col("node").alias(end), F.col("few").alias(f"few_{end}"))
     return cut(near.join(side("a", "u"), "a").join(side("b", "v"), "b").where("(few_u or few_v) and u <> v").select("u", "v"))
 

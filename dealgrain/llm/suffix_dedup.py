@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import cut, need, removed, shared_dir
-from .textvec import Runs, mix, pieces, powers, windows
+from .textvec import Runs, mix, pieces, powers, trim, windows
 
 WORDS = 50
 GRAM = 35
@@ -438,6 +438,7 @@ class _Sort:
                 held = []
         if held:
             yield self._solve(held)
+        trim()
 
 
 def _merged(row: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.RecordBatch:

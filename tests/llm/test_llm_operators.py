@@ -127,6 +127,41 @@ def test_score_is_a_dot_product():
         assert len(set(index.tolist())) == len(index) and abs(p - 1 / (1 + np.exp(-(w[index].sum() + w[-1])))) < 1e-5
 
 
+def test_training_is_the_textbook_loop():
+    rng = np.random.default_rng(7)
+    rows = [np.unique(rng.integers(0, 64, rng.integers(0, 12))) for _ in range(200)]
+    bad = np.array([float((5 in r) or rng.random() < 0.2) for r in rows])
+    q = quality_classifier
+    z, n = [0.0] * 65, [0.0] * 65
+
+    def weight(i):
+        if i == 64:
+            return -z[i] / ((q.BETA + n[i] ** 0.5) / q.ALPHA + q.L2)
+        return 0.0 if abs(z[i]) <= q.L1 else -(z[i] - np.sign(z[i]) * q.L1) / ((q.BETA + n[i] ** 0.5) / q.ALPHA + q.L2)
+
+    for _ in range(3):
+        for r, y in zip(rows, bad):
+            x = [*map(int, r), 64]
+            w = {i: weight(i) for i in x}
+            g = 1 / (1 + np.exp(-sum(w.values()))) - y
+            for i in x:
+                sigma = ((n[i] + g * g) ** 0.5 - n[i] ** 0.5) / q.ALPHA
+                z[i] += g - sigma * w[i]
+                n[i] += g * g
+    first = np.append(0, np.cumsum([len(r) for r in rows]))
+    got = q.ftrl(np.concatenate(rows), first, bad, epochs=3, bits=6)
+    assert np.allclose(got, [weight(i) for i in range(65)], atol=1e-6) and got[5] > 0
+
+
+def test_sample_is_of_the_documents_that_are_there(spark):
+    docs = spark.createDataFrame([(i, f"word{i % 7} text") for i in range(50)], "doc_id bigint, text string")
+    mine_ = spark.createDataFrame([(i, i % 2, 0) for i in range(50)], "doc_id bigint, quality int, toxic int")
+    others = spark.range(1000, 6000).selectExpr("id as doc_id", "0 as quality", "1 as toxic")
+    alone = quality_classifier.train(docs, mine_, sample=40)
+    both = quality_classifier.train(docs, mine_.unionByName(others), sample=40)
+    assert (alone == both).all() and alone.any()
+
+
 def brute_rules(rows, most):
     """{tokens: (confidence, support)} of all rules of up to ``most`` tokens among [(tokens, bad)]."""
     need = max(url_rules.LEAST, url_rules.SUPPORT * len(rows))
@@ -236,6 +271,46 @@ def test_bitmaps_rebuild_texts(spark, sf):
     assert {r.doc_id: r.text for r in line_dedup.without_dropped(docs).collect()} == want
 
 
+def test_bitmaps_beside_null_ids(spark):
+    big = (1 << 53) + 1
+    rows = [(None, "only here"), (5, "one\ntwo"), (big, "one\ntwo\nthree"), (big - 1, "four")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)
+    assert {r.doc_id: r.keep_bitmap for r in line_dedup.line_dedup(docs).collect()} == {None: "1", 5: "2", big: "0,2,1", big - 1: "1"}
+    assert {r.doc_id: r.text for r in line_dedup.without_dropped(docs).collect()} == {None: "only here", 5: "one\ntwo", big: "three", big - 1: "four"}
+
+
+def test_cut_lines_in_linear_time():
+    import time
+
+    n = 400_000
+    text, gone = "x\n" * n + "last", list(range(0, n, 2))
+    began = time.time()
+    out = line_dedup._cut_lines(pa.array([text, "a\nb\n", "a\nb\n", "z", None]), pa.array([gone, [0], [1, 2], [0], None], type=pa.list_(pa.int64())))
+    assert out.to_pylist() == ["x\n" * (n // 2) + "last", "b\n", "a", None, ""] and time.time() - began < 5
+
+
+@pytest.mark.parametrize("targets", [{"source": {"a": 0.5}}, {"lang": {"en": 0.2, "de": 0.8}}, {"source": {"a": 0.9, "b": 0.9}, "lang": {"xx": 0.1}}, {"source": {"a": 0.0}}])
+def test_targets_at_any_number_of_cells(spark, targets):
+    rng = np.random.default_rng(9)
+    rows = [(str(s), str(l), str(t), int(rng.integers(1, 500))) for s in "abcd" for l in ("en", "de", "fr") for t in ("short", "long")]
+    light = spark.createDataFrame(rows, "source string, lang string, topic string, tokens bigint")
+    one, wide = ({tuple(r)[:3]: r.p for r in source_mixing.probabilities(light, targets=targets, small=s).collect()} for s in (1000, 0))
+    assert one.keys() == wide.keys() and all(abs(one[k] - wide[k]) < 1e-6 for k in one)
+    if targets == {"source": {"a": 0.5}}:  # the share of a named source among the weights, as far as no probability is capped
+        got = {tuple(r)[:3]: r.p for r in source_mixing.probabilities(light, targets=targets, budget=0.1).collect()}
+        kept = {k: got[k] * n for *k, n in rows for k in [tuple(k)]}
+        assert max(got.values()) < 1 and abs(sum(v for k, v in kept.items() if k[0] == "a") / sum(kept.values()) - 0.5) < 1e-3
+    if targets == {"source": {"a": 0.0}}:
+        assert all(p == 0 for k, p in one.items() if k[0] == "a")
+
+
+def test_names_beyond_the_broadcast(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"s{i % 37}" if i % 3 else "hot", "en", i) for i in range(500)], "doc_id bigint, source string, lang string, n_chars bigint")
+    few = sorted(map(tuple, hilbert_sharding.hilbert_sharding(docs).collect()))
+    monkeypatch.setattr(hilbert_sharding, "BROADCAST", 1)
+    assert few == sorted(map(tuple, hilbert_sharding.hilbert_sharding(docs).collect()))
+
+
 def test_mixing_meets_its_targets(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     out = source_mixing.source_mixing(docs).toPandas()
