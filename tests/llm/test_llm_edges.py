@@ -45,6 +45,64 @@ def test_operator(spark, labels, name):
     assert empty.columns == OPERATORS[name](docs, labels).columns and empty.count() == 0
 
 
+def test_classifier_values(spark, labels):
+    out = [(r.doc_id, round(r.p_bad, 6), r.keep) for r in quality_classifier.quality_classifier(spark.createDataFrame(ROWS, SCHEMA), labels).collect()]
+    p = {}
+    for i, v, keep in out:
+        p.setdefault(i, set()).add(v)
+        assert keep == (v < quality_classifier.THRESHOLD)
+    blank = p[3] | p[4] | p[5] | p[8]  # null, empty and blank texts have the bias alone
+    assert len(blank) == 1 and blank <= p[None] and p[1] == p[2] and p[6] == p[7] and len(p[6]) == 1 and len(out) == len(ROWS)
+
+
+def test_codec_values(spark):
+    import sentencepiece
+
+    theirs = sentencepiece.SentencePieceProcessor(model_file=SENTENCEPIECE_MODEL)
+    out = sentencepiece_codec.sentencepiece_encode(spark.createDataFrame(ROWS, SCHEMA), SENTENCEPIECE_MODEL).collect()
+    text = {}
+    for i, t, *_ in ROWS:
+        text.setdefault(i, []).append(t)
+    for r in out:
+        want = [(None, -1, None) if t is None else (theirs.encode(t), len(theirs.encode(t)), theirs.decode(theirs.encode(t)) == t) for t in text[r.doc_id]]
+        assert (r.pieces, r.n_pieces, r.round_trip) in want
+    assert len(out) == len(ROWS)
+
+
+def test_line_values(spark):
+    out = line_dedup.line_dedup(spark.createDataFrame(ROWS, SCHEMA)).collect()
+    got = sorted(((r.doc_id is None, r.doc_id or 0, r.n_lines, r.n_kept, r.keep_bitmap) for r in out), key=repr)
+    want = [(False, 1, 2, 2, "2"), (False, 2, 2, 0, "0,2"), (False, 3, 0, 0, ""), (False, 4, 1, 1, "1"), (False, 5, 1, 1, "1"), (False, 6, 1, 1, "1"), (False, 7, 1, 0, "0,1"), (False, 8, 4, 4, "4"), (False, 9, 1, 1, "1"), (False, 10, 1, 1, "1"), (False, 10, 1, 1, "1"), (True, 0, 0, 0, ""), (True, 0, 1, 1, "1")]
+    assert got == sorted(want, key=repr)
+
+
+def test_group_values(spark):
+    out = simhash_dedup.simhash_dedup(spark.createDataFrame(ROWS, SCHEMA)).collect()
+    got = sorted(((r.doc_id or 0, r.group_id or 0, r.keep) for r in out), key=repr)
+    # a null text is alone, an empty one equals another; of rows equal in id and text each has the result
+    want = [(0, 0, True), (0, 0, True), (1, 1, True), (2, 1, False), (2, 1, False), (3, 3, True), (4, 4, True), (5, 4, False), (6, 6, True), (7, 6, False), (8, 8, True), (9, 9, True), (10, 10, True), (10, 10, True)]
+    assert got == sorted(want, key=repr)
+
+
+def test_span_values(spark):
+    out = {r.doc_id: ([tuple(s) for s in r.spans], r.repeated_words) for r in suffix_dedup.suffix_dedup(spark.createDataFrame(ROWS, SCHEMA)).collect()}
+    assert out == {6: ([(0, 120_000)], 120_000), 7: ([(0, 120_000)], 120_000)}
+
+
+@pytest.mark.parametrize("name", ["op7", "op8", "op10"])
+def test_values_by_sql(spark, tmp_path, name):
+    """Nulls, empty and very long texts, ties and repeated rows by the operator's SQL; a null id counts as 0 for op7's sample, which SQL doesn't say."""
+    from compare import compare
+    from dealgrain.llm.queries import ORACLES, QUERIES
+
+    query = next(q for q in QUERIES if q.startswith(name + "_"))
+    rows = [r for r in ROWS if name != "op7" or r[0] is not None]
+    if name == "op8":  # a negative length counts as 0 in both
+        rows = [*rows, (11, "x", "en", "a", None)]
+    spark.createDataFrame(rows, SCHEMA).coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    assert compare(QUERIES[query](spark, str(tmp_path)), ORACLES[query], str(tmp_path)) == ""
+
+
 def test_classifier_without_labels(spark, labels):
     docs = spark.createDataFrame(ROWS, SCHEMA)
     assert {(r.p_bad, r.keep) for r in quality_classifier.quality_classifier(docs, labels.limit(0), threshold=0.6).collect()} == {(0.5, True)}
