@@ -177,7 +177,8 @@ def greedy_matching(edges: DataFrame, checkpoint: Callable) -> DataFrame:
     """One-to-one matching within each group, best edge first, of (group, i, j, similarity).
 
     Ties go to the smaller i, then j. Each round accepts the edges that are the best of both ends, which gives what taking edges one
-    by one would, and drops the edges of matched ends; a few rounds suffice.
+    by one would, and drops the edges of matched ends. Rounds are at most the longest chain of edges each of which has to wait for a better
+one, within one group, and every round at least matches one edge of each group left; clauses of a version make short chains.
     """
     best = lambda side: Window.partitionBy("group", side).orderBy(F.desc("similarity"), "i", "j")
     left, found = checkpoint(edges.select("group", "i", "j", "similarity")), None
@@ -193,7 +194,8 @@ def leaders(pairs: DataFrame, nodes: DataFrame, checkpoint: Callable) -> DataFra
     """Greedy leader clustering of (node), in node order, over similar pairs (a, b, similarity) with a < b: (node, leader, similarity).
 
     A node is a leader unless an earlier leader is similar; else it joins the most similar earlier leader, the first on ties. Rounds settle
-    the nodes all of whose earlier neighbours are settled or that have a leader among them.
+    the nodes all of whose earlier neighbours are settled or that have a leader among them, so there are at most as many as nodes in the longest
+    chain of similar ones in order; headings make short chains.
     """
     edges = checkpoint(pairs.select("a", "b", "similarity"))
     open_ = checkpoint(nodes.select("node").distinct())

@@ -101,3 +101,30 @@ def test_reversed_twice_counts_once(spark):
     for n in (1, 3):
         got = mine.observe(net, back.repartition(n), docs, none).collect()
         assert {(r.alignment, r.full_text, r.outcome) for r in got} == {(1, "first", "proposed_then_reversed"), (2, "other", "proposed_then_reversed")}
+
+
+def test_commands(spark, tmp_path, capsys):
+    import json
+
+    from dealgrain.__main__ import main
+
+    rtf = lambda *paras: (r"{\rtf1 " + "".join(p + r"\par " for p in paras) + "}").encode()
+    later = PAY.replace("thirty", "forty five calendar")
+    for v, extra, pay in ((1, "", PAY), (2, " and doubled for gross negligence", later), (3, "", later)):
+        path = tmp_path / "in/deal-a" / f"v{v}.rtf"
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_bytes(rtf("GOVERNING LAW", LAW, "LIABILITY CAP", CAP + extra, "PAYMENT", pay))
+    (tmp_path / "config.json").write_text(json.dumps({"agreement_type": {"id": "msa", "name": "Services"}, "provenance": {"our_party_aliases": ["Acme"], "min_evidence_n": 1}}))
+    (tmp_path / "taxonomy.json").write_text(json.dumps([{"id": "law", "label": "Governing Law"}, {"id": "cap", "label": "Liability Cap"}]))
+    (tmp_path / "hints.json").write_text(json.dumps({"deal-a": {"signed_version": "v3.rtf", "provenance": "our_paper"}}))
+    at = lambda x: str(tmp_path / x)
+    assert main(["mine", at("in"), at("out"), "--config", at("config.json"), "--taxonomy", at("taxonomy.json"), "--hints", at("hints.json")]) == 0
+    obs = spark.read.parquet(at("out/observations")).collect()
+    assert {(r.taxonomy_id, r.outcome, r.provenance) for r in obs if r.taxonomy_id} == {("law", "signed", "our_paper"), ("cap", "proposed_then_reversed", "our_paper")}
+    assert main(["project", at("out"), at("playbook.json"), "--config", at("config.json")]) == 0
+    doc = json.loads((tmp_path / "playbook.json").read_text())
+    assert {c["taxonomy_id"]: c["summary"]["evidence_sufficient"] for c in doc["evidence"]["clauses"]} == {"law": True, "cap": True}
+    capsys.readouterr()
+    assert main(["lint", at("in")]) == 0 and main(["induce", at("in")]) == 0 and "liability_cap" in capsys.readouterr().out
+    assert main(["digest", at("playbook.json")]) == 0 and json.loads(capsys.readouterr().out)["over_budget"] is False
+    assert main(["prompt", at("playbook.json")]) == 0 and "## Floor" in capsys.readouterr().out
