@@ -138,7 +138,7 @@ def variations(clause: dict, top: int) -> list:
     ranked = sorted(groups.values(), key=lambda g: -g["n"])
     band = lambda n: "often" if n >= 10 else "sometimes" if n >= 2 else "rare"
     kept = [g for k, g in enumerate(ranked) if k < top or g["material"]]
-    return [g["entry"] if isinstance(g["entry"], str) else {**{k: v for k, v in g["entry"].items() if k in ("if", "to", "observation_ref") and v is not None}, "n": g["n"], "band": band(g["n"])} for g in kept]
+    return [g["entry"] if isinstance(g["entry"], str) else {**{k: v for k, v in g["entry"].items() if k in ("if", "to", "observation_ref") and v is not None}, "band": band(g["n"]), "n": g["n"]} for g in kept]
 
 
 def digest(doc: dict, budget: int = BUDGET) -> dict:
@@ -225,7 +225,7 @@ def dynamics_problems(doc: dict) -> list[tuple[str, str, bool]]:
     for i, c in enumerate(within(doc, "evidence.clauses", [])):
         at, s = f"evidence.clauses[{i}]", c.get("summary") or {}
         held, of, stance = s.get("held"), s.get("of"), s.get("historical_stance")
-        if isinstance(held, int) and isinstance(of, int) and held <= of:
+        if all(isinstance(x, int) for x in (held, of)) and of >= held:
             if stance == "consistently_held" and held < of:
                 found.append(("held always, but not by its counts", f"{at}.summary", False))
             if stance == "usually_conceded" and held == of > 0:

@@ -3,7 +3,7 @@
 import os
 
 import pytest
-from dealgrain.plans import mine, playbook
+from dealgrain.plans import mine, playbook, reports
 from dealgrain.sources import config
 from pyspark.sql import functions as F
 
@@ -46,6 +46,8 @@ def test_mine_and_project(spark):
     assert stances["law"] == "standard" and stances["cap"] == "hold_firm"
     assert not [m for m, _, blocking in playbook.problems(doc) if blocking] and playbook.digest(doc)["top"] == 5
     assert doc["identity"] == mine.project(second, {"id": "msa", "name": "Services"})["identity"]
+    told = reports.after_action(second, verdicts)
+    assert all(f"## {x}" in told for x in ("Corpus", "Backbone", "Meaning", "Economics", "Honesty", "Quarantine")) and "| outcome | proposed_then_reversed |" in told
 
 
 def test_unequal_buckets(spark):
