@@ -189,7 +189,7 @@ def without_dropped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     keyed = docs.withColumns({doc: F.coalesce(docs[id_col].cast("bigint"), F.lit(_NULL_ID)), row: F.xxhash64(docs[text_col])})
     both = keyed.join(late, [doc, row], "left")
     kept = F.col(gone)
-    cut_text = F.arrow_udf(_cut_lines, "string")
+    cut_text = F.arrow_udf(_cut_lines, "string").asNondeterministic()  # or the filter below would cut every text a second time
     left = fresh(docs, "left")
     changed = both.withColumn(left, cut_text(F.when(kept.isNotNull(), F.col(text_col)), kept)).where(kept.isNull() | F.col(left).isNotNull())
     return changed.withColumn(text_col, F.when(kept.isNull(), F.col(text_col)).otherwise(F.col(left))).select(*docs.columns)
