@@ -62,7 +62,7 @@ def _common(nodes: DataFrame) -> list[int]:
     return [r.word for r in uses.orderBy(F.desc("uses"), "word").limit(COMMON).collect()]
 
 
-def _near(nodes: DataFrame, threshold: float) -> DataFrame:
+def _near(nodes: DataFrame, threshold: float, checkpoint: Callable) -> DataFrame:
     """(x, y, similarity) of nodes x < y with a Jaccard similarity of at least ``threshold``.
 
     Exact, by prefix filtering: with all sets in one order of words, similar sets share one of their first ``n - ceil(threshold * n) + 1``
@@ -70,7 +70,7 @@ def _near(nodes: DataFrame, threshold: float) -> DataFrame:
     that are too far apart don't meet, as their bucket is part of the key.
     """
     base = float(np.log(1 / threshold)) if threshold < 1 else 0.0
-    head = nodes.select("node", "words").mapInArrow(_Prefixes(_common(nodes), threshold, base), _ROWS)
+    head = checkpoint(nodes.select("node", "words").mapInArrow(_Prefixes(_common(nodes), threshold, base), _ROWS))
     a = head.select(F.col("node").alias("x"), F.col("n").alias("nx"), F.col("pos").alias("px"), "word", "bucket")
     b = head.select(F.col("node").alias("y"), F.col("n").alias("ny"), F.col("pos").alias("py"), "word", F.explode(F.sequence(F.col("bucket") - 1, F.col("bucket") + 1)).alias("bucket"))
     need = F.ceil((F.col("nx") + F.col("ny")) * F.lit(threshold / (1 + threshold)) - F.lit(1e-9))
@@ -88,7 +88,7 @@ def similar_pairs(sets: DataFrame, threshold: float, key: str = "key", words: st
     nothing. ``checkpoint`` cuts the lineage of a DataFrame, so that sets are made once.
     """
     members, nodes = _folded(sets, key, words, group, checkpoint)
-    near = _near(nodes, threshold)
+    near = _near(nodes, threshold, checkpoint)
     one, other = (members.select(F.col("k").alias(k), F.col("node").alias(n)) for k, n in (("p", "x"), ("q", "y")))
     apart = near.join(one, "x").join(other, "y").select(*_ordered(), "similarity")
     same = one.join(other.withColumnRenamed("y", "x"), "x").where("p < q").select(F.col("p").alias("a"), F.col("q").alias("b"), F.lit(1.0).alias("similarity"))
@@ -101,7 +101,7 @@ def similar_links(sets: DataFrame, threshold: float, key: str = "key", words: st
     first = members.groupBy("node").agg(F.min("k").alias("first"))
     ties = members.join(first, "node").where("k <> first").select(F.col("first").alias("u"), F.col("k").alias("v"))
     one, other = (first.select(F.col("first").alias(k), F.col("node").alias(n)) for k, n in (("u", "x"), ("v", "y")))
-    return _near(nodes, threshold).join(one, "x").join(other, "y").select("u", "v").unionByName(ties)
+    return _near(nodes, threshold, checkpoint).join(one, "x").join(other, "y").select("u", "v").unionByName(ties)
 
 
 def overlapping_pairs(sets: DataFrame, threshold: float, key: str, words: str, checkpoint: Callable = lambda df: df) -> DataFrame:
