@@ -23,28 +23,40 @@ EXACT_CHARS, JACCARD, JACCARD_WORDS = 30, 0.80, 8
 EXHAUSTIVE, TIE = 8, 1e-9
 
 
+def _paired(clauses: DataFrame) -> DataFrame:
+    """Clauses with ``j``, the place in the next version of the one with an equal normalised text of at least 30 characters, the kth to the kth, and
+    ``was``, whether the version before has one. Texts are told apart by their digests, and one shuffle by document serves all windows.
+    """
+    norm = normalize(F.col("text"))
+    told = F.when(F.length(norm) >= EXACT_CHARS, F.md5(norm)).otherwise(F.concat_ws("-", "version_ord", "ord"))  # no digest is as short as what makes a clause its own
+    c = clauses.where("document_id is not null").withColumn("told", told).repartition("document_id")
+    c = c.withColumn("k", F.row_number().over(Window.partitionBy("document_id", "version_ord", "told").orderBy("ord")))
+    same = Window.partitionBy("document_id", "told", "k").orderBy("version_ord")
+    next_, last = F.lead(F.struct("version_ord", "ord")).over(same), F.lag("version_ord").over(same)
+    c = c.withColumn("next", next_).withColumn("was", F.coalesce(last == F.col("version_ord") - 1, F.lit(False)))
+    return c.withColumn("j", F.when(F.col("next.version_ord") == F.col("version_ord") + 1, F.col("next.ord"))).drop("next", "k", "told")
+
+
 def exact_moves(clauses: DataFrame) -> DataFrame:
     """(document_id, version_ord, i, j): clauses of consecutive versions with equal normalised texts of at least 30 characters, the kth to the kth.
 
     ``clauses`` has document_id, version_ord, ord and text.
     """
-    c = clauses.withColumn("norm", normalize(F.col("text"))).where(F.length("norm") >= EXACT_CHARS)
-    c = c.withColumn("k", F.row_number().over(Window.partitionBy("document_id", "version_ord", "norm").orderBy("ord")))
-    a = c.select("document_id", "version_ord", F.col("ord").alias("i"), F.xxhash64("norm").alias("h"), "norm", "k")
-    b = c.select("document_id", (F.col("version_ord") - 1).alias("version_ord"), F.col("ord").alias("j"), F.col("norm"), "k")
-    return a.join(b, ["document_id", "version_ord", "norm", "k"]).select("document_id", "version_ord", "i", "j")
+    return _paired(clauses.select("document_id", "version_ord", "ord", "text")).where("j is not null").select("document_id", "version_ord", F.col("ord").alias("i"), "j")
 
 
 def moves(clauses: DataFrame, checkpoint: Callable) -> DataFrame:
     """Exact moves, and on what is left the greedy one-to-one matches with a Jaccard similarity of at least 0.8 over 8 words."""
-    exact = checkpoint(exact_moves(clauses))
-    used_a = exact.select("document_id", "version_ord", F.col("i").alias("ord"))
-    used_b = exact.select("document_id", (F.col("version_ord") + 1).alias("version_ord"), F.col("j").alias("ord"))
-    key = ["document_id", "version_ord", "ord"]
-    held = clauses.withColumn("words", words(F.col("text"))).where(F.size("words") >= JACCARD_WORDS)
-    a = held.join(used_a, key, "left_anti").select("document_id", "version_ord", F.lit(0).alias("side"), "ord", "words")
-    b = held.join(used_b, key, "left_anti").select("document_id", (F.col("version_ord") - 1).alias("version_ord"), F.lit(1).alias("side"), "ord", "words")
-    both = a.unionByName(b).withColumn("key", F.struct("document_id", "version_ord", "side", "ord")).withColumn("group", F.struct("document_id", "version_ord"))
+    doc = Window.partitionBy("document_id")
+    paired = _paired(clauses.select("document_id", "version_ord", "ord", "text")).withColumn("low", F.min("version_ord").over(doc)).withColumn("high", F.max("version_ord").over(doc))
+    a = F.when(F.col("j").isNull() & (F.col("version_ord") < F.col("high")), F.struct(F.col("version_ord"), F.lit(0).alias("side")))
+    b = F.when(~F.col("was") & (F.col("version_ord") > F.col("low")), F.struct((F.col("version_ord") - 1).alias("version_ord"), F.lit(1).alias("side")))
+    paired = paired.withColumn("sides", F.array_compact(F.array(a, b))).withColumn("words", F.when(F.size("sides") > 0, words(F.col("text"))))
+    paired = paired.withColumn("words", F.when(F.size("words") >= JACCARD_WORDS, F.transform("words", lambda w: F.xxhash64(w))))
+    paired = checkpoint(paired.where("j is not null or words is not null").select("document_id", "version_ord", "ord", "j", "sides", "words"))
+    exact = paired.where("j is not null").select("document_id", "version_ord", F.col("ord").alias("i"), "j")
+    both = paired.where("words is not null").select("document_id", "ord", "words", F.explode("sides").alias("s")).select("document_id", "s.version_ord", "s.side", "ord", "words")
+    both = both.withColumn("key", F.struct("document_id", "version_ord", "side", "ord")).withColumn("group", F.struct("document_id", "version_ord"))
     near = similar_pairs(both, JACCARD, group="group", checkpoint=checkpoint).where("a.side = 0 and b.side = 1")
     edges = near.select(F.struct(F.col("a.document_id"), F.col("a.version_ord")).alias("group"), F.col("a.ord").alias("i"), F.col("b.ord").alias("j"), "similarity")
     fuzzy = greedy_matching(edges, checkpoint).select("group.document_id", "group.version_ord", "i", "j", F.lit("content_jaccard").alias("basis"), "similarity")
@@ -61,8 +73,9 @@ def chains(matched: DataFrame, clauses: DataFrame, checkpoint: Callable) -> Data
     links = checkpoint(links)
     roots = connected_components(links.select("u", "v"), checkpoint)
     score = links.join(roots, links.u == roots.node).groupBy("root").agg(F.min("similarity").alias("confidence"), F.bool_and(F.col("basis") == "content_exact").alias("exact"))
+    told = roots.join(score, "root")
     named = clauses.withColumn("node", node(F.col("version_ord").cast("bigint"), F.col("ord").cast("bigint")))
-    out = named.join(roots, "node", "left").withColumn("alignment", F.coalesce("root", "node")).join(score, "root", "left")
+    out = named.join(told, "node", "left").withColumn("alignment", F.coalesce("root", "node"))
     return out.select(*clauses.columns, "alignment", F.coalesce("confidence", F.lit(1.0)).alias("confidence"), F.when(F.col("exact").isNull(), "none").when(F.col("exact"), "content_exact").otherwise("content_jaccard").alias("match_basis"))
 
 

@@ -35,7 +35,7 @@ def _clusters(spark, sf_dir):
 def versions_of(spark, sf_dir):
     """(document_id, version, version_ord, text, signed)."""
     found = _clusters(spark, sf_dir)
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = similarity.likely(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", found.select("node"))
     order = Window.partitionBy("root").orderBy("node")
     v = found.join(docs, found.node == docs.doc_id).select(F.col("root").alias("document_id"), F.col("node").alias("version"), F.row_number().over(order).alias("version_ord"), "text")
     return v.withColumn("signed", F.col("version") == F.max("version").over(Window.partitionBy("document_id")))

@@ -546,3 +546,52 @@ def test_counts_by_window(spark, tmp_path):
     q = verdict_log.counts_by_window(stream, "at").writeStream.format("memory").queryName("counted").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert {(r.kind, r.n) for r in spark.table("counted").collect()} == {("scope", 2), ("floor", 1)}
+
+
+def test_set_join_passes_on_sets_and_pairs_alone(spark):
+    import random
+
+    rng = random.Random(5)
+    sets = [(k, sorted(rng.sample(range(60 * (k % 3), 60 * (k % 3) + 80), 30))) for k in range(300)]
+    sets += [(1000 + k, [x for x in s if x != s[3]] + [500 + k]) for k, s in sets[:40]] + [(2000, list(range(900, 1700))), (2001, list(range(905, 1720)))]
+    df = spark.createDataFrame([(k, [str(x) for x in s]) for k, s in sets], "key int, words array<string>")
+    rows = []
+
+    def counted(d):
+        d = checkpoint(d)
+        rows.append(d.count())
+        return d
+
+    got = {(r.a, r.b): r.similarity for r in similarity.similar_pairs(df, 0.8, checkpoint=counted).collect()}
+    want = {(a, b): len(set(x) & set(y)) / len(set(x) | set(y)) for (a, x), (b, y) in itertools.combinations(sets, 2) if len(set(x) & set(y)) >= 0.8 * len(set(x) | set(y))}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want) and len(want) >= 41
+    assert max(rows) <= len(sets) and rows[-1] <= 2 * len(want)
+
+
+def test_many_copies_of_a_set_meet_once(spark):
+    from dealgrain.operators.similarity import _Meet
+
+    sets = [(k, [str(x) for x in range(20)] + ([] if k % 2 else ["end"])) for k in range(2000)]
+    df = spark.createDataFrame(sets, "key int, words array<string>")
+    assert similarity.similar_links(df, 0.8, checkpoint=checkpoint).count() == 1999
+    assert list(_Meet(0.8)(iter([]))) == []
+
+
+def test_equal_clauses_are_matched_in_one_pass(spark):
+    edges = [("g", i, j, 1.0) for i in range(40) for j in range(40)] + [("h", 1, 1, 0.8), ("h", 1, 2, 0.9), ("h", 2, 2, 0.95)]
+    calls = []
+
+    def once(d):
+        calls.append(1)
+        return checkpoint(d)
+
+    got = similarity.greedy_matching(spark.createDataFrame(edges, "group string, i int, j int, similarity double"), once).collect()
+    assert {(r.group, r.i, r.j) for r in got} == {("g", i, i) for i in range(40)} | {("h", 1, 1), ("h", 2, 2)} and len(calls) == 1
+
+
+def test_likely_keeps_all_that_are_asked_for(spark):
+    rows = spark.range(5000).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), "id").alias("text"))
+    asked = spark.range(0, 5000, 50).select("id")
+    got = {r.doc_id for r in similarity.likely(rows, "doc_id", asked).collect()}
+    assert set(range(0, 5000, 50)) <= got and len(got) < 150
+    assert similarity.likely(rows, "doc_id", asked.where("id < 0")).count() == 0
