@@ -120,10 +120,11 @@ def induce(headings: DataFrame, checkpoint: Callable, share: float = 0.20, near:
     """
     h = checkpoint(headings.withColumn("norm", normalize(F.col("heading"))).where("norm <> ''").select("document_id", "norm").distinct())
     total = h.select("document_id").distinct().count()
-    forms = checkpoint(h.select("norm").distinct().withColumn("w", heading_words(F.col("norm"))))
-    pairs = overlapping_pairs(forms, near, "norm", "w", checkpoint)
-    led = leaders(pairs, forms.select(F.col("norm").alias("node")), checkpoint)
-    g = h.join(led, h.norm == led.node).groupBy("leader").agg(F.count_distinct("document_id").alias("documents"), F.count_distinct("norm").alias("forms"))
+    forms = h.select("norm").distinct().orderBy("norm").select("norm", F.monotonically_increasing_id().alias("node"))
+    forms = checkpoint(forms.withColumn("words", heading_words(F.col("norm"))))
+    led = checkpoint(leaders(overlapping_pairs(forms, near, "node", "words", checkpoint), forms.select("node"), checkpoint).select("node", F.col("leader").alias("led_by")))
+    of = h.join(forms.select("norm", "node"), "norm").join(led, "node").select("led_by", "document_id").distinct().groupBy("led_by").agg(F.count("*").alias("documents"))
+    g = of.join(led.groupBy("led_by").agg(F.count("*").alias("forms")), "led_by").join(forms.select(F.col("node").alias("led_by"), F.col("norm").alias("leader")), "led_by").drop("led_by")
     g = g.withColumn("frequency", F.col("documents") / F.lit(max(total, 1)))
     if known is not None:
         best = best_match(g.select("leader", words(F.col("leader")).alias("words")), known.select(F.col("id").alias("origin"), "ord", words(F.col("label")).alias("ref_words")), "leader", "origin", "ord", match)

@@ -597,6 +597,33 @@ def test_likely_keeps_all_that_are_asked_for(spark):
     assert similarity.likely(rows, "doc_id", asked.where("id < 0")).count() == 0
 
 
+def test_pairs_that_overlap_come_once_from_the_join(spark):
+    import random
+
+    from dealgrain.operators.similarity import _Overlap
+
+    rng = random.Random(9)
+    sets = [(k, sorted(rng.sample(range(40), rng.randrange(0, 7)))) for k in range(200)] + [(300, list(range(90)))]
+    df = spark.createDataFrame([(k, [str(x) for x in s]) for k, s in sets], "node bigint, words array<string>")
+    got = sorted((r.a, r.b, round(r.similarity, 9)) for r in similarity.overlapping_pairs(df, 0.5, "node", "words", checkpoint).collect())
+    over = {(a, b): len(set(x) & set(y)) / min(len(x), len(y)) for (a, x), (b, y) in itertools.combinations(sets, 2) if x and y}
+    assert got == [(a, b, round(v, 9)) for (a, b), v in sorted(over.items()) if v >= 0.5]
+    assert list(_Overlap(0.5)(iter([]))) == []
+
+
+def test_taxonomy_writes_edges_by_number(spark):
+    wide = []
+
+    def seen(d):
+        wide.append([k for c, k in d.dtypes if c in ("a", "b", "leader")])
+        return checkpoint(d)
+
+    heads = spark.createDataFrame([(d, h) for d in range(4) for h in ("Governing law", "Governing law and venue", "Term", "Term of agreement")], "document_id bigint, heading string")
+    got = {r.leader: (r.documents, r.forms) for r in classify.induce(heads, seen).collect()}
+    assert got == {"governing law": (4, 2), "term": (4, 2)}
+    assert any(wide) and all(k == "bigint" for kinds in wide for k in kinds)
+
+
 def test_trail_keeps_versions_with_their_document(spark):
     from dealgrain.operators import judges
 
