@@ -637,3 +637,26 @@ def test_trail_keeps_versions_with_their_document(spark):
     assert pending.count() == 3
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "collect_list(version" in plan and "Window" not in plan
+
+
+def test_deals_by_blocks_are_those_of_all_pairs(spark, monkeypatch):
+    import random
+
+    from dealgrain.operators import intake
+    from dealgrain.operators.graph import connected_components
+
+    rng = random.Random(4)
+    rows = [(f"{k:03d}", [str(x) for x in rng.sample(range(300), rng.randrange(0, 25))], rng.sample(["p", "q", "r", None], rng.randrange(0, 3))) for k in range(160)]
+    rows += [(f"x{k}", rows[k][1], []) for k in range(10)]
+    df = spark.createDataFrame(rows, "path string, words array<string>, parties array<string>")
+    ids = {r.path: r.id for r in df.select("path", F.xxhash64("path").alias("id")).collect()}
+    like = lambda a, b: len(set(a) & set(b)) / len(set(a) | set(b)) if a and b else 0.0
+    links = [(ids[p], ids[q]) for (p, a, s), (q, b, t) in itertools.combinations(rows, 2) if like(a, b) >= 0.35 or (like(a, b) >= 1 - 0.90 and {x for x in s if x} & {x for x in t if x})]
+    root = {r.node: r.root for r in connected_components(spark.createDataFrame(links, "u bigint, v bigint"), checkpoint).collect()}
+    want = {}
+    for p in sorted(ids):
+        want.setdefault(root.get(ids[p], ids[p]), p)
+    want = {p: want[root.get(i, i)] for p, i in ids.items()}
+    for held in (12_000_000, 200):
+        monkeypatch.setattr(similarity, "HELD", held)
+        assert {r.path: r.deal for r in intake.deals(df, checkpoint).collect()} == want
